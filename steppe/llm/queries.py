@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steppe.llm import chat, quality, sharding
-from steppe.llm.shared import table
+from steppe.llm import chat, media, packing, pieces, quality, sharding, urls, warc
+from steppe.llm.shared import materialize, table
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, which every machine has installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +62,19 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as media in tar shards and read back."""
+    stored = media.store(table(spark, sf_dir, "documents"))
+    return media.with_contents(media.with_headers(stored))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by rules, then by trust and distrust of their hosts."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and risk-controlled cut-offs over all documents."""
-    from steppe.llm.shared import materialize
-
     stats = materialize(quality.signals(table(spark, sf_dir, "documents")), "quality-signals")
     judged = quality.judge(stats, quality.calibrate(stats, table(spark, sf_dir, "labels")))
     return judged.select(
@@ -74,8 +90,38 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits of all pages, resolved against the captures before them."""
+    done = warc.resolve(warc.captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return done.select(
+        ((F.col("record_id") - 1) / 2).cast("long").alias("page_id"),
+        F.col("key").alias("canonical_url"),
+        "status",
+        (F.col("refers_to") / 2).cast("long").alias("refers_to_page"),
+        "payload_digest",
+        F.array_join(lines, "\n").alias("headers"),
+    )
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    rows = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return packing.pack(rows)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts encoded by the unigram model, and decoded again."""
+    return pieces.encode_and_check(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sharding": op2_sharding,
+    "op4_media_columns": op4_media_columns,
+    "op5_url_filters": op5_url_filters,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc_revisits": op7_warc_revisits,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_sentencepiece": op10_sentencepiece,
 }

@@ -30,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new name in the shared folder, with the scheme of its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return files.makeQualified(path).toString()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -80,11 +80,12 @@ def paths(messages: DataFrame) -> DataFrame:
     endless = jump.select("tree", "node")  # after that many doublings only cycles are left
     found = leaves.join(endless, ["tree", "node"], "left_anti")
     found = found.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    found = materialize(found, "chat-paths")
     for k, jump in enumerate(jumps):
         step = found.join(jump, ["tree", "node"])
         step = step.select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        found = found.unionByName(step)
-    return materialize(found, "chat-paths")
+        found = materialize(found.unionByName(step), "chat-paths")
+    return found
 
 
 def format_trees(messages: DataFrame, branches: int | None = 1, assistant: str = "assistant") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steppe.llm import chat, media, packing, pieces, quality, sharding, urls, warc
+from steppe.llm import chat, jaccard, langid, media, packing, pieces, quality, sharding, urls, warc
 from steppe.llm.shared import materialize, table
 
 
@@ -62,6 +62,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.filter(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.label_column(model, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts stored as media in tar shards and read back."""
     stored = media.store(table(spark, sf_dir, "documents"))
@@ -104,6 +113,11 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their class of near copies and number of links."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     rows = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -118,10 +132,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sharding": op2_sharding,
+    "op3_language_id": op3_language_id,
     "op4_media_columns": op4_media_columns,
     "op5_url_filters": op5_url_filters,
     "op6_quality_rules": op6_quality_rules,
     "op7_warc_revisits": op7_warc_revisits,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_sentencepiece": op10_sentencepiece,
 }

@@ -17,8 +17,10 @@ packed one by one; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,18 @@ CAPACITY = 2048
 #: Lengths are fitted in so many bins; a pattern fills all of them.
 BINS = 256
 #: Texts between two spaces that a task remembers with their ids.
-CACHE = 1 << 18
+CACHE = 1 << 19
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+_STOPS = frozenset(".,;:!?")
+#: Byte-level spelling: bytes that are no visible Latin-1 character are moved beyond it, in order.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
 class WordIds(dict):
     """Ids of a text between spaces, as little-endian unsigned 32-bit numbers.
 
@@ -50,10 +58,28 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        probe = ("cafés", "straße", "mañana")
+        self.direct = all(self.tokenizer.encode(w, add_special_tokens=False).ids == self._direct(w) for w in probe)
+
+    def _direct(self, word: str) -> list[int]:
+        """Ids of small letters: the byte-level spelling, then the merges."""
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [t.id for t in self.tokenizer.model.tokenize(spelled)]
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        packed = np.array(ids, "<u4").tobytes()
+        """The tokenizer parts letters from punctuation and lowers each letter
+        by itself, so a word with a stop or capitals is put together from the
+        ids of its parts. A word of small letters in normal form goes straight
+        to the tokenizer's model; all else takes its whole way."""
+        if word[-1:] in _STOPS and word[:-1].isalpha():
+            packed = self[word[:-1]] + self[word[-1]]
+        elif word.isalpha() and not word.islower() and "Σ" not in word and (low := word.lower()) != word:
+            packed = self[low]
+        elif self.direct and word.isalpha() and word.islower() and unicodedata.is_normalized("NFC", word):
+            packed = np.array(self._direct(word), "<u4").tobytes()
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            packed = np.array(ids, "<u4").tobytes()
         if len(word) <= 64:
             if len(self) >= CACHE:
                 self.clear()
@@ -64,9 +90,15 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """What a Python worker remembers from one task to the next."""
+    return WordIds(path)
+
+
 def _cutter(path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = WordIds(path), TaskContext.get().partitionId()
+        words, part = word_ids(path), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

@@ -22,9 +22,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM = 1
 UNKNOWN_PENALTY = 10.0
-CACHE = 1 << 18
+CACHE = 1 << 20
 ENCODED = "doc_id long, n_chars long, n_tokens long, n_byte_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
 
 
@@ -159,9 +161,24 @@ class Model:
         spelled = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.byte_ids = [spelled[b] for b in range(256)] if len(spelled) == 256 else None
         self.surface = [self._surface(p, k) for p, k in zip(self.pieces, self.kinds, strict=True)]
-        crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in map(bytes.decode, usable))
-        alone = "" if "\n" in "".join(map(bytes.decode, usable)) else "\n"
-        self.word = None if crossing else re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.word = self._cuts(list(map(bytes.decode, usable)))
+
+    @staticmethod
+    def _cuts(pieces: list[str]) -> re.Pattern | None:
+        """Where texts can be cut: between characters that no piece joins.
+
+        None if a piece reaches over the start of a word.
+        """
+        if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
+            return None
+        alone = "" if any("\n" in p for p in pieces) else "\n"
+        first = f"{alone}|" if alone else ""
+        pairs = {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False) if b in string.punctuation}
+        joining = re.escape("".join(sorted({a for a, _ in pairs})))
+        letters = rf"[^\W\d_{joining}]++"  # that no piece joins to punctuation
+        stops = re.escape(string.punctuation)
+        plain = f"{MARK}*{letters}(?=[{MARK}{alone}{stops}]|$)"
+        return re.compile(f"{first}{plain}|{MARK}*[^{MARK}{alone}]+|{MARK}+")
 
     @staticmethod
     def _surface(piece: str, kind: int) -> bytes:
@@ -247,10 +264,16 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, self.model.word.findall(text))) if self.model.word else self[text]
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """What a Python worker remembers from one task to the next."""
+    return WordIds(Model(path))
+
+
 def _coder(path: str):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(path)
-        words = WordIds(model)
+        words = word_ids(path)
+        model = words.model
         is_byte = np.array([k == BYTE for k in model.kinds])
         for batch in batches:
             rows = []
@@ -271,7 +294,7 @@ def _coder(path: str):
 
 def _ids(path: str):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(Model(path))
+        words = word_ids(path)
         for batch in batches:
             ids = [np.frombuffer(words.of(x.as_py()), "<u4").astype("i4") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -281,7 +304,7 @@ def _ids(path: str):
 
 def _texts(path: str):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(path)
+        model = word_ids(path).model
         for batch in batches:
             texts = [model.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from steppe.operators.windows import correlation
+
 
 @dataclass(frozen=True)
 class Expectation:
@@ -110,7 +112,7 @@ def cross_source(annual_a: DataFrame, annual_b: DataFrame, least_years: int = 5)
     enough = F.count("*") >= least_years
     return both.agg(
         F.count("*").alias("n_years"),
-        F.when(enough, F.corr("a", "b")).alias("correlation"),
+        F.when(enough, correlation("a", "b")).alias("correlation"),
         (F.abs(F.avg("b") - F.avg("a")) / F.avg("a")).alias("divergence"),
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from steppe.operators.windows import correlation
+
 MIN_ROWS = 10
 
 
@@ -115,7 +117,7 @@ def paired_statistics(pairs: DataFrame, min_dates: int = 5) -> DataFrame:
     rank = F.rank().over(Window.partitionBy(nonzero).orderBy(size)) + (F.count("*").over(ties) - 1) / 2
     rows = pairs.withColumn("_rank", F.when(nonzero, rank)).withColumn("_before", F.lag("d").over(order))
     n, std = F.count("*"), F.stddev_samp("d")
-    r = F.when((n > 3) & (F.stddev_pop("d") > 0), F.corr("d", "_before"))
+    r = F.when(n > 3, correlation("d", "_before"))
     stats = rows.agg(
         n.alias("n_dates"),
         F.avg("d").alias("mean_difference"),
@@ -123,7 +125,7 @@ def paired_statistics(pairs: DataFrame, min_dates: int = 5) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("_rank"))), F.lit(0.0)).alias("w_plus"),
         F.count_if(F.col("d") > 0).alias("wins"),
         F.count_if(F.col("d") < 0).alias("losses"),
-        F.when(~F.isnan(r), r).alias("lag1_r"),
+        r.alias("lag1_r"),
         (F.coalesce(F.max(size), F.lit(0.0)) < 1e-12).alias("identical"),
     )
     usable = (F.col("n_dates") >= min_dates) & ~F.col("identical")

@@ -10,6 +10,13 @@ from steppe.functions.calendar import month_cos, month_sin
 LAGS = (0, 1, 2, 3, 6)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation of the pairs; null when either side is constant."""
+    one, two = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    spread = F.stddev_pop(one) * F.stddev_pop(two)
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def by_cell() -> WindowSpec:
     return Window.partitionBy("cell_id").orderBy("date")
 
@@ -65,8 +72,8 @@ def middle_row(rows: DataFrame, strata: list[str], order: list[str]) -> DataFram
 def autocorrelation(series: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Lag-1 correlation over dates; null below four dates or for a constant series."""
     shifted = series.withColumn("_before", F.lag(value).over(Window.partitionBy(*keys).orderBy("date")))
-    r = F.when((F.count(value) > 3) & (F.stddev_pop(value) > 0), F.corr(value, "_before"))
-    return shifted.groupBy(*keys).agg(F.count(value).alias("n_dates"), F.when(~F.isnan(r), r).alias("lag1_r"))
+    r = F.when(F.count(value) > 3, correlation(value, "_before"))
+    return shifted.groupBy(*keys).agg(F.count(value).alias("n_dates"), r.alias("lag1_r"))
 
 
 def anomaly(panel: DataFrame, value: str, reference: Column) -> DataFrame:

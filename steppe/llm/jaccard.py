@@ -277,7 +277,7 @@ def verified(docs: DataFrame, signed: DataFrame, sets: DataFrame, groups: DataFr
     members = materialize(members, "near-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     same = texts["doc_id"].eqNullSafe(members["doc_id"])
-    rows = texts.join(members, same).select("node", "label", "size", "n_texts", "set_key", "text")
+    rows = texts.join(members.hint("merge"), same).select("node", "label", "size", "n_texts", "set_key", "text")
     rows = rows.mapInArrow(_shingle_rows, "node long, label long, size long, n_texts long, shingles binary")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -318,5 +318,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     found = join(docs, threshold)
     keep = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct(), "near-kept")
-    named = docs.join(keep.filter("doc_id IS NOT NULL"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    named = docs.join(keep.filter("doc_id IS NOT NULL").hint("merge"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id IS NULL"))

@@ -5,10 +5,10 @@ underscores). Each set gets a MinHash signature that is read as the paths of
 ``TREES`` prefix tries of depth ``DEPTH``. The matched prefix is shortened from
 full depth until the expected recall at the threshold reaches the target; in
 each sorted trie, neighbours that share the prefix become candidate links.
-Candidates whose signatures are far apart are dropped (at 4 standard
-deviations below the threshold), the rest connect groups, and inside a group
-all pairs are verified exactly, in blocks: a group of thousands of near copies
-is many tasks of two blocks each, and leaves counts, not pairs.
+Candidates whose signatures are far apart (``SLACK`` below the threshold) are
+dropped, the rest connect groups, and inside a group all pairs are verified
+exactly, in blocks: a group of thousands of near copies is many tasks of two
+blocks each, and leaves counts, not pairs.
 
 Equal sets are one class from the start, so exact copies cost one row each.
 
@@ -41,6 +41,9 @@ from steppe.llm.shared import materialize
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.999
+#: A candidate connects down to this much below the threshold: what lies between
+#: two linked sets in a trie is close to one of them, and so not far from the other.
+SLACK = 0.35
 #: Sets in one block of the exact verification.
 BLOCK = 256
 CACHE = 1 << 18
@@ -265,8 +268,7 @@ def candidates(signed: DataFrame, sets: DataFrame, threshold: float = THRESHOLD)
     sketch = heads.select("node", "sketch")
     links = links.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     links = links.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    spread = (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
-    return materialize(links.mapInArrow(_near(threshold - 4 * spread), "a long, b long"), "near-candidates")
+    return materialize(links.mapInArrow(_near(threshold - SLACK), "a long, b long"), "near-candidates")
 
 
 def verified(docs: DataFrame, signed: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

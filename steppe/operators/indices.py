@@ -97,6 +97,7 @@ def spei(panel: DataFrame, precipitation: str, evapotranspiration: str, months:
     own = Window.partitionBy("cell_id", "month")
     sample = rows.filter((F.col("date") >= F.lit(fit.start)) & (F.col("date") <= F.lit(fit.end)) & F.col("amount").isNotNull())
     ranked = sample.withColumn("k", F.row_number().over(own.orderBy("amount", "date"))).withColumn("n", F.count("*").over(own))
+    ranked = ranked.filter(F.col("n") >= max(3, min_samples))  # fewer have no third moment
     x, k, n = F.col("amount"), F.col("k"), F.col("n")
     fits = ranked.groupBy("cell_id", "month").agg(
         F.max("n").alias("n"),
@@ -104,17 +105,16 @@ def spei(panel: DataFrame, precipitation: str, evapotranspiration: str, months:
         F.avg(x * (n - k) / (n - 1)).alias("w1"),
         F.avg(x * (n - k) * (n - k - 1) / ((n - 1) * (n - 2))).alias("w2"),
     )
-    fits = fits.filter(F.col("n") >= min_samples)
-    beta = (2 * F.col("w1") - F.col("w0")) / (6 * F.col("w1") - F.col("w0") - 6 * F.col("w2"))
-    fits = fits.withColumn("beta", beta)
+    beta = F.try_divide(2 * F.col("w1") - F.col("w0"), 6 * F.col("w1") - F.col("w0") - 6 * F.col("w2"))
+    fits = fits.withColumn("beta", beta).filter("beta > 1 AND beta < 1000")  # beyond, the three parameters cancel each other out
     g = F.exp(log_gamma(1 + 1 / F.col("beta")) + log_gamma(1 - 1 / F.col("beta")))
     fits = fits.withColumn("alpha", (F.col("w0") - 2 * F.col("w1")) * F.col("beta") / g)
     fits = fits.withColumn("gamma", F.col("w0") - F.col("alpha") * g)
     joined = rows.join(fits, ["cell_id", "month"], "left")
     above = F.col("amount") - F.col("gamma")
-    h = F.when(above > 0, 1 / (1 + F.pow(F.col("alpha") / above, F.col("beta")))).when(above <= 0, 0.0)
+    h = F.when(above > 0, 1 / (1 + F.pow(F.try_divide(F.col("alpha"), above), F.col("beta")))).when(above <= 0, 0.0)
     inside = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), h))
-    good = (F.col("beta") > 1) & (F.col("alpha") > 0) & h.isNotNull() & ~F.isnan(h)
+    good = (F.col("alpha") > 0) & h.isNotNull() & ~F.isnan(h)
     return joined.select("cell_id", "date", F.when(good, norm_ppf(inside)).alias(f"spei_{months}"))
 
 

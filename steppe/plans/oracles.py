@@ -205,6 +205,21 @@ features AS (SELECT cell_id, date, LAG(precip, 6) {W} AS oldest, LEAD(precip, 1)
 kept AS (SELECT * FROM features WHERE split IS NOT NULL AND oldest IS NOT NULL AND actual IS NOT NULL)
 """
 
+SPEI = f"""WITH {BASE},
+balance AS (SELECT cell_id, date, precip - (150.0 + 10 * month(date)) AS b FROM panel),
+amounts AS (SELECT cell_id, date, month(date) AS m, CASE WHEN COUNT(b) OVER w = 3 THEN SUM(b) OVER w END AS amount FROM balance
+  WINDOW w AS (PARTITION BY cell_id ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell_id, m ORDER BY amount, date) AS k, COUNT(*) OVER (PARTITION BY cell_id, m) AS n FROM amounts WHERE {FIT} AND amount IS NOT NULL),
+moments AS (SELECT cell_id, m, AVG(amount) AS w0, AVG(amount * (n - k) / (n - 1)) AS w1, AVG(amount * (n - k) * (n - k - 1) / ((n - 1) * (n - 2))) AS w2 FROM ranked WHERE n >= 4 GROUP BY 1, 2),
+shapes AS (SELECT *, (2 * w1 - w0) / NULLIF(6 * w1 - w0 - 6 * w2, 0) AS beta FROM moments),
+gammas AS (SELECT *, exp(lgamma(1 + 1 / beta) + lgamma(1 - 1 / beta)) AS g FROM shapes WHERE beta > 1 AND beta < 1000),
+fitted AS (SELECT cell_id, m, beta, (w0 - 2 * w1) * beta / g AS alpha, w0 - (w0 - 2 * w1) * beta AS xi FROM gammas),
+h AS (SELECT a.cell_id, a.date, CASE WHEN f.alpha > 0 AND a.amount > f.xi THEN 1 / (1 + pow(f.alpha / (a.amount - f.xi), f.beta)) WHEN f.alpha > 0 AND a.amount <= f.xi THEN 0.0 END AS h
+  FROM amounts a LEFT JOIN fitted f ON f.cell_id = a.cell_id AND f.m = a.m),
+inside AS (SELECT cell_id, date, CASE WHEN h IS NOT NULL THEN greatest(1e-9::DOUBLE, least(1 - 1e-9::DOUBLE, h)) END AS p FROM h)
+SELECT cell_id, date, CASE WHEN p IS NOT NULL THEN round({norm_ppf("p")}, 4) END AS spei_3 FROM inside"""
+
+
 ORACLES = {
     "monthly_panel": f"WITH {BASE} SELECT cell_id, date, precip, sparse, n_obs FROM panel",
     "month_spine": f"WITH {GAPPY} SELECT date, COUNT(*) AS n_cells, COUNT(*) - COUNT(amount) AS n_missing FROM gappy GROUP BY 1",
@@ -292,6 +307,7 @@ ORACLES = {
       SELECT population, round(mean, 6) AS mean, round(MAX(mean) OVER () - MIN(mean) OVER (), 6) AS spread FROM n""",
     "basin_areas": "SELECT s_nationkey AS main_basin, COUNT(*) AS n_parts, round(CAST(SUM(CAST(s_acctbal + 1000 AS DECIMAL(18,2))) AS DOUBLE), 6) AS area_km2 FROM supplier GROUP BY 1",
     "gamma_params": f"WITH {BASE}, {fit('sparse', 1)} SELECT cell_id, month, n, n_positive, round(q, 6) AS q, round(shape, 6) AS shape, round(scale, 6) AS scale FROM params",
+    "spei_3": SPEI,
     "spi_1": spi("precip", 1),
     "spi_3": spi("precip", 3),
     "spi_1_sparse": spi("sparse", 1),

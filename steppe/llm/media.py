@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steppe.llm.shared import materialize, scratch_path
+from steppe.llm.shared import map_batches, materialize, scratch_path
 
 WIDTH = 64
 #: Bytes after which a task begins another shard (and forgets what the last one holds).
@@ -209,14 +209,14 @@ def store(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Store the padded texts; the table of addresses, written and read back."""
     root = scratch_path(docs.sparkSession, "media")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    return materialize(rows.mapInArrow(_writer(root, shard_bytes), ADDRESS), "media-rows")
+    return materialize(map_batches(rows, _writer(root, shard_bytes), ADDRESS), "media-rows")
 
 
 def with_headers(addresses: DataFrame) -> DataFrame:
     """Adds width, height, bit depth and colour type, reading 33 bytes of each."""
-    return addresses.mapInArrow(_headers, HEADER)
+    return map_batches(addresses, _headers, HEADER)
 
 
 def with_contents(addressed: DataFrame) -> DataFrame:
     """Reads the media back: digests, checksum and feature of the payloads."""
-    return addressed.mapInArrow(_contents, CONTENT)
+    return map_batches(addressed, _contents, CONTENT)

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from steppe.llm.shared import map_batches
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM = 1
@@ -318,15 +320,15 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id and ids of each text."""
-    return _rows(docs).mapInArrow(_ids(model_file), "doc_id long, ids array<int>")
+    return map_batches(_rows(docs), _ids(model_file), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     """doc_id and text from ids."""
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
-    return rows.mapInArrow(_texts(model_file), "doc_id long, text string")
+    return map_batches(rows, _texts(model_file), "doc_id long, text string")
 
 
 def encode_and_check(docs: DataFrame, model_file: str) -> DataFrame:
     """Encodes and decodes each text in one pass; figures and digests of both."""
-    return _rows(docs).mapInArrow(_coder(model_file), ENCODED)
+    return map_batches(_rows(docs), _coder(model_file), ENCODED)

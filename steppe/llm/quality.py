@@ -166,5 +166,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     again beside its text, which is cheaper than moving texts to their verdict.
     """
     cutoffs = calibrate(materialize(signals(docs), "quality-signals"), labels)
-    columns = list(docs.columns)
-    return judge(signals(docs, keep=columns), cutoffs).filter("_kept").select(*columns)
+    rows = docs.select(F.struct("*").alias("_row"), "text", "lang")  # columns of any name
+    return judge(signals(rows, keep=["_row"]), cutoffs).filter("_kept").select("_row.*")

@@ -37,16 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steppe.llm.components import connected
-from steppe.llm.shared import materialize
+from steppe.llm.shared import map_batches, materialize
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 24, 8, 0.999
+TREES, DEPTH, RECALL = 18, 7, 0.999
 #: A candidate connects down to this much below the threshold: what lies between
 #: two linked sets in a trie is close to one of them, and so not far from the other.
 SLACK = 0.35
 #: Sets in one block of the exact verification.
 BLOCK = 256
-CACHE = 1 << 18
+CACHE = 1 << 17
 WORD = re.compile(r"\w+")
 
 _random = np.random.default_rng(20240607)
@@ -138,18 +138,14 @@ def _signer(depth: int):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between rows at most two apart that share trie and prefix."""
+    """Links between neighbouring rows that share trie and prefix."""
     carried = np.zeros((3, 0), np.int64)
     for batch in batches:
         rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tree", "key", "node")])
         rows = np.concatenate([carried, rows], axis=1)
-        found = []
-        for gap in (1, 2):
-            if rows.shape[1] > gap:
-                same = (rows[:2, gap:] == rows[:2, :-gap]).all(axis=0)
-                found.append(np.stack([rows[2, gap:][same], rows[2, :-gap][same]]))
-        carried = rows[:, -2:]
-        ends = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        same = (rows[:2, 1:] == rows[:2, :-1]).all(axis=0)
+        ends = np.stack([rows[2, 1:][same], rows[2, :-1][same]])
+        carried = rows[:, -1:]
         yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=0)), pa.array(ends.max(axis=0))], names=["a", "b"])
 
 
@@ -243,7 +239,7 @@ def _verifier(threshold: float):
 
 def signatures(docs: DataFrame, depth: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = rows.mapInArrow(_signer(depth), SIGNED)
+    signed = map_batches(rows, _signer(depth), SIGNED)
     return materialize(signed.withColumn("node", F.monotonically_increasing_id()), "near-signatures")
 
 
@@ -264,11 +260,11 @@ def candidates(signed: DataFrame, sets: DataFrame, threshold: float = THRESHOLD)
     leaves = leaves.select("tree", F.col("x.keys").alias("key"), F.col("x.deeper").alias("deeper"), "node")
     order = ["tree", "key", "deeper", "node"]
     tries = leaves.repartitionByRange(*order).sortWithinPartitions(*order)
-    links = tries.mapInArrow(_neighbours, "a long, b long").distinct()
+    links = map_batches(tries, _neighbours, "a long, b long").distinct()
     sketch = heads.select("node", "sketch")
     links = links.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     links = links.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    return materialize(links.mapInArrow(_near(threshold - SLACK), "a long, b long"), "near-candidates")
+    return materialize(map_batches(links, _near(threshold - SLACK), "a long, b long"), "near-candidates")
 
 
 def verified(docs: DataFrame, signed: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -280,7 +276,7 @@ def verified(docs: DataFrame, signed: DataFrame, sets: DataFrame, groups: DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     same = texts["doc_id"].eqNullSafe(members["doc_id"])
     rows = texts.join(members.hint("merge"), same).select("node", "label", "size", "n_texts", "set_key", "text")
-    rows = rows.mapInArrow(_shingle_rows, "node long, label long, size long, n_texts long, shingles binary")
+    rows = map_batches(rows, _shingle_rows, "node long, label long, size long, n_texts long, shingles binary")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -294,7 +290,7 @@ def verified(docs: DataFrame, signed: DataFrame, sets: DataFrame, groups: DataFr
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links for each document; also text_key and n_copies."""
+    """doc_id, class_id and n_links for each document."""
     signed = signatures(docs, matched_depth(threshold, recall))
     sets = classes(signed)
     groups = connected(candidates(signed, sets, threshold))

@@ -20,17 +20,18 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from steppe.llm.shared import map_batches
+
 #: Bound of the training sample: documents of each language, on average.
 TRAIN_DOCS = 2000
 #: Log probability lost by each switch of language, and the least of one word.
@@ -161,15 +162,16 @@ def fit(docs: DataFrame, bound: int = TRAIN_DOCS) -> Model | None:
 def switching_path(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     """Best language of each word, by Viterbi with a penalty for each switch.
 
-    Where no stretch of words favours another language over the best single
-    one by more than half the penalty, no path with switches can win, and the
-    single language is returned at once.
+    No stretch of words in other languages can pay for the switches around it
+    if none favours one of them by more than the penalty, and the stretches at
+    both ends together do not either; then the best single language is the path.
     """
     n = len(scores)
     best = int(np.argmax(scores.sum(axis=0)))
     gain = np.cumsum(scores - scores[:, [best]], axis=0, dtype=np.float64)
     lowest = np.minimum.accumulate(np.vstack([np.zeros((1, scores.shape[1])), gain[:-1]]), axis=0)
-    if (gain - lowest).max() <= penalty / 2:
+    ends = max(0.0, gain.max()) + (gain[-1] - np.minimum(lowest[-1], gain[-1])).max()
+    if (gain - lowest).max() <= penalty and ends <= penalty:
         return np.full(n, best)
     total = scores[0].astype(np.float64)
     leaders, switched = np.zeros(n, np.int64), np.zeros((n, len(total)), bool)
@@ -185,6 +187,19 @@ def switching_path(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     return path
 
 
+class _Index(dict):
+    """Numbers words as they come and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = number = len(self)
+        return number
+
+
 class Labeller:
     """Labels texts; remembers the scores of words it has seen."""
 
@@ -193,32 +208,20 @@ class Labeller:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.scores = np.zeros((1024, len(self.model.langs)), np.float32)
-        self.filled = 0
 
-    def _rows(self, words: list[str]) -> np.ndarray:
-        index = self.index
-        if len(index) > CACHE:
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        if len(self.index) > CACHE:
             self._reset()
-            index = self.index
-        for w in {w for w in words if w not in index}:
-            index[w] = len(index)
-        if len(index) > self.filled:
-            fresh = list(index)[self.filled :] if self.filled == 0 else self._last(len(index) - self.filled)
+        index = self.index
+        rows = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        if index.fresh:
             while len(self.scores) < len(index):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[self.filled : len(index)] = self.model.score(fresh)
-            self.filled = len(index)
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-
-    def _last(self, n: int) -> list[str]:
-        out = []
-        for w in reversed(self.index):
-            out.append(w)
-            if len(out) == n:
-                break
-        return out[::-1]
+            self.scores[len(index) - len(index.fresh) : len(index)] = self.model.score(index.fresh)
+            index.fresh = []
+        return self.scores[rows]
 
     def label(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
@@ -232,10 +235,6 @@ class Labeller:
         score = float((np.exp(scores[:, best]) * sizes).sum() / sizes.sum())
         return self.model.langs[best], min(1.0, score)
 
-    def scores_of(self, words: list[str]) -> np.ndarray:
-        rows = self._rows(words)
-        return self.scores[rows]
-
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """Start, end and language of each stretch of words in one language."""
         found = list(WORD.finditer(text or ""))
@@ -252,29 +251,38 @@ class Labeller:
         return out
 
 
-def label_column(model: Model | None, text: Column, penalty: float = SWITCH) -> Column:
-    """struct(lang, score) of a text column, in Arrow batches."""
+def _labelled(model: Model | None, penalty: float):
+    """(language, score) of each text of a column."""
+    labeller = Labeller(model, penalty) if model else None
+    return lambda texts: [labeller.label(t.as_py()) if labeller else (UNKNOWN, 0.0) for t in texts]
+
+
+def label(docs: DataFrame, model: Model | None, penalty: float = SWITCH) -> DataFrame:
+    """doc_id, lang and score of each document, in Arrow batches."""
 
-    @F.pandas_udf("lang string, score double")
-    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        labeller = Labeller(model, penalty) if model else None
-        for texts in batches:
-            rows = [labeller.label(t) if labeller else (UNKNOWN, 0.0) for t in texts]
-            yield pd.DataFrame(rows, columns=["lang", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _labelled(model, penalty)
+        for batch in batches:
+            langs, scores = zip(*of(batch.column(1)), strict=True) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang", "score"])
 
-    return label(text)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_batches(rows, run, "doc_id long, lang string, score double")
 
 
-def span_column(model: Model, text: Column, penalty: float = SWITCH) -> Column:
-    """array of struct(start, end, lang) of a text column."""
+def label_spans(docs: DataFrame, model: Model, penalty: float = SWITCH) -> DataFrame:
+    """doc_id, start, end and lang: one row for each stretch in one language."""
 
-    @F.pandas_udf("array<struct<start:int,end:int,lang:string>>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model, penalty)
-        for texts in batches:
-            yield pd.Series([[{"start": a, "end": b, "lang": k} for a, b, k in labeller.spans(t)] for t in texts])
+        for batch in batches:
+            rows = [(i, *span) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for span in labeller.spans(t.as_py())]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "start", "end", "lang"])
 
-    return spans(text)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_batches(rows, run, "doc_id long, start int, end int, lang string")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -285,13 +293,11 @@ def held_out(doc_id: Column) -> Column:
 def keep_known(docs: DataFrame, least: float, bound: int = TRAIN_DOCS) -> DataFrame:
     """Documents whose language is known with at least the given score."""
     model = fit(docs.filter(~held_out(F.col("doc_id"))), bound)
-    found = label_column(model, F.col("text"))
-    columns = list(docs.columns)
-    rows = docs.select(*columns, found.alias("_language"))
-    good = (F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= least)
-    return rows.filter(good).select(*columns)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _labelled(model, SWITCH)
+        for batch in batches:
+            good = [lang != UNKNOWN and score >= least for lang, score in of(batch.column("text"))]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
-def log_switch(p: float) -> float:
-    """The penalty that a probability of switching stands for."""
-    return -math.log(p)
+    return map_batches(docs, run, docs.schema)

@@ -65,16 +65,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    held_out = langid.held_out(F.col("doc_id"))
-    model = langid.fit(docs.filter(~held_out))
-    found = docs.select("doc_id", held_out.alias("held_out"), langid.label_column(model, F.col("text")).alias("found"))
-    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    found = langid.label(docs, model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts stored as media in tar shards and read back."""
     stored = media.store(table(spark, sf_dir, "documents"))
-    return media.with_contents(media.with_headers(stored))
+    return media.with_contents(media.with_headers(stored)).drop("shard", "offset")  # where, not what
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

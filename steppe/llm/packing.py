@@ -4,7 +4,7 @@ Texts become token ids and pieces of at most ``capacity`` tokens, where Spark
 holds them. Only the histogram of piece lengths (at most ``capacity`` numbers,
 whatever the input) comes to the driver: patterns of one to three lengths that
 fill a sequence are enumerated, repeat counts are fitted to the histogram by
-non-negative least squares and rounded, and what is left over is packed by best
+non-negative least squares and rounded down, and what is left over is packed by best
 fit, also counted by length. The plan is a bounded list of runs, "so many
 sequences with these lengths". A piece then finds its place from its length and
 its rank among the pieces of that length, which comes from counts in the task
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from steppe.llm.shared import materialize
+from steppe.llm.shared import map_batches, materialize
 
 CAPACITY = 2048
 #: Lengths are fitted in so many bins; a pattern fills all of them.
@@ -122,7 +122,7 @@ def _cutter(path: str, capacity: int, end_id: int):
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """The pieces of all documents with their rank among equals of the same task."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(rows.mapInArrow(_cutter(tokenizer, capacity, end_id), PIECES), "pack-pieces")
+    return materialize(map_batches(rows, _cutter(tokenizer, capacity, end_id), PIECES), "pack-pieces")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -137,7 +137,11 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
         used[best] = True
         while True:
             index = np.flatnonzero(used)
-            fit = np.linalg.lstsq(a[:, index], b, rcond=None)[0]
+            own = a[:, index]
+            try:
+                fit = np.linalg.solve(own.T @ own + 1e-10 * np.eye(len(index)), own.T @ b)
+            except np.linalg.LinAlgError:
+                fit = np.linalg.lstsq(own, b, rcond=None)[0]
             if (fit > 0).all():
                 x[:] = 0
                 x[index] = fit
@@ -214,7 +218,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, n_bins: int = BINS
             for b in pattern:
                 a[b, j] += 1
         weight = np.sqrt(np.arange(n_bins + 1) / n_bins)[:, None]  # a long piece left over costs more
-        fitted = np.rint(nnls(a * weight, counts * weight[:, 0])).astype(int)
+        fitted = np.floor(nnls(a * weight, counts * weight[:, 0]) + 1e-6).astype(int)
         for j in np.argsort(-fitted, kind="stable"):
             need = {b: found[j].count(b) for b in found[j]}
             n = min([int(fitted[j]), *(bins[b].total // k for b, k in need.items())])
@@ -320,4 +324,4 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, n_bins: int = BINS) -> DataF
     base = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = rows.join(base, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "part")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInArrow(_placer(places), PLACED)
+    return map_batches(ranked, _placer(places), PLACED)

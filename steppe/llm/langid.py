@@ -3,8 +3,11 @@
 The script of a word, found by ranges of code points, narrows the languages it
 can be in; letter trigrams score the word in each of them; Viterbi with a
 penalty for each switch labels spans of mixed text. A text's language is the
-one that labels most of its letters, and its score is the mean probability of
-that language over all letters.
+one that labels most of its letters, and its score is the mean over all letters
+of the word's probability in that language, times the share of the word's
+trigrams that were learned in it. A trigram that a language never showed weighs
+the same in all of them, so text of no learned language favours none and scores
+low, however the training texts are sized.
 
 The model is fitted in Spark on a bounded sample: about ``TRAIN_DOCS``
 documents of each language, chosen by a hash of id and language, whole texts
@@ -14,7 +17,7 @@ Prediction is a map over all documents without a shuffle.
 Defined results: ``und`` with score 0 for a null text or one without letters,
 and for every text if nothing could be learned; ties go to the language that
 comes first; words in a script of no learned language count for all languages
-alike; null ids and repeated rows are kept; an empty table gives no rows;
+alike and score 0; null ids and repeated rows are kept; an empty table gives no rows;
 further columns are ignored.
 """
 
@@ -38,6 +41,10 @@ TRAIN_DOCS = 2000
 SWITCH, FLOOR = 12.0, -6.0
 #: Share of a language's letters that makes a script one of its own.
 SCRIPT_SHARE = 0.02
+#: The cut-off of ``keep_known``: a share of the learning documents is set aside,
+#: all but ``LOST`` of those labelled right have some score, and less than
+#: ``MARGIN`` times that is no known language. Fewer than ``ENOUGH`` tell nothing.
+ASIDE, LOST, MARGIN, ENOUGH = 5, 0.001, 0.8, 100
 UNKNOWN = "und"
 CACHE = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
@@ -96,11 +103,12 @@ def _code(points: np.ndarray) -> np.ndarray:
 class Model:
     langs: list[str]
     codes: np.ndarray  # sorted trigram codes
-    logs: np.ndarray  # log probability of each trigram in each language; the last row is for others
+    logs: np.ndarray  # log probability of each trigram in each language; the last row, of equal values, is for others
+    seen: np.ndarray  # 1 where the language showed the trigram; the last row is 0
     allowed: np.ndarray  # script range x language: 0, or minus infinity where the script rules it out
 
-    def score(self, words: list[str]) -> np.ndarray:
-        """Log probability of each language for each word."""
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each language for each word, and the share of its trigrams seen in it."""
         joined = "".join(f"{_START}{w}{_END}" for w in words)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -108,15 +116,16 @@ class Model:
         codes = _code(points)
         found = np.searchsorted(self.codes, codes)
         found[(found == len(self.codes)) | (self.codes[np.minimum(found, len(self.codes) - 1)] != codes)] = len(self.codes)
-        rows = self.logs[found]
+        rows, seen = self.logs[found], self.seen[found]
         inside = np.ones(len(points), bool)  # a trigram that begins at the end of a word reaches into the next
         inside[starts + sizes - 2] = inside[starts + sizes - 1] = False
-        rows[~inside[: len(rows)]] = 0
+        rows[~inside[: len(rows)]] = seen[~inside[: len(rows)]] = 0
         total = np.add.reduceat(rows, starts, axis=0)
         total = total + self.allowed[np.searchsorted(_STARTS, points[starts + 1], "right") - 1]
         top = total.max(axis=1, keepdims=True)
         total = total - top - np.log(np.exp(total - top).sum(axis=1, keepdims=True))
-        return np.maximum(total, FLOOR).astype(np.float32)
+        known = np.add.reduceat(seen, starts, axis=0) / (sizes - 2)[:, None]
+        return np.maximum(total, FLOOR).astype(np.float32), known.astype(np.float32)
 
 
 def build(counts: list[tuple[str, str, int]]) -> Model | None:
@@ -132,31 +141,68 @@ def build(counts: list[tuple[str, str, int]]) -> Model | None:
     for lang, trigram, n in counts:
         table[place[trigram], at[lang]] += n
         letters[bisect_right(_STARTS, ord(trigram[1])) - 1, at[lang]] += n
-    logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table)))
+    sizes = table.sum(axis=0)
+    unseen = 0.5 * len(table) / (sizes.mean() + 0.5 * len(table))  # one share for all languages
+    logs = np.log((1 - unseen) * table / sizes + unseen / len(table))
     names_of = [s for _, s in SCRIPTS]
     by_script = np.array([[letters[[n == s for n in names_of], k].sum() for k in range(len(langs))] for s in names_of])
     own = by_script >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1)
     own[~own.any(axis=1)] = True
     codes = np.concatenate([_code(np.array(list(map(ord, t)))) for t in names])
-    return Model(langs, codes, logs, np.where(own, 0.0, -np.inf))
+    return Model(langs, codes, logs, (table > 0).astype(np.float32), np.where(own, 0.0, -np.inf))
 
 
-def fit(docs: DataFrame, bound: int = TRAIN_DOCS) -> Model | None:
-    """Fit on a sample of about ``bound`` documents of each language of ``docs``."""
+def _sample(docs: DataFrame, bound: int) -> DataFrame | None:
+    """doc_id, lang, text and aside of about ``bound`` documents of each language."""
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, bound / n))])
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(draw < share[F.col("lang")])
+    aside = F.pmod(F.xxhash64("doc_id", "lang", F.lit(1)), F.lit(ASIDE)) == 0
+    return rows.filter(draw < share[F.col("lang")]).withColumn("aside", aside)
+
+
+def _counts(sample: DataFrame) -> list[tuple[str, str, bool, int]]:
+    """Trigrams of each language, of the documents aside and of the others; bounded by the sample."""
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    counted = sample.select("lang", words.alias("word")).groupBy("lang", "word").count()
+    counted = sample.select("lang", "aside", words.alias("word")).groupBy("lang", "aside", "word").count()
     padded = F.concat(F.lit(_START), "word", F.lit(_END))
     grams = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(padded, i, F.lit(3)))
-    grams = counted.select("lang", "count", F.explode(grams).alias("trigram"))
-    table = grams.groupBy("lang", "trigram").agg(F.sum("count").alias("n"))
-    return build([(r["lang"], r["trigram"], r["n"]) for r in table.collect()])  # bounded by the sample
+    grams = counted.select("lang", "aside", "count", F.explode(grams).alias("trigram"))
+    table = grams.groupBy("lang", "trigram", "aside").agg(F.sum("count").alias("n"))
+    return [(r["lang"], r["trigram"], r["aside"], r["n"]) for r in table.collect()]
+
+
+def fit(docs: DataFrame, bound: int = TRAIN_DOCS) -> Model | None:
+    """Fit on a sample of about ``bound`` documents of each language of ``docs``."""
+    sample = _sample(docs, bound)
+    return None if sample is None else build([(lang, t, n) for lang, t, _, n in _counts(sample)])
+
+
+def fit_with_cut(docs: DataFrame, least: float, bound: int = TRAIN_DOCS) -> tuple[Model | None, float]:
+    """The model of ``fit``, and the least score of a known language.
+
+    The score comes from documents that a second model did not learn from; it
+    is ``least`` where they are too few, and never below it.
+    """
+    sample = _sample(docs, bound)
+    if sample is None:
+        return None, least
+    counts = _counts(sample)
+    trial = build([(lang, t, n) for lang, t, aside, n in counts if not aside])
+    tested = sample.filter("aside").select("lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _labelled(trial, SWITCH)
+        for batch in batches:
+            scores = [score for lang, (found, score) in zip(batch.column(0).to_pylist(), of(batch.column(1)), strict=True) if lang == found]
+            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64())], names=["score"])
+
+    scores = [r["score"] for r in map_batches(tested, run, "score double").collect()]
+    cut = MARGIN * float(np.quantile(scores, LOST, method="lower")) if len(scores) >= ENOUGH else least
+    return build([(lang, t, n) for lang, t, _, n in counts]), max(least, cut)
 
 
 def switching_path(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -210,8 +256,10 @@ class Labeller:
     def _reset(self) -> None:
         self.index = _Index()
         self.scores = np.zeros((1024, len(self.model.langs)), np.float32)
+        self.shares = np.zeros_like(self.scores)  # probability times the share of seen trigrams
 
-    def scores_of(self, words: list[str]) -> np.ndarray:
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """Where the scores and shares of the words are."""
         if len(self.index) > CACHE:
             self._reset()
         index = self.index
@@ -219,20 +267,23 @@ class Labeller:
         if index.fresh:
             while len(self.scores) < len(index):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[len(index) - len(index.fresh) : len(index)] = self.model.score(index.fresh)
+                self.shares = np.concatenate([self.shares, np.zeros_like(self.shares)])
+            logs, known = self.model.score(index.fresh)
+            fresh = slice(len(index) - len(index.fresh), len(index))
+            self.scores[fresh], self.shares[fresh] = logs, np.exp(logs) * known
             index.fresh = []
-        return self.scores[rows]
+        return rows
 
     def label(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
         if not words:
             return UNKNOWN, 0.0
-        scores = self.scores_of(words)
+        rows = self.rows_of(words)
         sizes = np.fromiter(map(len, words), np.float64, len(words))
-        path = switching_path(scores, self.penalty)
+        path = switching_path(self.scores[rows], self.penalty)
         weight = np.bincount(path, sizes, len(self.model.langs))
         best = int(np.argmax(weight))
-        score = float((np.exp(scores[:, best]) * sizes).sum() / sizes.sum())
+        score = float((self.shares[rows, best] * sizes).sum() / sizes.sum())
         return self.model.langs[best], min(1.0, score)
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
@@ -240,7 +291,7 @@ class Labeller:
         found = list(WORD.finditer(text or ""))
         if not found:
             return []
-        path = switching_path(self.scores_of([m.group().lower() for m in found]), self.penalty)
+        path = switching_path(self.scores[self.rows_of([m.group().lower() for m in found])], self.penalty)
         out: list[tuple[int, int, str]] = []
         for m, k in zip(found, path, strict=True):
             lang = self.model.langs[k]
@@ -291,13 +342,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def keep_known(docs: DataFrame, least: float, bound: int = TRAIN_DOCS) -> DataFrame:
-    """Documents whose language is known with at least the given score."""
-    model = fit(docs.filter(~held_out(F.col("doc_id"))), bound)
+    """Documents whose language is known with at least the score learned, or the given one if higher."""
+    model, cut = fit_with_cut(docs.filter(~held_out(F.col("doc_id"))), least, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _labelled(model, SWITCH)
         for batch in batches:
-            good = [lang != UNKNOWN and score >= least for lang, score in of(batch.column("text"))]
+            good = [lang != UNKNOWN and score >= cut for lang, score in of(batch.column("text"))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return map_batches(docs, run, docs.schema)

@@ -173,6 +173,28 @@ def test_keep_known_drops_only_texts_without_language(spark, docs):
     assert {1, 2, 3, 7} <= ids and not ids & {4, 5, 6, 8}
 
 
+def test_keep_known_rejects_foreign_scripts_and_letter_junk(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(5)
+    consonants = " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), rng.integers(2, 9))) for _ in range(60))
+    letters = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(60))
+    russian, greek = "обычный русский текст о погоде и реке", "ένα ελληνικό κείμενο για τον καιρό"
+    bad = ["今天天气很好我们去公园散步", consonants, letters, russian, greek, "bu hava durumu ve nehir hakkında sıradan bir türkçe metindir"]
+    rows = [(-1 - i, t, None, "junk", len(t)) for i, t in enumerate(bad)]
+    kept = langid.keep_known(given.unionByName(spark.createDataFrame(rows, DOCS)), 0.3)
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert not [i for i in ids if i < 0]
+    assert len(ids) >= 0.998 * given.count()
+
+
+def test_unseen_trigrams_favour_no_language():
+    counts = [("aa", t, 1) for t in ("\x02ab", "abc", "bc\x03")] + [("bb", t, 1000) for t in ("\x02de", "def", "ef\x03")]
+    model = langid.build(counts)
+    assert np.ptp(model.logs[-1]) == 0
+    labeller = langid.Labeller(model)
+    assert labeller.label("xyz xyz")[1] == 0 and labeller.label("abc def def")[1] > 0.5
+
+
 # media
 
 

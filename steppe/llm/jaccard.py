@@ -4,7 +4,8 @@ Texts become sets of five-word shingles (lower case, letters, digits and
 underscores). Each set gets a MinHash signature that is read as the paths of
 ``TREES`` prefix tries of depth ``DEPTH``. The matched prefix is shortened from
 full depth until the expected recall at the threshold reaches the target; in
-each sorted trie, neighbours that share the prefix become candidate links.
+each sorted trie, rows at most ``NEXT`` apart that share the prefix become
+candidate links, also across the ends of range partitions.
 Candidates whose signatures are far apart (``SLACK`` below the threshold) are
 dropped, the rest connect groups, and inside a group all pairs are verified
 exactly, in blocks: a group of thousands of near copies is many tasks of two
@@ -40,7 +41,9 @@ from steppe.llm.components import connected
 from steppe.llm.shared import map_batches, materialize
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 18, 7, 0.999
+TREES, DEPTH, RECALL = 24, 8, 0.999
+#: Rows of a prefix run that each row is linked to: unlike rows may lie between two alike.
+NEXT = 4
 #: A candidate connects down to this much below the threshold: what lies between
 #: two linked sets in a trie is close to one of them, and so not far from the other.
 SLACK = 0.35
@@ -137,20 +140,72 @@ def _signer(depth: int):
     return sign
 
 
+def _pairs(rows: np.ndarray) -> np.ndarray:
+    """Ends of links between rows (tree, key, node) at most ``NEXT`` apart that share trie and prefix."""
+    found = [np.zeros((2, 0), np.int64)]
+    for gap in range(1, min(NEXT, rows.shape[1] - 1) + 1):
+        same = (rows[:2, gap:] == rows[:2, :-gap]).all(axis=0)
+        found.append(np.stack([rows[2, gap:][same], rows[2, :-gap][same]]))
+    return np.concatenate(found, axis=1)
+
+
+def _leaf_rows(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tree", "key", "deeper", "node")])
+
+
+#: Links have two ends; border rows have one, and their place in the order.
+LINKED = "a long, b long, tree long, key long, deeper long"
+
+
+def _linked(ends: np.ndarray, borders: np.ndarray) -> pa.RecordBatch:
+    n, m = ends.shape[1], borders.shape[1]
+    a = pa.array(np.concatenate([ends.min(axis=0), borders[3]]))
+    b = pa.concat_arrays([pa.array(ends.max(axis=0)), pa.nulls(m, pa.int64())])
+    places = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x)]) for x in borders[:3]]
+    return pa.RecordBatch.from_arrays([a, b, *places], names=["a", "b", "tree", "key", "deeper"])
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between neighbouring rows that share trie and prefix."""
-    carried = np.zeros((3, 0), np.int64)
+    """Links inside a range partition, and as borders its first and last ``NEXT`` rows."""
+    first = last = np.zeros((4, 0), np.int64)
     for batch in batches:
-        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tree", "key", "node")])
-        rows = np.concatenate([carried, rows], axis=1)
-        same = (rows[:2, 1:] == rows[:2, :-1]).all(axis=0)
-        ends = np.stack([rows[2, 1:][same], rows[2, :-1][same]])
-        carried = rows[:, -1:]
+        rows = _leaf_rows(batch)
+        first = np.concatenate([first, rows[:, : NEXT - first.shape[1]]], axis=1)
+        rows = np.concatenate([last, rows], axis=1)
+        last = rows[:, -NEXT:]
+        yield _linked(_pairs(rows[[0, 1, 3]]), np.zeros((4, 0), np.int64))
+    yield _linked(np.zeros((2, 0), np.int64), np.concatenate([first, last], axis=1))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between border rows, all sorted in one partition."""
+    carried = np.zeros((4, 0), np.int64)
+    for batch in batches:
+        rows = np.concatenate([carried, _leaf_rows(batch)], axis=1)
+        carried = rows[:, -NEXT:]
+        ends = _pairs(rows[[0, 1, 3]])
         yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=0)), pa.array(ends.max(axis=0))], names=["a", "b"])
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each node to the least one that the given links reach: no group changes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        fresh = label.copy()
+        np.minimum.at(fresh, label[one], label[two])
+        np.minimum.at(fresh, label[two], label[one])
+        fresh = fresh[fresh]
+        if (fresh == label).all():
+            break
+        label = fresh
+    other = label != np.arange(len(nodes))
+    return nodes[label[other]], nodes[other]
+
+
 def _near(least: float):
-    """Keeps candidate links whose sketches agree often enough."""
+    """Keeps candidate links whose sketches agree often enough, as a forest of each batch."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,8 +213,9 @@ def _near(least: float):
                 continue
             one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sketch_a", "sketch_b"))
             share = (one == two).mean(axis=1)
-            good = pa.array((share - 1 / 256) / (1 - 1 / 256) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+            good = (share - 1 / 256) / (1 - 1 / 256) >= least
+            a, b = _forest(*(batch.column(c).to_numpy()[good] for c in ("a", "b")))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return keep
 
@@ -252,6 +308,16 @@ def classes(signed: DataFrame) -> DataFrame:
     return materialize(sets, "near-sets")
 
 
+def links(tries: DataFrame) -> DataFrame:
+    """Links a < b between rows that share a prefix, in tries sorted within range partitions."""
+    order = ["tree", "key", "deeper", "node"]
+    found = materialize(map_batches(tries.select(*order), _neighbours, LINKED).distinct(), "near-neighbours")
+    borders = found.filter("b IS NULL").select("tree", "key", "deeper", F.col("a").alias("node"))
+    borders = borders.coalesce(1).sortWithinPartitions(*order)
+    across = map_batches(borders, _across, "a long, b long")
+    return found.filter("b IS NOT NULL").select("a", "b").unionByName(across)
+
+
 def candidates(signed: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Candidate links a < b between representatives, from all tries."""
     heads = signed.join(sets.filter("n_shingles > 0").select("node"), "node").select("node", "keys", "deeper", "sketch")
@@ -260,11 +326,11 @@ def candidates(signed: DataFrame, sets: DataFrame, threshold: float = THRESHOLD)
     leaves = leaves.select("tree", F.col("x.keys").alias("key"), F.col("x.deeper").alias("deeper"), "node")
     order = ["tree", "key", "deeper", "node"]
     tries = leaves.repartitionByRange(*order).sortWithinPartitions(*order)
-    links = map_batches(tries, _neighbours, "a long, b long").distinct()
+    near = links(tries)
     sketch = heads.select("node", "sketch")
-    links = links.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    links = links.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    return materialize(map_batches(links, _near(threshold - SLACK), "a long, b long"), "near-candidates")
+    near = near.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    near = near.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    return materialize(map_batches(near, _near(threshold - SLACK), "a long, b long"), "near-candidates")
 
 
 def verified(docs: DataFrame, signed: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

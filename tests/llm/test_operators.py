@@ -451,6 +451,29 @@ def test_expected_recall_sets_the_depth():
     assert jaccard.expected_recall(0.8, k) >= jaccard.RECALL > jaccard.expected_recall(0.8, k + 1)
 
 
+def test_rows_parted_by_unlike_rows_or_partitions_are_linked(spark):
+    order = ["tree", "key", "deeper", "node"]
+    rows = [(0, 7, d, 10 + d) for d in range(9)] + [(1, 7, 0, 30), (1, 8, 0, 31)]
+    want = {(10 + i, 10 + j) for i in range(9) for j in range(i + 1, min(9, i + 1 + jaccard.NEXT))}
+    for parts in (1, 5):
+        tries = spark.createDataFrame(rows, "tree int, key long, deeper long, node long").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        assert tries.rdd.getNumPartitions() == parts
+        assert want <= {(r["a"], r["b"]) for r in jaccard.links(tries).collect()} <= {(10 + i, 10 + j) for i in range(9) for j in range(i + 1, 9)}
+
+
+def test_jaccard_join_finds_near_copies_around_a_hot_passage(spark):
+    rng = np.random.default_rng(8)
+    hot, rows = [f"hot{i}" for i in range(60)], []
+    for k in range(600):
+        own = [f"own{k}x{i}" for i in range(40)]
+        near = list(own)
+        near[int(rng.integers(0, 40))] = "other"
+        rows += [(2 * k, " ".join(hot + own), "en", "h"), (2 * k + 1, " ".join(hot + near), "en", "h")]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    got = {r["doc_id"]: r["class_id"] for r in jaccard.join(documents(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(1200)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}

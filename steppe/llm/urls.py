@@ -3,8 +3,10 @@
 Pages that a rule fits have its verdict. For the others, hosts where rules
 mostly allow pages are trusted seeds and hosts where rules block most pages are
 blocked seeds. Personalised PageRank carries trust along links, and distrust
-against them, over the edges between hosts; a host is blocked when its distrust
-reaches a threshold and exceeds its trust.
+against them, over the edges between hosts. Distrust is divided among all hosts
+that link to a blocked one; risk goes the same way undivided, by the share of a
+host's own links, so that the many linkers of a popular bad host have it too. A
+host is blocked when its distrust or risk reaches a threshold and exceeds its trust.
 
 Pages are reduced to hosts and edges are summed before they are shuffled, so
 a host with a third of all pages is a few partial sums, and the join that
@@ -84,7 +86,7 @@ def seeds(judged: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, start: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """kind, host, score: trust along the links, distrust against them.
+    """kind, host, score: trust along the links, distrust and risk against them.
 
     Each round is one join on (kind, host) and one sum; scores are written
     between rounds, so that lineage stays short.
@@ -94,6 +96,8 @@ def propagate(edges: DataFrame, start: DataFrame, damping: float = DAMPING, roun
     ways = ways.unionByName(back)
     total = ways.groupBy("kind", "host").agg(F.sum("links").alias("total"))
     ways = ways.join(total, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("total")).alias("share"))
+    risk = ways.filter("kind = 'trust'").select(F.lit("risk").alias("kind"), F.col("to").alias("host"), F.col("host").alias("to"), "share")
+    ways = ways.unionByName(risk)
     ways = materialize(ways, "url-edges")
     start = materialize(start, "url-seeds")
     base = start.withColumn("score", F.col("score") * (1 - damping))
@@ -115,10 +119,13 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping:
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.withColumn("verdict", verdict_of(F.col("rule"), rules))
     rows = materialize(rows, "url-pages")
-    scores = propagate(host_edges(pages), seeds(rows), damping, rounds)
-    hosts = scores.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
+    start = materialize(seeds(rows), "url-starts")
+    start = start.unionByName(start.filter("kind = 'distrust'").withColumn("kind", F.lit("risk")))
+    scores = propagate(host_edges(pages), start, damping, rounds)
+    hosts = scores.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust", "risk")])
     hosts = materialize(hosts, "url-hosts")
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    worst = F.greatest("distrust", "risk")
+    bad = (worst >= threshold) & (worst > F.col("trust"))
     method = F.when(F.coalesce(bad, F.lit(False)), "block").otherwise("allow")
     return rows.join(hosts, "host", "left").select(
         "page_id",

@@ -285,6 +285,13 @@ def test_propagation_follows_links_forwards_and_distrust_backwards(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_every_linker_of_a_popular_blocked_host_is_blocked(spark):
+    pages = [(0, "http://bad.net/es/1", None), (1, "http://good.org/", "<a href='http://other.org/'>")]
+    pages += [(2 + k, f"http://h{k}.org/", "<a href='http://bad.net/x'>") for k in range(40)]
+    out = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out == {k: "allow" if k == 1 else "block" for k in range(42)}
+
+
 # quality
 
 

@@ -17,9 +17,12 @@ packed one by one; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import unicodedata
+import json
+import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,71 +43,126 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-_STOPS = frozenset(".,;:!?")
+#: A normaliser and a pre-tokenizer that treat what stands between
+#: two spaces or line feeds by itself, whatever stands around it, and drop both.
+APART_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+APART_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+#: Letters that no normal form changes and whose small forms are single letters, then ASCII symbols but no apostrophe.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0400-\u045f]+)([!-&(-/:-@\\[-`{-~]*)")
 #: Byte-level spelling: bytes that are no visible Latin-1 character are moved beyond it, in order.
 _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+#: Characters of text that are looked up together.
+CHUNK = 1 << 20
 
 
-class WordIds(dict):
-    """Ids of a text between spaces, as little-endian unsigned 32-bit numbers.
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether the ids of a text are those of what stands between its spaces and line feeds, one after the other."""
+    before = spec["pre_tokenizer"] or {}
+    steps = before.get("pretokenizers", [before])
+    added = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+    rest = all(t.get("type") == "ByteLevel" and not t["add_prefix_space"] and not t["use_regex"] for t in steps[1:])
+    return added and rest and steps[0] == APART_SPLIT and spec["normalizer"] == APART_NORMALIZER and not (spec["truncation"] or spec["padding"])
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of what stands between its spaces, one after the other.
+
+class TextIds:
+    """Ids of texts, as little-endian unsigned 32-bit numbers, all by the tokenizer itself.
+
+    Where the tokenizer's file says that it treats what stands between spaces
+    by itself, such stretches are given to it once and remembered. Plain words
+    share the ids of their small letters, which it parts from symbols. Any other
+    tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        probe = ("cafés", "straße", "mañana")
-        self.direct = all(self.tokenizer.encode(w, add_special_tokens=False).ids == self._direct(w) for w in probe)
+        letters = [c.lower() for c in map(chr, range(0x460)) if PLAIN.fullmatch(c)]
+        self.apart = splits_at_spaces(json.loads(self.tokenizer.to_str())) and self._encoded(letters) == [*map(self._stem, letters)]
+        self.known: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
 
-    def _direct(self, word: str) -> list[int]:
-        """Ids of small letters: the byte-level spelling, then the merges."""
+    def _stem(self, word: str) -> bytes:
+        """Ids of small plain letters: one word to the tokenizer's model, in byte-level spelling."""
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return [t.id for t in self.tokenizer.model.tokenize(spelled)]
-
-    def __missing__(self, word: str) -> bytes:
-        """The tokenizer parts letters from punctuation and lowers each letter
-        by itself, so a word with a stop or capitals is put together from the
-        ids of its parts. A word of small letters in normal form goes straight
-        to the tokenizer's model; all else takes its whole way."""
-        if word[-1:] in _STOPS and word[:-1].isalpha():
-            packed = self[word[:-1]] + self[word[-1]]
-        elif word.isalpha() and not word.islower() and "Σ" not in word and (low := word.lower()) != word:
-            packed = self[low]
-        elif self.direct and word.isalpha() and word.islower() and unicodedata.is_normalized("NFC", word):
-            packed = np.array(self._direct(word), "<u4").tobytes()
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            packed = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = packed
-        return packed
-
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        known, rest, tails = self.known, [], []
+        for word in words:
+            if word not in known:
+                m = PLAIN.fullmatch(word)
+                if not m:
+                    rest.append(word)
+                    continue
+                stem, tail = m.groups()
+                stem = stem.lower()
+                ids = known.get(stem)
+                if ids is None:
+                    ids = known[stem] = self._stem(stem)
+                if tail:
+                    own = known.get(tail)
+                    if own is None:
+                        tails.append((word, ids, tail))
+                    else:
+                        known[word] = ids + own
+                else:
+                    known[word] = ids
+        rest += {tail for _, _, tail in tails}
+        known.update(zip(rest, self._encoded(rest), strict=True))
+        for word, ids, tail in tails:
+            known[word] = ids + known[tail]
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        if not self.apart:
+            return self._encoded(texts)
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        self._learn(set().union(*split))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+    def of(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text; texts are taken together up to ``CHUNK`` characters."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield from self._chunk(held)
+                held, size = [], 0
+        if held:
+            yield from self._chunk(held)
 
 
 @lru_cache(1)
-def word_ids(path: str) -> WordIds:
+def text_ids(path: str) -> TextIds:
     """What a Python worker remembers from one task to the next."""
-    return WordIds(path)
+    return TextIds(path)
 
 
 def _cutter(path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = word_ids(path), TaskContext.get().partitionId()
+        ids_of, part = text_ids(path).of, TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.of(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(t.as_py() for t in batch.column(1)), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     size = len(own) // 4

@@ -545,17 +545,42 @@ def test_nnls_meets_its_conditions():
         assert (x >= 0).all() and (gradient < 1e-6).all() and abs(gradient[x > 1e-9]).max(initial=0) < 1e-6
 
 
-def test_ids_of_words_are_those_of_the_text():
+def fuzz_texts(n, seed=7):
+    """Strings of letters of many kinds, marks, capitals, stops, contractions, controls and spaces."""
+    rng = np.random.default_rng(seed)
+    atoms = list("aezİIıſŉǅΣςÅÉÿŸßẞфЯ\u0301\u0307\u0300\u0327é.,;:!?'#$%-_09½Ⅷ①中文かﬁשׁ\ufb2a\ufb1f한\u1112\u1161 \n\t\x00\u00a0\u2003😀")
+    atoms += ["'s", "'LL", "İ.", "BELEDİYESİ", "<|endoftext|>", "word", "THE", "  ", "Σ,", "é́"]
+    return ["".join(atoms[k] for k in rng.integers(0, len(atoms), size)) for size in rng.integers(0, 14, n)]
+
+
+def test_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
     path = vocabulary("word_bpe_49k.json")
-    words, tokenizer = packing.WordIds(path), Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
     odd = [
         "Don't stop.Now! İstanbul ΣΑΣ ΟΔΟΣ. é ́x é <|endoftext|> a<|startoftext|>B <|ENDOFTEXT|>  x\x1cy\tz\r\nq 123 4,5. ½ Ⅷ K Å Ω 中文。\x00 x",
-        "", "   ", "\n\n", "a" * 5000, "'S 'Ll I'M 'stop. 's, ǅ ǅ. ﬁ ŉ.", BASE, NEAR,
+        "", "   ", "\n\n", "a" * 5000, "'S 'Ll I'M 'stop. 's, ǅ ǅ. ﬁ ŉ.", BASE, NEAR, "BELEDİYESİ. GAZETESİ, İ.", "x.\u0301 x\u0301. .\u0301",
     ]
+    texts = odd + fuzz_texts(100_000)
+    whole = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     for text in odd:
-        assert words.of(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert tokenizer.encode(text, add_special_tokens=False).ids == tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    found = packing.TextIds(path)
+    assert found.apart
+    assert list(found.of(texts)) == whole
+    found.apart = False
+    assert list(found.of(texts[:2000])) == whole[:2000]
+
+
+def test_a_tokenizer_that_keeps_spaces_gets_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    found, tokenizer = packing.TextIds(path), Tokenizer.from_file(path)
+    assert not found.apart
+    for text, ids in zip(texts := fuzz_texts(2000, 8), found.of(texts), strict=True):
+        assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 # SentencePiece

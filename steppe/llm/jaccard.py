@@ -2,16 +2,23 @@
 
 Texts become sets of five-word shingles (lower case, letters, digits and
 underscores). Each set gets a MinHash signature that is read as the paths of
-``TREES`` prefix tries of depth ``DEPTH``. The matched prefix is shortened from
-full depth until the expected recall at the threshold reaches the target; in
-each sorted trie, rows at most ``NEXT`` apart that share the prefix become
-candidate links, also across the ends of range partitions.
-Candidates whose signatures are far apart (``SLACK`` below the threshold) are
-dropped, the rest connect groups, and inside a group all pairs are verified
-exactly, in blocks: a group of thousands of near copies is many tasks of two
-blocks each, and leaves counts, not pairs.
+prefix tries, one byte for each of ``DEPTH`` steps: sorted as numbers, the paths
+of a trie stand in the order of its leaves. Sets meet in a trie where their
+paths share a prefix. The matched prefix begins at full depth and is shortened
+step by step, until both the recall that theory guarantees at the threshold and
+the recall measured on probe sets reach the target. Where no depth can, there
+are more tries.
+
+Sets that share a prefix are a run. All pairs of a run are compared by one bit
+of each signature value, a run of many rows in blocks and pairs of blocks, and
+what comes out is a spanning forest of the pairs that may reach the threshold
+(five deviations below it). Only these connect candidate groups, so documents that
+share a passage but are unlike stay apart. Inside a group all pairs are
+verified exactly, in blocks: a group of thousands of near copies is many tasks
+of two blocks each, and leaves counts, not pairs.
 
 Equal sets are one class from the start, so exact copies cost one row each.
+Rows are numbered once, in a written table, and all joins are on that number.
 
 Result: one row for each document with its class (the least id among the
 documents that links connect) and the number of different texts it is linked
@@ -20,8 +27,8 @@ to (similarity at least the threshold; not counting copies of itself).
 Defined results: texts of one to four words have one shingle, all of them;
 texts without words, and null texts, are linked to nothing and form classes of
 equal texts; rows with a null id take part, and a class of such rows alone has
-a null id; repeated rows are copies of each other; an empty table gives no
-rows; further columns are ignored.
+a null id; repeated rows are copies of each other; different texts may share an
+id; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,28 +46,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steppe.llm.components import connected
-from steppe.llm.shared import map_batches, materialize
+from steppe.llm.shared import map_batches, materialize, ship_package
 
 WORDS, THRESHOLD = 5, 0.8
+#: Tries, unless the recall needs more; steps of each path; recall of each pair at the threshold.
 TREES, DEPTH, RECALL = 24, 8, 0.999
-#: Rows of a prefix run that each row is linked to: unlike rows may lie between two alike.
-NEXT = 4
-#: A candidate connects down to this much below the threshold: what lies between
-#: two linked sets in a trie is close to one of them, and so not far from the other.
-SLACK = 0.35
-#: Sets in one block of the exact verification.
-BLOCK = 256
+#: Sets, chosen by hash, that are compared with all others to measure the recall.
+PROBES = 256
+#: Deviations of the estimate below the threshold at which pairs still connect.
+DEVIATIONS = 5.0
+#: Rows in one block of a run, and of many short runs in one task's group.
+RUN = 2048
+#: Sets, and shingles, in one block of the exact verification.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 CACHE = 1 << 17
 WORD = re.compile(r"\w+")
 
-_random = np.random.default_rng(20240607)
-_MULTIPLY = _random.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _random.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
-_MIX = _random.integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(20240607).integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNED = (
-    "doc_id long, text_key string, set_key string, n_shingles int, keys array<long>, deeper array<long>, sketch binary"
-)
+SIGNED = "node long, doc_id long, text_key string, set_key string, n_shingles int, paths array<long>, bits binary"
 
 
 def expected_recall(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -67,9 +72,22 @@ def expected_recall(similarity: float, depth: int, trees: int = TREES) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def matched_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix that still reaches the target recall at the threshold."""
-    while depth > 1 and expected_recall(threshold, depth, trees) < recall:
+def trees_for(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES) -> int:
+    """Tries with which prefixes of three steps reach the target recall, ``trees`` at least."""
+    while expected_recall(threshold, 3, trees) < recall and trees < 1 << 12:
+        trees *= 2
+    if expected_recall(threshold, 1, trees) < recall:
+        raise ValueError(f"no forest of {trees} tries finds pairs of similarity {threshold} with recall {recall}")
+    return trees
+
+
+def matched_depth(threshold: float, recall: float, trees: int, found: list[int], total: int) -> int:
+    """The longest prefix whose guaranteed and measured recall both reach the target.
+
+    ``found``: of ``total`` pairs of probes, how many share a prefix of 1, 2, ... steps.
+    """
+    depth = DEPTH
+    while depth > 1 and (expected_recall(threshold, depth, trees) < recall or found[depth - 1] < recall * total):
         depth -= 1
     return depth
 
@@ -102,89 +120,79 @@ class Shingler:
         return np.unique(total * _MIX[15])
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each of the permutations."""
-    least = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, np.uint64)
+@lru_cache(4)
+def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of ``n`` random functions of hashes."""
+    rng = np.random.default_rng(20240608)
+    return rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+
+
+def minhash(shingles: np.ndarray, n: int = TREES * DEPTH) -> np.ndarray:
+    """One byte of the least value of each of ``n`` permutations."""
+    multiply, add = permutations(n)
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 512):
         part = shingles[at : at + 512]
-        np.minimum(least, (_MULTIPLY[:, None] * part + _ADD[:, None]).min(axis=1), out=least)
-    return least
+        np.minimum(least, (multiply[:, None] * part + add[:, None]).min(axis=1), out=least)
+    return ((least * _MIX[14]) >> np.uint64(56)).astype(np.uint8)
 
 
-def _signer(depth: int):
+def _signer(trees: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         names = [c.split()[0] for c in SIGNED.split(", ")]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
             rows = []
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for node, doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = value.as_py()
                 own = xxhash.xxh3_128_hexdigest(text)
                 shingles = shingler.of(text)
                 if len(shingles):
-                    least = minhash(shingles)
-                    tries = least.reshape(TREES, DEPTH)
-                    keys = (tries[:, :depth] * _MIX[:depth]).sum(axis=1, dtype=np.uint64)
-                    rest = (tries[:, depth:] >> np.uint64(40)) & np.uint64(0xFFFFFF)
-                    deeper = np.zeros(TREES, np.uint64)
-                    for j in range(min(2, DEPTH - depth)):
-                        deeper = (deeper << np.uint64(24)) | rest[:, j]
-                    sketch = ((least * _MIX[14]) >> np.uint64(56)).astype(np.uint8).tobytes()
-                    rows.append((doc_id, own, xxhash.xxh3_128_hexdigest(shingles.tobytes()), len(shingles), keys.view(np.int64), deeper.view(np.int64), sketch))
+                    values = minhash(shingles, trees * DEPTH)
+                    paths = values.view(">u8").astype(np.int64)
+                    bits = np.packbits(values & 1).tobytes()
+                    rows.append((node, doc_id, own, xxhash.xxh3_128_hexdigest(shingles.tobytes()), len(shingles), paths, bits))
                 else:
-                    rows.append((doc_id, own, "-" + own, 0, [], [], b""))
+                    rows.append((node, doc_id, own, "-" + own, 0, [], b""))
             columns = list(zip(*rows, strict=True)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return sign
 
 
-def _pairs(rows: np.ndarray) -> np.ndarray:
-    """Ends of links between rows (tree, key, node) at most ``NEXT`` apart that share trie and prefix."""
-    found = [np.zeros((2, 0), np.int64)]
-    for gap in range(1, min(NEXT, rows.shape[1] - 1) + 1):
-        same = (rows[:2, gap:] == rows[:2, :-gap]).all(axis=0)
-        found.append(np.stack([rows[2, gap:][same], rows[2, :-gap][same]]))
-    return np.concatenate(found, axis=1)
+def most_different(threshold: float, n_bits: int) -> int:
+    """Bits that may differ between two sets whose similarity may reach the threshold."""
+    alike = (1 + threshold) / 2
+    return int(n_bits * (1 - alike) + DEVIATIONS * (n_bits * alike * (1 - alike)) ** 0.5)
 
 
-def _leaf_rows(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tree", "key", "deeper", "node")])
-
-
-#: Links have two ends; border rows have one, and their place in the order.
-LINKED = "a long, b long, tree long, key long, deeper long"
-
-
-def _linked(ends: np.ndarray, borders: np.ndarray) -> pa.RecordBatch:
-    n, m = ends.shape[1], borders.shape[1]
-    a = pa.array(np.concatenate([ends.min(axis=0), borders[3]]))
-    b = pa.concat_arrays([pa.array(ends.max(axis=0)), pa.nulls(m, pa.int64())])
-    places = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x)]) for x in borders[:3]]
-    return pa.RecordBatch.from_arrays([a, b, *places], names=["a", "b", "tree", "key", "deeper"])
+def _prober(nodes: list[int], probes: np.ndarray, bits: np.ndarray, threshold: float):
+    """Counts pairs of a probe and another set by the longest prefix that some trie shares."""
+    most = most_different(threshold, probes.shape[1])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = batch.column("paths").flatten().to_numpy().astype(">i8").view(np.uint8).reshape(len(batch), -1)
+            own_bits = _bit_rows(batch.column("bits"))
+            node = batch.column("node").to_numpy()
+            found, total = np.zeros(DEPTH, np.int64), 0
+            for k, name in enumerate(nodes):
+                near = np.flatnonzero(np.bitwise_count(own_bits ^ bits[k]).sum(axis=1) <= most)
+                same = own[near[node[near] != name]] == probes[k]
+                alike = (same.mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= threshold
+                shared = np.logical_and.accumulate(same[alike].reshape(-1, probes.shape[1] // DEPTH, DEPTH), axis=2)
+                found += shared.any(axis=1).sum(axis=0)
+                total += int(alike.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([found.tolist()], pa.list_(pa.int64()))], names=["total", "found"])
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside a range partition, and as borders its first and last ``NEXT`` rows."""
-    first = last = np.zeros((4, 0), np.int64)
-    for batch in batches:
-        rows = _leaf_rows(batch)
-        first = np.concatenate([first, rows[:, : NEXT - first.shape[1]]], axis=1)
-        rows = np.concatenate([last, rows], axis=1)
-        last = rows[:, -NEXT:]
-        yield _linked(_pairs(rows[[0, 1, 3]]), np.zeros((4, 0), np.int64))
-    yield _linked(np.zeros((2, 0), np.int64), np.concatenate([first, last], axis=1))
+    return count
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between border rows, all sorted in one partition."""
-    carried = np.zeros((4, 0), np.int64)
-    for batch in batches:
-        rows = np.concatenate([carried, _leaf_rows(batch)], axis=1)
-        carried = rows[:, -NEXT:]
-        ends = _pairs(rows[[0, 1, 3]])
-        yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=0)), pa.array(ends.max(axis=0))], names=["a", "b"])
+def _bit_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,34 +212,42 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def _near(least: float):
-    """Keeps candidate links whose sketches agree often enough, as a forest of each batch."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sketch_a", "sketch_b"))
-            share = (one == two).mean(axis=1)
-            good = (share - 1 / 256) / (1 - 1 / 256) >= least
-            a, b = _forest(*(batch.column(c).to_numpy()[good] for c in ("a", "b")))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return keep
+def _linker(most: int):
+    """A spanning forest of the pairs of each run that differ in at most ``most`` bits."""
+
+    def link(rows: pa.Table) -> pa.Table:
+        run = [rows[c].to_numpy() for c in ("right", "left", "key", "tree")]
+        order = np.lexsort(run)
+        node, block, bits = rows["node"].to_numpy()[order], rows["block"].to_numpy()[order], _bit_rows(rows["bits"])[order]
+        one = (run[0] == run[1])[order]
+        change = np.flatnonzero(np.any([c[order][1:] != c[order][:-1] for c in run], axis=0)) + 1
+        ends = np.concatenate([change, [len(order)]])
+        after = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(len(order)) - 1
+        found, held = (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
+        gap, at = 1, np.flatnonzero(after >= 1)
+        while len(at):
+            near = np.bitwise_count(bits[at] ^ bits[at + gap]).sum(axis=1) <= most
+            near &= one[at] | (block[at] != block[at + gap])
+            a, b = node[at[near]], node[at[near] + gap]
+            found = tuple(np.concatenate([x, y]) for x, y in zip(found, (a, b), strict=True))
+            held += len(a)
+            if held > 1 << 18:
+                found, held = _forest(*found), 0
+            gap += 1
+            at = at[after[at] >= gap]
+        a, b = _forest(*found)
+        return pa.table({"a": a, "b": b})
+
+    return link
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of the representatives; rows of other texts under that id go."""
+    """Shingles in place of texts."""
     shingler = Shingler()
     for batch in batches:
-        kept, found = [], []
-        for i, (text, key) in enumerate(zip(batch.column("text"), batch.column("set_key").to_pylist(), strict=True)):
-            shingles = shingler.of(text.as_py())
-            if xxhash.xxh3_128_hexdigest(shingles.tobytes()) == key:
-                kept.append(i)
-                found.append(shingles.tobytes())
-        rows = batch.select(["node", "label", "size", "n_texts"]).take(pa.array(kept, pa.int32()))
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.binary())], names=[*rows.schema.names, "shingles"])
+        found = pa.array([shingler.of(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
+        rows = batch.drop_columns("text")
+        yield pa.RecordBatch.from_arrays([*rows.columns, found], names=[*rows.schema.names, "shingles"])
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -293,10 +309,14 @@ def _verifier(threshold: float):
     return verify
 
 
-def signatures(docs: DataFrame, depth: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = map_batches(rows, _signer(depth), SIGNED)
-    return materialize(signed.withColumn("node", F.monotonically_increasing_id()), "near-signatures")
+def numbered(docs: DataFrame) -> DataFrame:
+    """node, doc_id and text of each row, written once: the numbers stay."""
+    rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return materialize(rows, "near-rows")
+
+
+def signatures(rows: DataFrame, trees: int = TREES) -> DataFrame:
+    return materialize(map_batches(rows.select("node", "doc_id", "text"), _signer(trees), SIGNED), "near-signatures")
 
 
 def classes(signed: DataFrame) -> DataFrame:
@@ -308,79 +328,109 @@ def classes(signed: DataFrame) -> DataFrame:
     return materialize(sets, "near-sets")
 
 
-def links(tries: DataFrame) -> DataFrame:
-    """Links a < b between rows that share a prefix, in tries sorted within range partitions."""
-    order = ["tree", "key", "deeper", "node"]
-    found = materialize(map_batches(tries.select(*order), _neighbours, LINKED).distinct(), "near-neighbours")
-    borders = found.filter("b IS NULL").select("tree", "key", "deeper", F.col("a").alias("node"))
-    borders = borders.coalesce(1).sortWithinPartitions(*order)
-    across = map_batches(borders, _across, "a long, b long")
-    return found.filter("b IS NOT NULL").select("a", "b").unionByName(across)
+def measured_recall(heads: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES) -> tuple[list[int], int]:
+    """Of all pairs of a probe and another set that signatures put at the threshold
+    or above: how many share a prefix of 1, 2, ... steps, and how many there are.
 
+    The probes are about ``probes`` sets chosen by hash, compared with every set.
+    """
+    share = max(1, heads.count() // probes)
+    chosen = heads.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(share)) == 0).select("node", "paths", "bits").collect()
+    if not chosen:
+        return [0] * DEPTH, 0
+    paths = np.array([r["paths"] for r in chosen], ">i8").view(np.uint8)
+    bits = np.stack([np.frombuffer(r["bits"], np.uint64) for r in chosen])
+    counts = map_batches(heads, _prober([r["node"] for r in chosen], paths, bits, threshold), "total long, found array<long>")
+    sums = counts.agg(F.sum("total"), *[F.sum(F.col("found")[k]) for k in range(DEPTH)]).collect()[0]
+    return [int(x or 0) for x in sums[1:]], int(sums[0] or 0)
 
-def candidates(signed: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Candidate links a < b between representatives, from all tries."""
-    heads = signed.join(sets.filter("n_shingles > 0").select("node"), "node").select("node", "keys", "deeper", "sketch")
-    heads = materialize(heads, "near-heads")
-    leaves = heads.select("node", F.posexplode(F.arrays_zip("keys", "deeper")).alias("tree", "x"))
-    leaves = leaves.select("tree", F.col("x.keys").alias("key"), F.col("x.deeper").alias("deeper"), "node")
-    order = ["tree", "key", "deeper", "node"]
-    tries = leaves.repartitionByRange(*order).sortWithinPartitions(*order)
-    near = links(tries)
-    sketch = heads.select("node", "sketch")
-    near = near.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    near = near.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    return materialize(map_batches(near, _near(threshold - SLACK), "a long, b long"), "near-candidates")
-
-
-def verified(docs: DataFrame, signed: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """node, n_links, label for each set and block pair in which it has links."""
-    sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "label").join(sets.select("node", "set_key", "n_texts"), "node")
-    members = members.join(signed.select("node", "doc_id"), "node")
-    members = materialize(members, "near-members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    same = texts["doc_id"].eqNullSafe(members["doc_id"])
-    rows = texts.join(members.hint("merge"), same).select("node", "label", "size", "n_texts", "set_key", "text")
-    rows = map_batches(rows, _shingle_rows, "node long, label long, size long, n_texts long, shingles binary")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+def candidates(heads: DataFrame, depth: int, threshold: float, trees: int) -> DataFrame:
+    """Candidate links a, b between representatives: forests of the runs of all tries.
+
+    Runs of one row end at the counts. Runs that are long are dealt out in pairs of blocks.
+    """
+    key = F.shiftrightunsigned("path", 8 * (DEPTH - depth))
+    leaves = heads.select("node", "bits", F.posexplode("paths").alias("tree", "path")).select("tree", key.alias("key"), "node", "bits")
+    runs = leaves.groupBy("tree", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    runs = materialize(runs, "near-runs")
+    rows = leaves.join(runs.hint("merge"), ["tree", "key"]).withColumn("blocks", F.ceil(F.col("n") / RUN).cast("int"))
+    bins = max(1, (runs.agg(F.sum("n")).collect()[0][0] or 0) // RUN)
+    rows = _paired(rows, F.xxhash64("tree", "key"), bins)
+    rows = rows.select("tree", "key", "node", "block", "left", "right", "bits", "bin", "pair")
+    ship_package(rows.sparkSession)
+    linked = rows.groupBy("bin", "pair").applyInArrow(_linker(most_different(threshold, trees * DEPTH)), "a long, b long")
+    return materialize(linked, "near-candidates")
+
+
+def _paired(rows: DataFrame, group, bins: int) -> DataFrame:
+    """Each row once for each pair of its group's blocks (column ``blocks``) that has its own.
+
+    Adds block, left, right and what to group by: groups of one block share ``bins`` bins.
+    """
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
-    bins = max(1, members.count() // BLOCK)
-    spread = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(-1)
-    own = F.when(F.col("blocks") > 1, F.xxhash64("label", "left", "right")).otherwise(0)
-    rows = rows.select("node", "label", "block", "left", "right", "n_texts", "shingles", spread.alias("bin"), own.alias("pair"))
-    found = rows.groupBy("bin", "pair").applyInPandas(_verifier(threshold), "node long, n_links long, label long")
+    rows = rows.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(group, F.lit(bins))).otherwise(-1))
+    return rows.withColumn("pair", F.when(F.col("blocks") > 1, F.xxhash64(group, "left", "right")).otherwise(0))
+
+
+def verified(rows: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, n_links, label for each set and block pair in which it has links."""
+    members = groups.join(sets.select("node", "n_texts", "n_shingles"), "node")
+    members = materialize(members, "near-members")
+    sizes = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    members = members.join(sizes, "label").select("node", "label", "n_texts", blocks.alias("blocks"))
+    found = rows.select("node", "text").join(members.hint("merge"), "node")
+    found = map_batches(found, _shingle_rows, "node long, label long, n_texts long, blocks int, shingles binary")
+    total = sizes.agg(F.sum("size"), F.sum("weight")).collect()[0]
+    bins = max(1, (total[0] or 0) // BLOCK, (total[1] or 0) // BLOCK_SHINGLES)
+    found = _paired(found, F.xxhash64("label"), bins)
+    found = found.select("node", "label", "block", "left", "right", "n_texts", "shingles", "bin", "pair")
+    found = found.groupBy("bin", "pair").applyInPandas(_verifier(threshold), "node long, n_links long, label long")
     return materialize(found, "near-links")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id and n_links for each document."""
-    signed = signatures(docs, matched_depth(threshold, recall))
+def linked_sets(rows: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all numbered rows, and set_key, node, label, first_id, n_links of each set."""
+    trees = trees_for(threshold, recall)
+    signed = signatures(rows, trees)
     sets = classes(signed)
-    groups = connected(candidates(signed, sets, threshold))
-    links = verified(docs, signed, sets, groups, threshold)
+    heads = signed.join(sets.filter("n_shingles > 0").select("node"), "node").select("node", "paths", "bits")
+    heads = materialize(heads, "near-heads")
+    depth = matched_depth(threshold, recall, trees, *measured_recall(heads, threshold))
+    groups = connected(candidates(heads, depth, threshold, trees))
+    links = verified(rows, sets, groups, threshold)
     labels = connected(links.select(F.col("node").alias("a"), F.col("label").alias("b")))
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    heads = sets.select("set_key", "node", "n_texts", "first_id").join(counts, "node", "left").join(labels, "node", "left")
-    heads = heads.withColumn("label", F.coalesce("label", "node"))
-    heads = materialize(heads, "near-heads")
-    firsts = heads.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    heads = heads.join(firsts, "label").select(
-        "set_key", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links")
+    found = sets.join(counts, "node", "left").join(labels, "node", "left").select(
+        "set_key",
+        "node",
+        F.coalesce("label", "node").alias("label"),
+        "first_id",
+        (F.coalesce("n_links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"),
     )
-    return signed.select("doc_id", "set_key").join(heads, "set_key").select("doc_id", "class_id", "n_links")
+    return signed, materialize(found, "near-found")
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id and n_links for each document."""
+    signed, found = linked_sets(numbered(docs), threshold, recall)
+    firsts = found.groupBy("label").agg(F.min("first_id").alias("class_id"))
+    found = found.join(firsts, "label").select("set_key", "class_id", "n_links")
+    return signed.select("doc_id", "set_key").join(found, "set_key").select("doc_id", "class_id", "n_links")
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class: the one whose id names it.
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of each class: the first in the written table, whatever its id.
 
-    Ids are expected to be unique; of rows that share an id one stays. Rows
-    with a null id stay when their class has no other id, one for each class
-    is not told apart.
+    Repeated rows, copies without an id and different texts under one id are
+    told apart by the number of the row.
     """
-    found = join(docs, threshold)
-    keep = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct(), "near-kept")
-    named = docs.join(keep.filter("doc_id IS NOT NULL").hint("merge"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    rows = docs.select(F.monotonically_increasing_id().alias("node"), F.struct("*").alias("row"))
+    rows = materialize(rows, "near-rows")
+    texts = rows.select("node", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"))
+    _, found = linked_sets(texts, threshold, recall)
+    kept = found.groupBy("label").agg(F.min("node").alias("node")).select("node")
+    return rows.join(kept.hint("merge"), "node", "left_semi").select("row.*")

@@ -439,33 +439,86 @@ def test_jaccard_join_against_all_pairs(spark, docs, nothing):
     assert jaccard.join(nothing).count() == 0
 
 
-def test_jaccard_join_splits_large_groups(spark, monkeypatch):
+def test_jaccard_join_splits_large_groups_and_runs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "RUN", 5)
     rows = [(i, t, "en", "v") for i, t in enumerate(variants(80, 3))]
     got = jaccard.join(documents(spark, rows)).collect()
     assert collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute_classes(rows)
 
 
-def test_keep_one_of_each_class(spark, docs):
-    kept = jaccard.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = collections.Counter(r["doc_id"] for r in kept.collect())
-    assert ids[1] == 1 and not ids[2] and not ids[3] and ids[7] == ids[9] == ids[11] == 1
+def test_very_long_sets_get_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 150)
+    rows = [(i, t, "en", "v") for i, t in enumerate(variants(20, 4))]
+    got = jaccard.join(documents(spark, rows)).collect()
+    assert collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute_classes(rows)
 
 
-def test_expected_recall_sets_the_depth():
-    k = jaccard.matched_depth()
-    assert jaccard.expected_recall(0.8, k) >= jaccard.RECALL > jaccard.expected_recall(0.8, k + 1)
+def test_partitions_do_not_matter(spark):
+    rows = ROWS + [(1000 + i, t, "en", "v") for i, t in enumerate(variants(60, 5))]
+    want = brute_classes(rows)
+    for parts in (1, 7, 211):
+        got = jaccard.join(documents(spark, rows).repartition(parts)).collect()
+        assert collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
 
 
-def test_rows_parted_by_unlike_rows_or_partitions_are_linked(spark):
-    order = ["tree", "key", "deeper", "node"]
-    rows = [(0, 7, d, 10 + d) for d in range(9)] + [(1, 7, 0, 30), (1, 8, 0, 31)]
-    want = {(10 + i, 10 + j) for i in range(9) for j in range(i + 1, min(9, i + 1 + jaccard.NEXT))}
-    for parts in (1, 5):
-        tries = spark.createDataFrame(rows, "tree int, key long, deeper long, node long").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        assert tries.rdd.getNumPartitions() == parts
-        assert want <= {(r["a"], r["b"]) for r in jaccard.links(tries).collect()} <= {(10 + i, 10 + j) for i in range(9) for j in range(i + 1, 9)}
+def test_keep_one_of_each_class(spark, docs):
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    ids = collections.Counter(r["doc_id"] for r in rows)
+    assert ids[1] + ids[2] + ids[3] == 1 and ids[7] == ids[9] == ids[11] == 1
+    assert sum(r["text"] == "no id at all here" for r in rows) == 1
+    assert sum(not r["text"] for r in rows) == 1
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    """Different texts under one id stay, copies without an id go."""
+    one, two, three = variants(40, 6)[0], "quite another text about boats and rivers and the men who sail them home", "a third text, of foxes and of hens, that nobody else has written before today"
+    rows = [(1, one, "en", "a"), (1, two, "en", "a"), (None, one, "en", "a"), (None, three, "en", "a"), (None, three, "en", "b"), (5, three + " indeed", "en", "c")]
+    kept = jaccard.keep_one(documents(spark, rows), 0.6).collect()
+    assert len(kept) == 3 and {r["text"] for r in kept} - {three + " indeed"} >= {one, two} and len({r["text"] for r in kept} & {three, three + " indeed"}) == 1
+
+
+def test_the_prefix_is_shortened_until_both_recalls_reach_the_target():
+    enough = [1000] * jaccard.DEPTH
+    k = jaccard.matched_depth(0.8, 0.999, 24, enough, 1000)
+    assert jaccard.expected_recall(0.8, k) >= 0.999 > jaccard.expected_recall(0.8, k + 1)
+    assert jaccard.matched_depth(0.8, 0.999, 24, [1000, 1000, 1000, 990, 980, 900, 800, 700], 1000) == 3
+    assert jaccard.trees_for(0.8) == jaccard.TREES
+    for threshold in (0.3, 0.5):
+        assert jaccard.expected_recall(threshold, 3, jaccard.trees_for(threshold)) >= jaccard.RECALL
+    with pytest.raises(ValueError):
+        jaccard.trees_for(0.001)
+
+
+def test_a_low_threshold_gets_more_tries(spark):
+    texts = variants(30, 9)
+    words = texts[0].split()
+    rows = [(0, texts[0], "en", "v"), (1, " ".join(words[:45] + [f"new{i}" for i in range(25)]), "en", "v"), (2, "nothing like the others at all, not one word of it", "en", "v")]
+    got = {r["doc_id"]: r["class_id"] for r in jaccard.join(documents(spark, rows), 0.3).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
+def test_runs_give_a_forest_of_all_pairs_that_are_near():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (12, 3), np.uint64)
+    bits = base[rng.integers(0, 12, 300)] ^ (np.uint64(1) << rng.integers(0, 60, (300, 3)).astype(np.uint64))
+    key = rng.integers(0, 9, 300)
+    table = jaccard.pa.table({"tree": np.zeros(300, np.int32), "key": key, "node": np.arange(300) * 7, "block": np.zeros(300, np.int32), "left": np.zeros(300, np.int32), "right": np.zeros(300, np.int32), "bits": [b.tobytes() for b in bits]})
+    out = jaccard._linker(6)(table).to_pydict()
+    one, two = np.triu_indices(300, 1)
+    near = (key[one] == key[two]) & (np.bitwise_count(bits[one] ^ bits[two]).sum(axis=1) <= 6)
+
+    def groups(a, b):
+        label = {i * 7: i * 7 for i in range(300)}
+        for _ in range(40):
+            for x, y in zip(a, b, strict=True):
+                label[x] = label[y] = min(label[x], label[y])
+        return label
+
+    assert groups(out["a"], out["b"]) == groups((one[near] * 7).tolist(), (two[near] * 7).tolist())
+    assert len(out["a"]) < 300
 
 
 def test_jaccard_join_finds_near_copies_around_a_hot_passage(spark):

@@ -1,41 +1,69 @@
 """Sharding by fixed virtual slots (DataFrame functions only).
 
 Records are hashed into a fixed number of virtual slots. Bytes are summed per
-slot, and a small versioned table maps each slot to a shard. Rebalancing edits
-that table; records are never hashed anew.
+slot, and a small versioned table maps each slot to a shard. It is stored;
+records are placed by a version of it that was read back, and rebalancing adds
+an edited version. Records are never hashed anew.
+
+Records that are equal in id, size and checksum are numbered, and the number
+enters the hash: many repeated rows spread over all slots like any others.
 
 Defined results: a null text weighs one byte, as an empty one does; null ids
-hash like any other value; repeated rows are placed one by one; an empty table
-gives no rows; further columns of the input are ignored.
+hash like any other value; repeated rows are placed one by one, which of them
+gets which place is left open; one record heavier than its shard's share makes
+that shard heavy; an empty table gives no rows; further columns of the input
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steppe.llm.shared import let, materialize
+from steppe.llm.shared import let, materialize, scratch_path
 
 N_SLOTS = 4096
 #: Parts in which one virtual slot is numbered, so that a hot slot is not one task.
 PARTS = 4
 
 
-def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot and part for each document."""
+def records(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, h (their hash) and seq (the row) of each document, written once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    vslot = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_slots)).cast("int")
-    return rows.select("*", vslot.alias("vslot"))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("seq", F.monotonically_increasing_id())
+    return materialize(rows, "shard-records")
+
 
+def slotted(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """Adds vslot: the hash of a record and of its number among equal ones.
 
-def slot_loads(rows: DataFrame) -> DataFrame:
-    """Bytes and rows of each virtual slot: at most ``n_slots`` rows."""
-    return rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    Numbers come from ranks inside each partition of the written table and
+    counts of the partitions before it, so no group of equal rows is one task.
+    """
+    many = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shard-repeated")
+    again = rows.join(many.hint("merge"), "h", "left_semi").withColumn("pid", F.shiftright("seq", 33))
+    before = Window.partitionBy("h").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = again.groupBy("h", "pid").agg(F.count("*").alias("n"))
+    base = base.select("h", "pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("h", "pid").orderBy("seq"))
+    again = again.withColumn("rank", rank).join(base, ["h", "pid"]).withColumn("number", F.col("base") + F.col("rank") - 1)
+    once = rows.join(many.hint("merge"), "h", "left_anti").withColumn("number", F.lit(0).cast("long"))
+    names = ["doc_id", "size", "text_crc32", "seq"]
+    vslot = F.pmod(F.xxhash64("h", "number"), F.lit(n_slots)).cast("int").alias("vslot")
+    return materialize(once.select(*names, vslot).unionByName(again.select(*names, vslot)), "shard-rows")
+
+
+def slot_loads(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """Bytes and rows of each virtual slot, empty ones too: ``n_slots`` rows."""
+    loads = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    every = rows.sparkSession.range(n_slots).select(F.col("id").cast("int").alias("vslot"))
+    found = every.join(loads, "vslot", "left")
+    return found.select("vslot", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("bytes", "rows")])
 
 
 def first_map(loads: DataFrame, n_shards: int) -> DataFrame:
@@ -82,27 +110,31 @@ def grow_map(slot_map: DataFrame, loads: DataFrame, n_shards: int) -> DataFrame:
     )
 
 
-def assign(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS) -> DataFrame:
-    """Place each document: its shard and its gapless position there.
+def save_map(slot_map: DataFrame, path: str) -> None:
+    """Adds a version to the stored map; versions that are there stay as they are."""
+    slot_map.repartition(1).write.mode("append").partitionBy("version").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of the stored map, the latest if none is given."""
+    found = spark.read.schema("vslot int, shard int, version int").parquet(path).select("version", "vslot", "shard")
+    if version is None:
+        version = found.agg(F.max("version")).collect()[0][0]
+    return found.filter(F.col("version") == version)
+
 
-    Output: doc_id, size, text_crc32, vslot, map_version, shard, slot. One
-    narrow shuffle numbers the rows within parts of virtual slots; where a part
-    begins in its shard follows from a running sum over the bounded table of
-    parts.
+def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """Shard and gapless position of each slotted record, by a map.
+
+    One narrow shuffle numbers the rows within parts of virtual slots; where a
+    part begins in its shard follows from a running sum over the table of
+    parts, which has ``PARTS`` rows a slot at most and so may be broadcast.
     """
-    rows = materialize(records(docs, n_slots), "shard-records")
-    rows = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int"))
-    rows = materialize(rows, "shard-parts")
-    parts = rows.groupBy("vslot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    parts = materialize(parts, "shard-loads")  # n_slots * PARTS rows at most
-    loads = parts.groupBy("vslot").agg(F.sum("bytes").alias("bytes"))
-    slot_map = materialize(first_map(loads, n_shards), "slot-map")
+    rows = rows.withColumn("part", F.pmod("seq", F.lit(PARTS)).cast("int"))
+    parts = rows.groupBy("vslot", "part").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        parts.join(slot_map, "vslot")
-        .select("vslot", "part", "version", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
-    )
-    rank = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size"))
+    base = parts.join(slot_map, "vslot").select("vslot", "part", "version", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size", "seq"))
     return (
         rows.withColumn("rank", rank)
         .join(F.broadcast(base), ["vslot", "part"])
@@ -116,3 +148,22 @@ def assign(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS) -> DataF
             (F.col("base") + F.col("rank") - 1).cast("long").alias("slot"),
         )
     )
+
+
+def assign(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
+    """Place each document by the map stored at ``path``, which is made if it is not there yet.
+
+    Output: doc_id, size, text_crc32, vslot, map_version, shard, slot.
+    """
+    spark = docs.sparkSession
+    rows = slotted(records(docs), n_slots)
+    path = path or scratch_path(spark, "slot-maps")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        save_map(first_map(slot_loads(rows, n_slots), n_shards), path)
+    return place(rows, load_map(spark, path))
+
+
+def add_shard(rows: DataFrame, path: str, n_shards: int, n_slots: int = N_SLOTS) -> None:
+    """Edits the stored map for one shard more, by the present loads of the slots."""
+    save_map(materialize(grow_map(load_map(rows.sparkSession, path), slot_loads(rows, n_slots), n_shards), "slot-map"), path)

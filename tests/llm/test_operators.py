@@ -99,6 +99,37 @@ def test_shards_are_gapless_and_balanced(spark, docs, nothing):
     assert len(loads) == 16 and max(loads) <= 1.01 * min(loads)
 
 
+def test_repeated_rows_are_balanced(spark):
+    same = spark.range(0, 2000, 1, 7).select(F.lit(5).cast("long").alias("doc_id"), F.repeat(F.lit("y"), 50).alias("text"))
+    null = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    rest = spark.range(2000).select((F.col("id") + 100).alias("doc_id"), F.repeat(F.lit("x"), 50).alias("text"))
+    out = sharding.assign(same.unionByName(rest).unionByName(null), 8).collect()
+    loads = collections.Counter()
+    for r in out:
+        loads[r["shard"]] += r["size"]
+    assert len(out) == 5000 and len(loads) == 8 and max(loads.values()) <= 1.01 * min(loads.values())
+    for shard in loads:
+        assert sorted(r["slot"] for r in out if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in out)))
+
+
+def test_a_stored_map_is_read_and_edited(spark):
+    from steppe.llm.shared import scratch_path
+
+    path = scratch_path(spark, "test-maps")
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    one = {r["doc_id"]: r for r in sharding.assign(docs, 4, 256, path).collect()}
+    assert {r["map_version"] for r in one.values()} == {0}
+    more = docs.unionByName(docs.select((F.col("doc_id") + 3000).alias("doc_id"), "text"))
+    two = {r["doc_id"]: r for r in sharding.assign(more, 4, 256, path).collect()}
+    assert all(two[i]["shard"] == r["shard"] and two[i]["map_version"] == 0 for i, r in one.items())
+    sharding.add_shard(sharding.slotted(sharding.records(more), 256), path, 4, 256)
+    three = {r["doc_id"]: r for r in sharding.assign(more, 4, 256, path).collect()}
+    assert {r["map_version"] for r in three.values()} == {1} and len(three) == 6000
+    moved = {i for i in two if three[i]["shard"] != two[i]["shard"]}
+    assert moved and all(three[i]["shard"] == 4 for i in moved)
+    assert sharding.load_map(spark, path, 0).count() == sharding.load_map(spark, path, 1).count() == 256
+
+
 def test_growing_moves_rows_only_to_the_new_shard(spark):
     loads = spark.range(64).select(F.col("id").cast("int").alias("vslot"), (F.col("id") * 7 % 31 + 1).alias("bytes"))
     first = sharding.first_map(loads, 4)

@@ -1,7 +1,8 @@
 """Language identification of spans and whole texts.
 
 The script of a word, found by ranges of code points, narrows the languages it
-can be in; letter trigrams score the word in each of them; Viterbi with a
+can be in: one that doesn't use the script can't label it, so a word of another
+script always begins a span of its own. Letter trigrams score the word in each of them; Viterbi with a
 penalty for each switch labels spans of mixed text. A text's language is the
 one that labels most of its letters, and its score is the mean over all letters
 of the word's probability in that language, times the share of the word's
@@ -14,6 +15,8 @@ documents of each language, chosen by a hash of id and language, whole texts
 and no others. What comes to the driver are the trigram counts of that sample.
 Prediction is a map over all documents without a shuffle.
 
+Words are runs of letters; numerals such as ``½`` and ``Ⅷ`` are none.
+
 Defined results: ``und`` with score 0 for a null text or one without letters,
 and for every text if nothing could be learned; ties go to the language that
 comes first; words in a script of no learned language count for all languages
@@ -30,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +43,8 @@ from steppe.llm.shared import map_batches
 TRAIN_DOCS = 2000
 #: Log probability lost by each switch of language, and the least of one word.
 SWITCH, FLOOR = 12.0, -6.0
+#: Instead of that, for a language whose script the word is not in.
+BARRED = -1000.0
 #: Share of a language's letters that makes a script one of its own.
 SCRIPT_SHARE = 0.02
 #: The cut-off of ``keep_known``: a share of the learning documents is set aside,
@@ -47,7 +53,8 @@ SCRIPT_SHARE = 0.02
 ASIDE, LOST, MARGIN, ENOUGH = 5, 0.001, 0.8, 100
 UNKNOWN = "und"
 CACHE = 1 << 18
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters, and numerals that are no decimal digits; those are told apart by the second pattern.
+WORD, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 
 #: First code point of ranges and the script of each.
 SCRIPTS = (
@@ -93,6 +100,12 @@ def script_of(letter: str) -> str:
     return SCRIPTS[bisect_right(_STARTS, ord(letter)) - 1][1]
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    words = WORD.findall(text.lower())
+    return words if "".join(words).isalpha() else LETTERS.findall(text.lower())
+
+
 def _code(points: np.ndarray) -> np.ndarray:
     """One number for three neighbouring code points (21 bits each)."""
     p = points.astype(np.uint64)
@@ -105,7 +118,7 @@ class Model:
     codes: np.ndarray  # sorted trigram codes
     logs: np.ndarray  # log probability of each trigram in each language; the last row, of equal values, is for others
     seen: np.ndarray  # 1 where the language showed the trigram; the last row is 0
-    allowed: np.ndarray  # script range x language: 0, or minus infinity where the script rules it out
+    allowed: np.ndarray  # script range x language: whether the language uses the script
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each language for each word, and the share of its trigrams seen in it."""
@@ -121,11 +134,12 @@ class Model:
         inside[starts + sizes - 2] = inside[starts + sizes - 1] = False
         rows[~inside[: len(rows)]] = seen[~inside[: len(rows)]] = 0
         total = np.add.reduceat(rows, starts, axis=0)
-        total = total + self.allowed[np.searchsorted(_STARTS, points[starts + 1], "right") - 1]
+        allowed = self.allowed[np.searchsorted(_STARTS, points[starts + 1], "right") - 1]
+        total = np.where(allowed, total, -np.inf)
         top = total.max(axis=1, keepdims=True)
         total = total - top - np.log(np.exp(total - top).sum(axis=1, keepdims=True))
         known = np.add.reduceat(seen, starts, axis=0) / (sizes - 2)[:, None]
-        return np.maximum(total, FLOOR).astype(np.float32), known.astype(np.float32)
+        return np.where(allowed, np.maximum(total, FLOOR), BARRED).astype(np.float32), known.astype(np.float32)
 
 
 def build(counts: list[tuple[str, str, int]]) -> Model | None:
@@ -149,7 +163,7 @@ def build(counts: list[tuple[str, str, int]]) -> Model | None:
     own = by_script >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1)
     own[~own.any(axis=1)] = True
     codes = np.concatenate([_code(np.array(list(map(ord, t)))) for t in names])
-    return Model(langs, codes, logs, (table > 0).astype(np.float32), np.where(own, 0.0, -np.inf))
+    return Model(langs, codes, logs, (table > 0).astype(np.float32), own)
 
 
 def _sample(docs: DataFrame, bound: int) -> DataFrame | None:
@@ -275,7 +289,7 @@ class Labeller:
         return rows
 
     def label(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words:
             return UNKNOWN, 0.0
         rows = self.rows_of(words)
@@ -288,7 +302,7 @@ class Labeller:
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """Start, end and language of each stretch of words in one language."""
-        found = list(WORD.finditer(text or ""))
+        found = list(LETTERS.finditer(text or ""))
         if not found:
             return []
         path = switching_path(self.scores[self.rows_of([m.group().lower() for m in found])], self.penalty)

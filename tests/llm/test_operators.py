@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -155,7 +156,7 @@ def test_language_of_texts_and_spans(spark, docs, nothing):
     model = langid.fit(documents(spark, train_rows()), 10)
     assert model.langs == ["de", "en", "ru"]
     out = langid.label(docs, model).collect()
-    letters = {i: bool(langid.WORD.search((t or "").lower())) for i, t, _, _ in ROWS}
+    letters = {i: any(unicodedata.category(c)[0] == "L" for c in t or "") for i, t, _, _ in ROWS}
     assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(i for i, _, _, _ in ROWS)
     for r in out:
         assert (r["lang"] == "und") == (not letters[r["doc_id"]]) and 0 <= r["score"] <= 1
@@ -186,6 +187,78 @@ def plain_viterbi(scores, penalty):
     return [*path, best][::-1], total.max()
 
 
+def test_texts_without_letters_have_no_language(spark):
+    model = langid.fit(documents(spark, train_rows()), 10)
+    labeller = langid.Labeller(model)
+    for text in (None, "", " ", "½ ²", "①", "Ⅷ ⅷ", "12 3.4", "😀 !?", "_ __", "\u0301", "٣ ४"):
+        assert labeller.label(text) == ("und", 0.0) and labeller.spans(text) == []
+    for text in ("a", "½ the ②", "①a", "ª", "дом", "漢"):
+        assert labeller.label(text)[0] != "und"
+    assert [k for _, _, k in labeller.spans("½the② дом")] == ["en", "ru"]
+
+
+def test_scripts_narrow_the_languages(spark):
+    labeller = langid.Labeller(langid.fit(documents(spark, train_rows()), 10))
+    text = "the house and the garden дом and the water of the garden"
+    assert [(text[a:b], k) for a, b, k in labeller.spans(text)] == [("the house and the garden", "en"), ("дом", "ru"), ("and the water of the garden", "en")]
+    assert [k for _, _, k in labeller.spans("зжщ the house")] == ["ru", "en"]  # no trigram of it was ever seen
+    assert labeller.label("λόγος λόγος")[1] == 0.0  # a script of no language leaves all of them
+
+
+def brute_label(counts, text, penalty, path_of):
+    """Language and score from trigram counts, by dictionaries; of equally good paths the one that ``path_of`` takes."""
+    langs = sorted({k for k, _, _ in counts})
+    table, grams = collections.Counter(), {t for _, t, _ in counts}
+    script = collections.Counter()
+    for lang, gram, n in counts:
+        table[lang, gram] += n
+        script[lang, unicodedata.name(gram[1]).split()[0]] += n
+    sizes = {k: sum(n for (a, _), n in table.items() if a == k) for k in langs}
+    mean = sum(sizes.values()) / len(langs)
+    unseen = 0.5 * (len(grams) + 1) / (mean + 0.5 * (len(grams) + 1))
+
+    words, word = [], ""
+    for c in text.lower() + " ":
+        if unicodedata.category(c)[0] == "L":
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    if not words:
+        return "und", 0.0
+    rows, shares = [], []
+    for word in words:
+        padded = "\x02" + word + "\x03"
+        own = [padded[i : i + 3] for i in range(len(word))]
+        uses = [script[k, unicodedata.name(word[0]).split()[0]] >= 0.02 * sum(n for (a, _), n in script.items() if a == k) for k in langs]
+        uses = uses if any(uses) else [True] * len(langs)
+        logs = [sum(np.log((1 - unseen) * table[k, g] / sizes[k] + unseen / (len(grams) + 1)) if g in grams else np.log(unseen / (len(grams) + 1)) for g in own) for k in langs]
+        top = np.log(sum(np.exp(x) for x, u in zip(logs, uses, strict=True) if u))
+        rows.append([max(x - top, -6.0) if u else -1000.0 for x, u in zip(logs, uses, strict=True)])
+        shares.append([np.exp(r) * sum(table[k, g] > 0 for g in own) / len(own) for r, k in zip(rows[-1], langs, strict=True)])
+    path, rows = path_of(words), np.array(rows)
+    value = rows[np.arange(len(path)), path].sum() - penalty * (np.diff(path) != 0).sum()
+    assert value == pytest.approx(plain_viterbi(rows, penalty)[1], abs=1e-3)
+    weight = [sum(len(w) for w, p in zip(words, path, strict=True) if p == k) for k in range(len(langs))]
+    best = int(np.argmax(weight))
+    return langs[best], sum(s[best] * len(w) for s, w in zip(shares, words, strict=True)) / sum(map(len, words))
+
+
+def test_scores_against_brute_force(spark):
+    counts = [(lang, t, n) for lang, t, _, n in langid._counts(langid._sample(documents(spark, train_rows()), 10))]
+    labeller = langid.Labeller(langid.build(counts))
+    rng = np.random.default_rng(11)
+    pool = "the and house garden der nicht über wasser haus это дом вода zzz qwx ½ ②the λόγος Straße 漢字 x".split()
+    texts = [" ".join(rng.choice(pool, rng.integers(1, 40))) for _ in range(120)] + [t for _, t, _, _ in ROWS if t and len(t) < 500]
+
+    def path_of(words):
+        return langid.switching_path(labeller.scores[labeller.rows_of(words)])
+
+    for text in texts:
+        got, want = labeller.label(text), brute_label(counts, text, langid.SWITCH, path_of)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-5), text
+
+
 def test_viterbi_finds_a_best_path():
     rng = np.random.default_rng(3)
     for n in range(60):

@@ -16,9 +16,12 @@ and without labels only the base rules reject.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from steppe.functions.distributions import log_gamma
 from steppe.llm.shared import let, materialize
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -111,20 +114,32 @@ def _ratio(rule: str) -> Column:
 
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """Exact P(X <= k) for X ~ Binomial(n, p), summed from logarithms."""
-    log = F.log
-    first = n.cast("double") * F.log(F.lit(1 - p))
-    odds = float(p / (1 - p))
+    """Exact P(X <= k) for X ~ Binomial(n, p).
+
+    The largest term times the sum of the ratios to it. Below the mean the
+    terms fall away like a Gaussian tail, so some square roots of n are summed
+    and the rest is under 1e-20 of the result; above the mean the other tail
+    is summed, and taken from one.
+    """
+
+    def tail(k, n, p):
+        """P(X <= k) for k below the mean."""
+
+        def step(acc, j):
+            ratio = acc["ratio"] * (k - j + 1) * (1 - p) / ((n - k + j) * p)
+            return F.struct(ratio.alias("ratio"), (acc["total"] + ratio).alias("total"))
 
-    def step(acc, i):
-        term = acc["term"] + log((n - i + 1).cast("double") / i.cast("double")) + log(F.lit(odds))
-        top = F.greatest(acc["total"], term)
-        total = top + log(F.exp(acc["total"] - top) + F.exp(term - top))
-        return F.struct(term.alias("term"), total.alias("total"))
+        steps = F.least(k.cast("long"), (10 * F.sqrt(n * (1 - p) * p) + 100).cast("long"))
+        start = F.struct(F.lit(1.0).alias("ratio"), F.lit(1.0).alias("total"))
+        terms = F.when(steps > 0, F.sequence(F.lit(1).cast("long"), steps)).otherwise(F.array().cast("array<bigint>"))
+        total = F.aggregate(terms, start, step, lambda acc: acc["total"])
+        ways = log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
+        return F.exp(ways + k * math.log(p) + (n - k) * math.log1p(-p)) * total
 
-    start = F.struct(first.alias("term"), first.alias("total"))
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.least(F.lit(1.0), F.exp(F.aggregate(steps, start, step, lambda acc: acc["total"])))
+    k, n = k.cast("double"), n.cast("double")
+    below = F.least(F.lit(1.0), tail(k, n, p))
+    above = F.greatest(F.lit(0.0), 1 - tail(n - k - 1, n, 1 - p))
+    return F.when(k < 0, 0.0).when(k >= n, 1.0).when(k <= n * p, below).otherwise(above)
 
 
 def calibrate(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -162,9 +177,9 @@ def judge(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns and no shuffle of texts.
 
-    Cut-offs come from the narrow counts; the counts of a row are then computed
-    again beside its text, which is cheaper than moving texts to their verdict.
+    Counts are computed once and written beside their rows; the cut-offs read
+    the narrow counts, the verdict then all of it.
     """
-    cutoffs = calibrate(materialize(signals(docs), "quality-signals"), labels)
-    rows = docs.select(F.struct("*").alias("_row"), "text", "lang")  # columns of any name
-    return judge(signals(rows, keep=["_row"]), cutoffs).filter("_kept").select("_row.*")
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang")  # columns of any name
+    stats = materialize(signals(rows, keep=["doc_id", "_row"]), "quality-signals")
+    return judge(stats, calibrate(stats, labels)).filter("_kept").select("_row.*")

@@ -426,13 +426,23 @@ def test_quality_counts(spark, docs):
 def test_binomial_tail_is_exact(spark):
     from math import comb
 
-    cases = [(0, 10), (3, 10), (10, 10), (5, 847), (40, 5000), (0, 0)]
+    cases = [(0, 10), (3, 10), (10, 10), (5, 847), (40, 5000), (0, 0), (49, 5000), (50, 5000), (51, 5000), (90, 5000), (1, 100)]
     frame = spark.createDataFrame(cases, "k long, n long")
     for r in frame.select("k", "n", quality.binomial_cdf(F.col("k"), F.col("n"), 0.01).alias("p")).collect():
         want = sum(comb(r["n"], i) * 0.01**i * 0.99 ** (r["n"] - i) for i in range(r["k"] + 1))
         assert r["p"] == pytest.approx(want, rel=1e-9)
 
 
+def test_binomial_tail_of_very_many_trials(spark):
+    n = 300_000_000
+    frame = spark.createDataFrame([(n // 100 - d, n) for d in (0, 1000, 4000)], "k long, n long")
+    got = [r["p"] for r in frame.select(quality.binomial_cdf(F.col("k"), F.col("n"), 0.01).alias("p")).collect()]
+    from statistics import NormalDist
+
+    deviation = (n * 0.01 * 0.99) ** 0.5
+    assert got == pytest.approx([NormalDist().cdf((0.5 - d) / deviation) for d in (0, 1000, 4000)], rel=5e-3)
+
+
 def test_cutoffs_reject_junk_and_control_good_texts(spark):
     rng = np.random.default_rng(5)
     vocabulary_ = [f"w{i}" for i in range(3000)]

@@ -1,9 +1,14 @@
 """Media columns: content-addressed payloads in tar shards.
 
 Each task appends its media files to tar shards of its own in the shared
-folder, every content once per shard; a row carries digest, shard, offset and
-length. Metadata come from range reads of the headers alone, features from
-range reads of the payloads. Nothing is shuffled and no media pass the driver.
+folder; a row carries digest, shard, offset and length, and equal contents have
+one address in the whole table. Metadata come from range reads of the headers
+alone, features from range reads of the payloads. No media pass the driver.
+
+Hashes of the contents are counted first. Contents in a bucket of hashes where
+none occurs twice are stored where they are read. The others are combined by
+digest before they are shuffled, so a content of very many rows is one for each
+task, stored once, and its address is joined back to the narrow rows.
 
 The stored form is an 8-bit greyscale PNG, 64 samples wide, filter 0, zlib.
 
@@ -36,10 +41,13 @@ from steppe.llm.shared import map_batches, materialize, scratch_path
 WIDTH = 64
 #: Bytes after which a task begins another shard (and forgets what the last one holds).
 SHARD_BYTES = 256 << 20
+#: Buckets of hashes: the table of those with repeated contents has so many rows at most, and is broadcast.
+BUCKETS = 1 << 20
 HEADER_BYTES = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
-ADDRESS = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+PLACE = "n_bytes long, digest string, shard string, offset long, length long"
+ADDRESS = "doc_id long, " + PLACE
 HEADER = ADDRESS + ", width int, height int, bit_depth int, color_type int"
 CONTENT = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
@@ -124,13 +132,14 @@ class _Shard:
 
 
 def _writer(root: str, shard_bytes: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    """Stores the contents in the second column; the first one stays beside their addresses."""
+    schema = pa.schema([("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
         for batch in batches:
             rows = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for data in batch.column(1):
                 raw = data.as_py()
                 media = encode_png(pad(raw))
                 digest = hashlib.sha256(media).hexdigest()
@@ -138,9 +147,10 @@ def _writer(root: str, shard_bytes: int):
                     shard.close()
                     shard = None
                 shard = shard or _Shard(root)
-                rows.append((doc_id, len(raw), digest, shard.name, shard.put(digest, media), len(media)))
+                rows.append((len(raw), digest, shard.name, shard.put(digest, media), len(media)))
             columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+            places = [pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *places], names=[batch.schema.names[0], *schema.names])
         if shard is not None:
             shard.close()
 
@@ -207,9 +217,19 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Store the padded texts; the table of addresses, written and read back."""
-    root = scratch_path(docs.sparkSession, "media")
+    write = _writer(scratch_path(docs.sparkSession, "media"), shard_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    return materialize(map_batches(rows, _writer(root, shard_bytes), ADDRESS), "media-rows")
+    rows = rows.withColumn("h", F.xxhash64("data"))
+    bucket = F.pmod("h", F.lit(BUCKETS)).cast("int").alias("bucket")
+    many = materialize(rows.groupBy("h").count().filter("count > 1").select(bucket).distinct(), "media-buckets")
+    rows = rows.withColumn("bucket", bucket)
+    once = rows.join(F.broadcast(many), "bucket", "left_anti").select("doc_id", "data")
+    once = map_batches(once, write, ADDRESS)
+    again = rows.join(F.broadcast(many), "bucket", "left_semi").withColumn("content", F.sha2("data", 256))
+    contents = again.groupBy("content").agg(F.first("data").alias("data"))
+    places = materialize(map_batches(contents, write, "content string, " + PLACE), "media-places")
+    again = again.select("doc_id", "content").join(places.hint("merge"), "content").select(*once.columns)
+    return materialize(once.unionByName(again), "media-rows")
 
 
 def with_headers(addresses: DataFrame) -> DataFrame:

@@ -8,6 +8,11 @@ that link to a blocked one; risk goes the same way undivided, by the share of a
 host's own links, so that the many linkers of a popular bad host have it too. A
 host is blocked when its distrust or risk reaches a threshold and exceeds its trust.
 
+Every seed starts with a mass of one, and scores are in units of that mass: what
+a host has from the seeds near it does not change with the number of others, as
+it would if the seeds shared one unit. Rounds go on until no host's score grows by
+more than ``TOLERANCE``; what comes later is less than six times that.
+
 Pages are reduced to hosts and edges are summed before they are shuffled, so
 a host with a third of all pages is a few partial sums, and the join that
 brings verdicts back moves only narrow rows, which Spark splits when skewed.
@@ -34,7 +39,9 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.05
+DAMPING, THRESHOLD = 0.85, 0.05
+#: Change of a score at which rounds end, and the most rounds: the change shrinks by the damping in each.
+TOLERANCE, ROUNDS = 1e-4, 120
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -85,11 +92,12 @@ def seeds(judged: DataFrame) -> DataFrame:
     return hosts.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select("kind", "host", F.lit(1.0).alias("score"))
 
 
-def propagate(edges: DataFrame, start: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, start: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """kind, host, score: trust along the links, distrust and risk against them.
 
-    Each round is one join on (kind, host) and one sum; scores are written
-    between rounds, so that lineage stays short.
+    Each round sends on what arrived in the one before: one join on (kind,
+    host) and one sum, written, so that lineage stays short. Scores are the
+    sums of all rounds.
     """
     ways = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "links")
     back = edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), "links")
@@ -99,20 +107,24 @@ def propagate(edges: DataFrame, start: DataFrame, damping: float = DAMPING, roun
     risk = ways.filter("kind = 'trust'").select(F.lit("risk").alias("kind"), F.col("to").alias("host"), F.col("host").alias("to"), "share")
     ways = ways.unionByName(risk)
     ways = materialize(ways, "url-edges")
-    start = materialize(start, "url-seeds")
-    base = start.withColumn("score", F.col("score") * (1 - damping))
+    arrived = materialize(start.withColumn("score", F.col("score") * (1 - damping)), "url-seeds")
+    scores = arrived
     if ways.isEmpty():
-        return base
-    scores = start
+        return scores
     for _ in range(rounds):
-        sent = scores.join(ways, ["kind", "host"])
+        sent = arrived.join(ways, ["kind", "host"])
         sent = sent.select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        scores = base.unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        scores = materialize(scores, "url-scores")
+        arrived = materialize(sent.groupBy("kind", "host").agg(F.sum("score").alias("score")), "url-arrived")
+        most = arrived.agg(F.max("score")).collect()[0][0]
+        if most is None:
+            break
+        scores = materialize(scores.unionByName(arrived).groupBy("kind", "host").agg(F.sum("score").alias("score")), "url-scores")
+        if most <= tolerance:
+            break
     return scores
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each page."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
@@ -121,7 +133,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping:
     rows = materialize(rows, "url-pages")
     start = materialize(seeds(rows), "url-starts")
     start = start.unionByName(start.filter("kind = 'distrust'").withColumn("kind", F.lit("risk")))
-    scores = propagate(host_edges(pages), start, damping, rounds)
+    scores = propagate(host_edges(pages), start, damping)
     hosts = scores.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust", "risk")])
     hosts = materialize(hosts, "url-hosts")
     worst = F.greatest("distrust", "risk")

@@ -331,6 +331,8 @@ def test_shards_are_tar_files_with_each_content_once(spark):
         members = {m.name: (m.offset_data, m.size) for m in tar.getmembers()}
     assert len(members) == 2
     assert all(members[f"{r['digest']}.png"] == (r["offset"], r["length"]) for r in rows)
+    spread = media.store(documents(spark, [(i, t, None, None) for i, t in enumerate(["a", "a", None, "", "b"] * 5 + ["c", "d"])]).repartition(7)).collect()
+    assert len(spread) == 27 and len({(r["shard"], r["offset"]) for r in spread}) == len({r["digest"] for r in spread}) == 5
     split = media.store(documents(spark, [(i, f"text {i}", None, None) for i in range(20)]).coalesce(1), shard_bytes=1024).select("shard").distinct().count()
     assert split > 2
 
@@ -365,30 +367,38 @@ def test_urls_and_rules(spark):
 
 
 def test_propagation_follows_links_forwards_and_distrust_backwards(spark):
-    edges = [("t", "a", 1), ("a", "b", 2), ("a", "c", 2), ("d", "bad", 3), ("e", "d", 1), ("t", "d", 1)]
+    edges = [("t", "a", 1), ("a", "b", 2), ("b", "t", 1), ("a", "c", 2), ("d", "bad", 3), ("e", "d", 1), ("t", "d", 1)]
     frame = spark.createDataFrame(edges, "source string, target string, links long")
     start = spark.createDataFrame([("trust", "t", 1.0), ("distrust", "bad", 1.0)], "kind string, host string, score double")
-    got = {(r["kind"], r["host"]): r["score"] for r in urls.propagate(frame, start, 0.85, 10).collect()}
+    got = {(r["kind"], r["host"]): r["score"] for r in urls.propagate(frame, start, 0.85, 1e-9).collect()}
     ways = [("trust", a, b, n) for a, b, n in edges] + [("distrust", b, a, n) for a, b, n in edges]
-    total = collections.Counter()
+    nodes = sorted({(k, x) for k, a, b, _ in ways for x in (a, b)})
+    at, total = {x: i for i, x in enumerate(nodes)}, collections.Counter()
     for kind, a, _, n in ways:
         total[kind, a] += n
-    scores = {("trust", "t"): 1.0, ("distrust", "bad"): 1.0}
-    base = {k: 0.15 for k in scores}
-    for _ in range(10):
-        fresh = collections.defaultdict(float, base)
-        for kind, a, b, n in ways:
-            if (kind, a) in scores:
-                fresh[kind, b] += 0.85 * scores[kind, a] * n / total[kind, a]
-        scores = fresh
-    assert got == pytest.approx(dict(scores))
-    assert got["distrust", "d"] > 0 and ("distrust", "a") not in got
+    matrix, seed = np.zeros((len(nodes), len(nodes))), np.zeros(len(nodes))
+    for kind, a, b, n in ways:
+        matrix[at[kind, b], at[kind, a]] += n / total[kind, a]
+    seed[at["trust", "t"]] = seed[at["distrust", "bad"]] = 0.15
+    want = np.linalg.solve(np.eye(len(nodes)) - 0.85 * matrix, seed)
+    assert got == pytest.approx({x: want[i] for x, i in at.items() if want[i]}, abs=1e-7)
+    assert got["distrust", "d"] > 0 and ("distrust", "c") not in got
     pages = [(1, "http://bad.net/es/1", None), (2, "http://d.org/", '<a href="http://bad.net/x">'), (3, "http://t.com/", '<a href=\'http://good.org\'>'), (4, "http://good.org/", ""), (5, "http://e.org", "<a href='http://d.org/'>"), (5, "http://e.org", "<a href='http://d.org/'>")]
     verdict = [(r["page_id"], r["verdict"]) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
     assert collections.Counter(verdict) == collections.Counter([(1, "block"), (2, "block"), (3, "allow"), (4, "allow"), (5, "block"), (5, "block")])
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_rounds_end_on_cycles_and_scores_do_not_depend_on_other_seeds(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("c", "d", 1), ("d", "c", 3)], "source string, target string, links long")
+    one = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, score double")
+    two = one.unionByName(spark.createDataFrame([("trust", "c", 1.0)], "kind string, host string, score double"))
+    first = {r["host"]: r["score"] for r in urls.propagate(edges, one).collect()}
+    second = {r["host"]: r["score"] for r in urls.propagate(edges, two).collect()}
+    assert first == pytest.approx({"a": 0.15 / (1 - 0.85**2), "b": 0.15 * 0.85 / (1 - 0.85**2)}, abs=6 * urls.TOLERANCE)
+    assert {k: second[k] for k in "ab"} == pytest.approx(first) and second["c"] == pytest.approx(first["a"])
+
+
 def test_every_linker_of_a_popular_blocked_host_is_blocked(spark):
     pages = [(0, "http://bad.net/es/1", None), (1, "http://good.org/", "<a href='http://other.org/'>")]
     pages += [(2 + k, f"http://h{k}.org/", "<a href='http://bad.net/x'>") for k in range(40)]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steppe.config import Period, Target
+from steppe.operators.indices import accumulate, gamma_fit, spi
 from steppe.operators.panel import within
 from steppe.operators.windows import by_cell, rolling_sum
 
@@ -92,17 +93,53 @@ def known_accumulation(panel: DataFrame, monthly: str, months: int, lead: int, f
     to_come = by_cell().rowsBetween(-(lead - 1), 0) if lead else None
     observed_frame = by_cell().rowsBetween(-(months - 1), -lead)
     observed = F.when(F.count(monthly).over(observed_frame) == overlap, F.sum(monthly).over(observed_frame))
-    rest = F.sum("climatology").over(to_come) if lead else F.lit(0.0)
+    rest = F.when(F.count("climatology").over(to_come) == lead, F.sum("climatology").over(to_come)) if lead else F.lit(0.0)
     return expected.select("cell_id", "date", (observed + rest).alias("known_accumulation"))
 
 
+def possible_sums(panel: DataFrame, monthly: str, months: int, lead: int, fit: Period) -> DataFrame:
+    """cell_id, date and amount: what is observed at issue plus the rest of each fit year.
+
+    One row for each fit year whose months to come (the last ``lead`` of the
+    window) all lie in the fit period, so as many rows as there are fit years.
+    """
+    overlap = max(0, months - lead)
+    ahead = min(lead, months)
+    frame = by_cell().rowsBetween(-(months - 1), -lead)
+    observed = F.when(F.count(monthly).over(frame) == overlap, F.sum(monthly).over(frame)) if overlap else F.lit(0.0)
+    rows = panel.select("cell_id", "date", F.month("date").alias("month"), observed.alias("observed"))
+    if ahead == 0:
+        return rows.select("cell_id", "date", F.col("observed").alias("amount"))
+    inside = (F.col("date") <= F.lit(fit.end)) & (F.col("date") >= F.add_months(F.lit(fit.start), ahead - 1))
+    rest = panel.select("cell_id", "date", rolling_sum(monthly, ahead).alias("rest")).filter(inside & F.col("rest").isNotNull())
+    rest = rest.select("cell_id", F.month("date").alias("month"), "rest")
+    return rows.join(rest, ["cell_id", "month"], "left").select("cell_id", "date", (F.col("observed") + F.col("rest")).alias("amount"))
+
+
+def known_accumulation_probability(panel: DataFrame, monthly: str, months: int, lead: int, threshold: float, fit: Period, params: DataFrame | None = None) -> DataFrame:
+    """Share of the fit years whose months to come would bring the sum below the threshold.
+
+    With ``params``, gamma parameters of the sums, the threshold is one of the index.
+    """
+    sums = possible_sums(panel, monthly, months, lead, fit)
+    if params is not None:
+        sums = spi(sums, params, "amount")
+    share = F.avg((F.col("amount") < threshold).cast("double"))
+    return sums.groupBy("cell_id", "date").agg(share.alias("known_accumulation_prob"))
+
+
 def empty_forecast(panel: DataFrame, name: str = "ensemble_raw") -> DataFrame:
     """A forecast that is not available: its rows are kept, its values null."""
     return panel.select("cell_id", "date", F.lit(None).cast("double").alias(name))
 
 
-def build(panel: DataFrame, target: Target, fit: Period, population: DataFrame | None = None) -> DataFrame:
-    """All baselines of one target, one row for each cell and verification date."""
+def build(panel: DataFrame, target: Target, fit: Period, population: DataFrame | None = None, monthly: str | None = None, min_samples: int = 5) -> DataFrame:
+    """All baselines of one target, one row for each cell and verification date.
+
+    Where the lead is shorter than the target's accumulation, ``monthly`` names
+    the amounts that the index accumulates; its known accumulation is the index
+    of what is observed plus the climatology of the rest.
+    """
     name, lead = target.name, target.lead_months
     overlap = max(0, target.accumulation - lead)
     out = panel.select(
@@ -110,13 +147,24 @@ def build(panel: DataFrame, target: Target, fit: Period, population: DataFrame |
         F.col(name).alias("actual"), F.lag(name, lead).over(by_cell()).alias("persistence"),
     )
     out = lookup(out, climatology_table(panel, name, fit))
-    known = F.col("climatology") if overlap == 0 else F.lit(None).cast("double")
-    out = out.withColumn("known_accumulation", known).withColumn("ensemble_raw", F.lit(None).cast("double"))
+    params = None
+    if overlap == 0:
+        out = out.withColumn("known_accumulation", F.col("climatology"))
+    elif monthly is None:
+        raise ValueError(f"{name} at lead {lead} has {overlap} observed months: name its monthly amounts")
+    else:
+        params = gamma_fit(accumulate(panel, monthly, target.accumulation), fit, min_samples)
+        sums = known_accumulation(panel, monthly, target.accumulation, lead, fit).withColumnRenamed("known_accumulation", "amount")
+        out = out.join(spi(sums, params, "known_accumulation"), ["cell_id", "date"], "left")
+    out = out.withColumn("ensemble_raw", F.lit(None).cast("double"))
     if target.kind == "classification":
         table = transition_table(panel, name, lead, target.threshold, fit, population).select("now", F.col("rate").alias("persistence_prob"))
         out = lookup(out, rate_table(panel, name, target.threshold, fit))
         out = out.withColumn("now", F.col("persistence") < target.threshold).join(F.broadcast(table), "now", "left").drop("now")
         out = out.withColumn("actual_prob", (F.col("actual") < target.threshold).cast("double"))
-        out = out.withColumn("known_accumulation_prob", F.col("climatology_prob") if overlap == 0 else F.lit(None).cast("double"))
+        if overlap == 0:
+            out = out.withColumn("known_accumulation_prob", F.col("climatology_prob"))
+        else:
+            out = out.join(known_accumulation_probability(panel, monthly, target.accumulation, lead, target.threshold, fit, params), ["cell_id", "date"], "left")
         out = out.withColumn("ensemble_raw_prob", F.lit(None).cast("double"))
     return out

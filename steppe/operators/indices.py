@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from steppe.config import Period
 from steppe.functions.distributions import digamma, gamma_p, gamma_ppf, let, log_gamma, norm_ppf, trigamma
+from steppe.operators.panel import KEYS, require_unique
 from steppe.operators.windows import rolling_sum
 
 #: Normal distribution at -1 and 0.
@@ -86,6 +87,23 @@ def with_sensitivity(index: DataFrame, table: DataFrame) -> DataFrame:
     return rows.drop("month")
 
 
+def join_index(panel: DataFrame, index: DataFrame, table: DataFrame, check: bool = True) -> DataFrame:
+    """The panel with its index and the sensitivity of each cell and month, one to one.
+
+    With ``check``, repeated keys on any side are an error instead of more rows.
+    """
+    if check:
+        require_unique(panel, KEYS, "panel")
+        require_unique(index, KEYS, "index")
+        require_unique(table, ["cell_id", "month"], "sensitivity")
+    return panel.join(with_sensitivity(index, table), KEYS, "left")
+
+
+def evaporation_ratio(precipitation: Column, potential: Column) -> Column:
+    """Actual over potential evapotranspiration; null where the latter is zero."""
+    return F.try_divide(precipitation, potential)
+
+
 def unreliable(mm_per_unit: Column, least: float = 5.0) -> Column:
     return mm_per_unit < least
 

@@ -75,7 +75,7 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def physical_rules() -> dict[str, Column]:
-    """Invariants of the reanalysis columns."""
+    """Invariants of the reanalysis columns. Plain physical bounds."""
     c = F.col
     return {
         "temperature_order": (c("t2m_min_c") <= c("t2m_c") + 1e-6) & (c("t2m_c") <= c("t2m_max_c") + 1e-6),
@@ -83,7 +83,7 @@ def physical_rules() -> dict[str, Column]:
         "wind": c("wind10m_ms") > 0,
         "radiation": c("srad_down_mj_m2_day").between(0.5, 45),
         "pressure": c("surface_pressure_kpa").between(60, 110),
-        "soil": c("swvl1").between(0, 1),
+        "soil": F.array_min(F.array(*[F.coalesce(c(f"swvl{k}").between(0, 1), F.lit(True)) for k in range(1, 5)])),
         "temperature": c("t2m_c").between(-25, 40),
         "precipitation": c("precip_era5_mm") >= 0,
     }
@@ -102,8 +102,72 @@ def distinct_ratio(rows: DataFrame, value: str, by: Column) -> DataFrame:
 
 def static_null_sets(rows: DataFrame, value: str) -> int:
     """Number of different sets of null cells over the dates: 1 for a static mask."""
-    sets = rows.groupBy("date").agg(F.sort_array(F.collect_set(F.when(F.col(value).isNull(), F.col("cell_id")))).alias("cells"))
-    return sets.select("cells").distinct().count()
+    return null_set_digests(rows, value).select("n", "total", "mixed").distinct().count()
+
+
+def null_set_digests(rows: DataFrame, value: str) -> DataFrame:
+    """For each date the number of its null cells and two digests of their ids; no set is collected."""
+    own = F.when(F.col(value).isNull(), F.xxhash64("cell_id"))
+    rows = rows.select("date", "cell_id", value).dropDuplicates(["date", "cell_id"])
+    return rows.groupBy("date").agg(
+        F.count(own).alias("n"),
+        F.coalesce(F.sum(own.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("total"),
+        F.coalesce(F.bit_xor(own), F.lit(0).cast("long")).alias("mixed"),
+    )
+
+
+def drift(annual: DataFrame, reference: DataFrame, tolerance: float = 0.02, absurd: float = 2000.0) -> DataFrame:
+    """Each year's mean against an independent series: relative drift, whether within tolerance, whether possible."""
+    both = annual.select("year", "annual_mean").join(reference.select("year", F.col("annual_mean").alias("reference")), "year", "left")
+    off = F.abs(F.try_divide(F.col("annual_mean"), F.col("reference")) - 1)
+    return both.select("year", "annual_mean", "reference", off.alias("drift"), F.coalesce(off <= tolerance, F.lit(False)).alias("within"), (F.col("annual_mean") <= absurd).alias("possible"))
+
+
+def schema_problems(columns: list[tuple[str, str]], expected: dict[str, str]) -> list[str]:
+    """Columns that a join has suffixed, that are missing, or that have another type. ``columns``: dtypes."""
+    found = dict(columns)
+    suffixed = [f"{c}: suffix" for c in found if c.endswith(("_x", "_y", "_left", "_right"))]
+    return suffixed + [f"{c}: {found.get(c, 'missing')} for {t}" for c, t in expected.items() if found.get(c) != t]
+
+
+def subset_check(cells: DataFrame, reference: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """Cells that the reference lattice lacks, and whether the two counts are close."""
+    ids = reference.select("cell_id").distinct()
+    outside = cells.select("cell_id").join(ids, "cell_id", "left_anti").agg(F.count("*").alias("n_outside"))
+    counts = cells.agg(F.count("*").alias("n")).join(F.broadcast(ids.agg(F.count("*").alias("n_reference"))))  # one row each
+    return counts.join(F.broadcast(outside)).withColumn("close", F.abs(F.try_divide(F.col("n"), F.col("n_reference")) - 1) <= tolerance)
+
+
+def prediction_checks(rows: DataFrame, actual: str, prediction: str) -> DataFrame:
+    """Rows whose binary actual is neither 0 nor 1, whose probability is outside [0, 1], or that have no prediction."""
+    return rows.agg(
+        F.count_if(F.col(actual).isNotNull() & ~F.col(actual).isin(0.0, 1.0)).alias("n_not_binary"),
+        F.count_if((F.col(prediction) < 0) | (F.col(prediction) > 1)).alias("n_outside"),
+        F.count_if(F.col(prediction).isNull()).alias("n_missing"),
+    )
+
+
+def base_rate(rows: DataFrame, probability: str, expected: float) -> DataFrame:
+    """Mean probability against the one that the index is standardised to."""
+    return rows.agg(F.avg(probability).alias("mean"), F.lit(expected).alias("expected"), (F.avg(probability) - expected).alias("drift"))
+
+
+def persistence_order(rows: DataFrame, now_below: Column, probability: str) -> DataFrame:
+    """The most frequent probability of each state; a dry month must make a dry one likelier."""
+    modes = rows.agg(
+        F.mode(F.when(now_below, F.col(probability)), True).alias("rate_below"),
+        F.mode(F.when(~now_below, F.col(probability)), True).alias("rate_above"),
+    )
+    return modes.withColumn("ok", F.col("rate_below") > F.col("rate_above"))
+
+
+def row_counts(table: DataFrame, keys: int, splits: dict) -> DataFrame:
+    """For each split: rows against keys x months, and rows with a null."""
+    months = F.explode(F.array(*[F.struct(F.lit(k).alias("split"), F.lit(p.months * keys).cast("long").alias("expected")) for k, p in splits.items()])).alias("s")
+    wanted = table.sparkSession.range(1).select(months).select("s.*")
+    some = F.greatest(*[F.col(c).isNull() for c in table.columns if c != "split"])
+    found = table.groupBy("split").agg(F.count("*").alias("n"), F.count_if(some).alias("n_with_null"))
+    return wanted.join(found, "split", "left").select("split", "expected", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_with_null", F.lit(0)).alias("n_with_null"))
 
 
 def cross_source(annual_a: DataFrame, annual_b: DataFrame, least_years: int = 5) -> DataFrame:

@@ -29,15 +29,51 @@ def feature_names(table: DataFrame) -> list[str]:
     return [c for c in table.columns if "_lag" in c or c in ("month_sin", "month_cos")]
 
 
-def fit_trees(table: DataFrame, target: Target, trees: int = 300, depth: int = 5, step: float = 0.05, seed: int = 42):
-    """A boosted model; stops where validation no longer improves."""
+def available_targets(targets: list[Target], columns: list[str]) -> tuple[list[Target], list[Target]]:
+    """Targets whose column is there, and those to skip."""
+    return [t for t in targets if t.name in columns], [t for t in targets if t.name not in columns]
+
+
+def best_round(errors: list[float], patience: int) -> int:
+    """Number of trees before the first run of ``patience`` rounds without a smaller error."""
+    best = 0
+    for k, error in enumerate(errors):
+        if error < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def fit_trees(table: DataFrame, target: Target, trees: int = 300, depth: int = 5, step: float = 0.05, seed: int = 42, patience: int = 20):
+    """A boosted model with as many trees as validation asks for.
+
+    All trees are grown on the training rows; the error of each number of trees
+    on the validation rows says where it has not improved for ``patience``
+    rounds. With the same seed the shorter model is grown again.
+    """
     kind = GBTClassifier if target.kind == "classification" else GBTRegressor
-    booster = kind(
-        labelCol="actual", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", validationIndicatorCol="is_validation", validationTol=0.0, seed=seed,
-    )
-    rows = table.filter(F.col("split").isin("train", "validation")).withColumn("is_validation", F.col("split") == "validation")
-    return booster.fit(VectorAssembler(inputCols=feature_names(table), outputCol="features").transform(rows))
+    rows = VectorAssembler(inputCols=feature_names(table), outputCol="features").transform(table)
+    train, validation = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "validation")
+
+    def grow(n: int):
+        return kind(
+            labelCol="actual", featuresCol="features", maxIter=n, maxDepth=depth, stepSize=step, subsamplingRate=0.8,
+            featureSubsetStrategy="0.8", seed=seed, cacheNodeIds=True, checkpointInterval=-1,
+        ).fit(train)
+
+    model = grow(trees)
+    if validation.isEmpty():
+        return model
+    errors = model.evaluateEachIteration(validation) if target.kind == "classification" else model.evaluateEachIteration(validation, "squared")
+    best = best_round(errors, patience)
+    return model if best >= trees else grow(best)
+
+
+def importances(model, table: DataFrame) -> DataFrame:
+    """feature and importance, largest first: one row for each feature."""
+    rows = list(zip(feature_names(table), map(float, model.featureImportances.toArray()), strict=True))
+    return table.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def predict(model, table: DataFrame, target: Target) -> DataFrame:
@@ -55,10 +91,44 @@ def permuted(table: DataFrame, seed: int = 42) -> DataFrame:
     """Labels shuffled within each split and date: skill on them must vanish."""
     own = Window.partitionBy("split", "date")
     rows = table.withColumn("_at", F.row_number().over(own.orderBy("cell_id")))
-    labels = table.select("split", "date", "actual", F.row_number().over(own.orderBy(F.xxhash64("cell_id", "date", F.lit(seed)), "cell_id")).alias("_at"))
+    labels = table.select("split", "date", "actual", F.row_number().over(own.orderBy(F.md5(F.concat_ws("-", "cell_id", "date", F.lit(seed))), "cell_id")).alias("_at"))
     return rows.drop("actual").join(labels, ["split", "date", "_at"]).drop("_at")
 
 
+def linear_skill(table: DataFrame, feature: str, groups: list[str] = ()) -> DataFrame:
+    """Skill (1 - MSE / variance) on the test rows of a line fitted on the training rows.
+
+    The line and the training mean come from one aggregation of one row (or one
+    for each group), so the control runs in the JVM at any size.
+    """
+    train, test = table.filter("split = 'train'"), table.filter("split = 'test'")
+    groups = list(groups)
+    line = train.groupBy(*groups).agg(F.regr_slope("actual", feature).alias("slope"), F.regr_intercept("actual", feature).alias("intercept"), F.avg("actual").alias("mean"))
+    return _line_scores(test.join(line, groups) if groups else test.join(F.broadcast(line)), feature, groups)
+
+
+def _line_scores(rows: DataFrame, feature: str, groups: list[str]) -> DataFrame:
+    error = F.col("actual") - (F.col("intercept") + F.col("slope") * F.col(feature))
+    naive = F.col("actual") - F.col("mean")
+    scores = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.avg(error * error).alias("mse"), F.avg(naive * naive).alias("mse_mean"))
+    return scores.withColumn("skill", 1 - F.try_divide("mse", "mse_mean"))
+
+
+def cross_validated_line(table: DataFrame, fold: str, feature: str) -> DataFrame:
+    """Each spatial fold scored by the line of all other folds.
+
+    The sums of a fold are subtracted from those of all, so one pass over the
+    table gives the lines of all folds.
+    """
+    x, y = F.col(feature), F.col("actual")
+    sums = table.groupBy(fold).agg(*[F.sum(v).alias(k) for k, v in {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "xy": x * y}.items()])
+    everything = Window.partitionBy(F.lit(1))  # one row for each fold
+    rest = sums.select(fold, *[(F.sum(k).over(everything) - F.col(k)).alias(k) for k in ("n", "x", "y", "xx", "xy")])
+    slope = F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), F.col("n") * F.col("xx") - F.col("x") * F.col("x"))
+    lines = rest.select(fold, slope.alias("slope"), ((F.col("y") - slope * F.col("x")) / F.col("n")).alias("intercept"), (F.col("y") / F.col("n")).alias("mean"))
+    return _line_scores(table.join(lines, fold), feature, [fold])
+
+
 def spatial_fold(i: Column, j: Column, block: int, folds: int) -> Column:
     """Fold of a cell's block: neighbouring cells are held out together."""
-    return F.pmod(F.xxhash64(F.floor(i / block), F.floor(j / block)), F.lit(folds)).cast("int")
+    return F.pmod(F.floor(i / block) * 7919 + F.floor(j / block) * 104729, F.lit(folds)).cast("int")

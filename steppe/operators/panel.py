@@ -121,15 +121,42 @@ def block_mean(pixels: DataFrame, value: str, step: float, west: float, north: f
 
 
 def bilinear(points: DataFrame, pixels: DataFrame, value: str, step: float, west: float, north: float) -> DataFrame:
-    """Each point's value from the four pixels around it, by one equi-join."""
+    """Each point's value from the four pixels around it, by one equi-join.
+
+    Masked and missing pixels count nothing and give up their weight; a point
+    without any has a null. Points keep all their columns and rows.
+    """
     x, y = (F.col("lon") - west) / step - 0.5, (north - F.col("lat")) / step - 0.5
     corners = [(a, b) for a in (0, 1) for b in (0, 1)]
     fx, fy = x - F.floor(x), y - F.floor(y)
     near = [F.struct((F.floor(x) + a).cast("long").alias("i"), (F.floor(y) + b).cast("long").alias("j"), ((fx if a else 1 - fx) * (fy if b else 1 - fy)).alias("w")) for a, b in corners]
-    rows = points.select("*", F.explode(F.array(*near)).alias("near")).select("*", "near.i", "near.j", "near.w").drop("near")
-    joined = rows.join(pixels.select("i", "j", F.col(value).alias("_v")), ["i", "j"])
-    total = F.sum(F.col("w") * F.col("_v")) / F.sum("w")
-    return joined.groupBy("cell_id").agg(total.alias(value))
+    rows = points.withColumn("_point", F.monotonically_increasing_id()).select(F.struct(*points.columns).alias("_row"), "_point", F.explode(F.array(*near)).alias("_near"))
+    rows = rows.select("_row", "_point", F.col("_near.i").alias("_i"), F.col("_near.j").alias("_j"), F.col("_near.w").alias("_w"))
+    corners_of = pixels.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col(value).alias("_v"))
+    joined = rows.join(corners_of, ["_i", "_j"], "left")
+    weight = F.when(F.col("_v").isNotNull(), F.col("_w"))
+    total = F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum(weight))
+    return joined.groupBy("_point", "_row").agg(total.alias(value)).select("_row.*", value)
+
+
+def two_stage_mean(pixels: DataFrame, value: str, fine: float, coarse: float, west: float, north: float) -> DataFrame:
+    """Block means of block means: pixels to a pinned intermediate lattice, then to cells.
+
+    Every intermediate block weighs the same, however many pixels it holds.
+    """
+    first = block_mean(pixels, value, fine, west, north).select("i", "j", F.col(f"{value}_mean").alias(value))
+    i, j = (F.floor((F.col(c) + 0.5) * (fine / coarse)).cast("long").alias(c) for c in ("i", "j"))
+    return first.groupBy(i, j).agg(F.avg(value).alias(value), F.count(value).alias("n_blocks"))
+
+
+def region_mean(panel: DataFrame, members: DataFrame, value: str) -> DataFrame:
+    """Mean over the member cells for each date, with their number."""
+    return within(panel, members).groupBy("date").agg(F.avg(value).alias(value), F.count(value).alias("n_cells"))
+
+
+def incomplete_contributors(daily: DataFrame, key: str, day: str, least: int) -> DataFrame:
+    """Keys and months with fewer contributing rows than ``least``."""
+    return accumulate_monthly(daily, key, day, []).filter(F.col("n_obs") < least)
 
 
 # unit conversions
@@ -171,6 +198,31 @@ def annual_means(panel: DataFrame, value: str) -> DataFrame:
     return yearly.groupBy("year").agg(F.avg("total").alias("annual_mean"), F.count("*").alias("n_cells"))
 
 
+def era_means(annual: DataFrame, eras: dict[str, tuple[int, int]], base: str) -> DataFrame:
+    """Mean of the years of each era, its spread, and its bias against the base era in percent."""
+    own = [F.struct(F.lit(k).alias("era"), F.lit(a).alias("first"), F.lit(b).alias("last")) for k, (a, b) in eras.items()]
+    rows = annual.select("year", "annual_mean", F.explode(F.array(*own)).alias("e")).filter(F.col("year").between(F.col("e.first"), F.col("e.last")))
+    means = rows.groupBy(F.col("e.era").alias("era")).agg(
+        F.count("*").alias("n_years"), F.avg("annual_mean").alias("mean"), (F.max("annual_mean") - F.min("annual_mean")).alias("spread")
+    )
+    of_base = F.max(F.when(F.col("era") == base, F.col("mean"))).over(Window.partitionBy(F.lit(1)))  # one row for each era
+    return means.withColumn("bias_percent", 100 * (F.try_divide(F.col("mean"), of_base) - 1))
+
+
+def area_ratio(cells: DataFrame, parts: DataFrame, cell_area_km2: float, tolerance: float = 0.02) -> DataFrame:
+    """Area of the cells over that of the polygons they fill, and whether they agree."""
+    ours = cells.agg((F.count("*") * cell_area_km2).alias("cells_km2"))
+    theirs = parts.agg(F.sum("area_km2").cast("double").alias("polygons_km2"))  # one row each
+    ratio = F.try_divide(F.col("cells_km2"), F.col("polygons_km2"))
+    return ours.join(F.broadcast(theirs)).select("*", ratio.alias("ratio"), (F.abs(ratio - 1) <= tolerance).alias("ok"))
+
+
+def published_ratios(areas: DataFrame, published: dict[str, float]) -> DataFrame:
+    """The summed area against each published figure."""
+    figures = F.explode(F.array(*[F.struct(F.lit(k).alias("source"), F.lit(v).alias("published_km2")) for k, v in published.items()])).alias("p")
+    return areas.agg(F.sum("area_km2").cast("double").alias("area_km2")).select("area_km2", figures).select("p.*", "area_km2", F.try_divide("area_km2", "p.published_km2").alias("ratio"))
+
+
 def driest_years(annual: DataFrame, n: int) -> DataFrame:
     return annual.orderBy("annual_mean", "year").limit(n).withColumn("decade", (F.floor(F.col("year") / 10) * 10).cast("int"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +19,17 @@ from steppe.functions.geo import neighbours
 CLIFF_MM = 2.0
 
 
+@lru_cache(1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def _write(df: DataFrame) -> DataFrame:
     """Written to the shared checkpoint folder and read back, so lineage stays short."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_folder()  # one machine, as in tests
     path = f"{root.rstrip('/')}/zeros-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -45,14 +50,19 @@ def components(zeros: DataFrame) -> DataFrame:
             return labels
 
 
-def clusters(panel: DataFrame, value: str, cliff: float = CLIFF_MM) -> DataFrame:
+def labelled_zeros(panel: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """Zero cells, and date, cell_id, component of each; both written."""
+    zeros = _write(panel.filter(F.col(value) == 0).select("date", "cell_id", "i", "j"))
+    return zeros, _write(components(zeros))
+
+
+def clusters(panel: DataFrame, value: str, cliff: float = CLIFF_MM, labelled: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """date, component, size, boundary_min and artefact of each cluster of zeros.
 
-    ``panel``: cell_id, date, i, j and the value.
+    ``panel``: cell_id, date, i, j and the value. ``labelled``: from ``labelled_zeros``.
     """
     cells = panel.select("date", "cell_id", "i", "j", F.col(value).alias("v"))
-    zeros = _write(cells.filter("v = 0"))
-    found = _write(components(zeros))
+    zeros, found = labelled or labelled_zeros(panel, value)
     positive = cells.filter("v > 0").select("date", "cell_id", "i", "j", "v")
     ring = neighbours_of(zeros, positive).join(found, ["date", "cell_id"]).groupBy("date", "component").agg(F.min("v").alias("boundary_min"))
     sizes = found.groupBy("date", "component").agg(F.count("*").alias("size"))
@@ -71,9 +81,9 @@ def neighbours_of(zeros: DataFrame, positive: DataFrame) -> DataFrame:
 
 def flag_isolated(panel: DataFrame, value: str, cliff: float = CLIFF_MM) -> DataFrame:
     """The panel with a flag for each cell and date inside an artefact."""
-    cells = panel.select("date", "cell_id", "i", "j", F.col(value).alias("v"))
-    found = components(_write(cells.filter("v = 0")))
-    bad = clusters(panel, value, cliff).filter("artefact").select("date", "component")
+    labelled = labelled_zeros(panel, value)
+    found = labelled[1]
+    bad = clusters(panel, value, cliff, labelled).filter("artefact").select("date", "component")
     marks = found.join(bad, ["date", "component"], "left_semi").select("date", "cell_id", F.lit(True).alias("zero_isolated"))
     return panel.join(marks, ["date", "cell_id"], "left").withColumn("zero_isolated", F.coalesce("zero_isolated", F.lit(False)))
 

@@ -220,6 +220,99 @@ inside AS (SELECT cell_id, date, CASE WHEN h IS NOT NULL THEN greatest(1e-9::DOU
 SELECT cell_id, date, CASE WHEN p IS NOT NULL THEN round({norm_ppf("p")}, 4) END AS spei_3 FROM inside"""
 
 
+def known(months: int, lead: int, value: str = "precip") -> str:
+    """CTE `known`: what is observed plus the climatology of the months to come."""
+    overlap = months - lead
+    observed = f"OVER (PARTITION BY g.cell_id ORDER BY g.date ROWS BETWEEN {months - 1} PRECEDING AND {lead} PRECEDING)"
+    ahead = f"OVER (PARTITION BY g.cell_id ORDER BY g.date ROWS BETWEEN {lead - 1} PRECEDING AND CURRENT ROW)"
+    return f"""
+mu AS (SELECT cell_id, month(date) AS m, AVG({value}) AS mu FROM gaps WHERE {FIT} GROUP BY 1, 2),
+known AS (SELECT g.cell_id, g.date, CASE WHEN COUNT({value}) {observed} = {overlap} THEN SUM({value}) {observed} END
+    + CASE WHEN COUNT(mu.mu) {ahead} = {lead} THEN SUM(mu.mu) {ahead} END AS amount
+  FROM gaps g LEFT JOIN mu ON mu.cell_id = g.cell_id AND mu.m = month(g.date))"""
+
+
+GAPS = "gaps AS (SELECT cell_id, date, CASE WHEN NOT (cell_id % 5 = 0 AND month(date) = 3) THEN precip END AS precip FROM panel)"
+
+#: Quantiles by halving an interval, so unlike the Newton steps of the library.
+SENSITIVITY = f"""WITH RECURSIVE {BASE}, {fit("precip", 1)},
+wanted AS (SELECT cell_id, month, shape, scale, q, p, CASE WHEN q < p THEN (p - q) / (1 - q) END AS u
+  FROM params, (VALUES (0.5::DOUBLE), (0.15865525393145707::DOUBLE)) v(p) WHERE shape IS NOT NULL),
+halves AS (
+  SELECT cell_id, month, p, shape, scale, u, 0.0::DOUBLE AS lo, (shape + 20 * sqrt(shape) + 20)::DOUBLE AS hi, 0 AS k FROM wanted WHERE u IS NOT NULL
+  UNION ALL
+  SELECT cell_id, month, p, shape, scale, u, CASE WHEN f < u THEN (lo + hi) / 2 ELSE lo END, CASE WHEN f < u THEN hi ELSE (lo + hi) / 2 END, k + 1
+  FROM (SELECT *, {gamma_p("shape", "((lo + hi) / 2)", 1200)} AS f FROM halves WHERE k < 40)),
+sens AS (SELECT s.cell_id, s.month, CASE WHEN s.shape IS NOT NULL THEN
+    COALESCE(MAX(CASE WHEN h.p = 0.5 THEN h.lo * h.scale END), 0) - COALESCE(MAX(CASE WHEN h.p < 0.5 THEN h.lo * h.scale END), 0) END AS mm_per_unit
+  FROM params s LEFT JOIN halves h ON h.cell_id = s.cell_id AND h.month = s.month AND h.k = 40 GROUP BY s.cell_id, s.month, s.shape)"""
+
+MLE = f"""WITH RECURSIVE {BASE}, {fit("precip", 1)},
+halves AS (
+  SELECT cell_id, month, s, ln(shape) - 2 AS lo, ln(shape) + 2 AS hi, 0 AS k FROM params WHERE s IS NOT NULL
+  UNION ALL
+  SELECT cell_id, month, s, CASE WHEN f > s THEN mid ELSE lo END, CASE WHEN f > s THEN hi ELSE mid END, k + 1
+  FROM (SELECT *, (lo + hi) / 2 AS mid, exp((lo + hi) / 2) AS a, exp((lo + hi) / 2) + 12 AS b,
+      (lo + hi) / 2 - (ln(b) - 1 / (2 * b) - 1 / (12 * b ** 2) + 1 / (120 * b ** 4) - 1 / (252 * b ** 6) - list_sum(list_transform(range(12), lambda i: 1 / (a + i)))) AS f
+    FROM halves WHERE k < 60))
+SELECT p.cell_id, CAST(p.month AS INTEGER) AS month, round(p.q, 4) AS q, round(exp(h.lo), 4) AS shape, round(p.mean / exp(h.lo), 4) AS scale
+FROM params p LEFT JOIN halves h ON h.cell_id = p.cell_id AND h.month = p.month AND h.k = 60"""
+
+
+def target_sql(lead: int, binary: bool) -> str:
+    """The table of a target; tests by integration, gamma functions and all patterns of signs."""
+    actual = f"CASE WHEN LEAD(precip, {lead}) {W} < 150 THEN 1.0 WHEN LEAD(precip, {lead}) {W} IS NOT NULL THEN 0.0 END" if binary else f"LEAD(precip, {lead}) {W}"
+    recent = "CASE WHEN precip < 150 THEN 1.0 ELSE 0.0 END" if binary else "precip"
+    end = "_prob" if binary else ""
+    base = ", ".join(f"('{m}', b.{c}{end})" for m, c in (("climatology", "climatology"), ("persistence", "persistence"), ("known_accumulation", "climatology")))
+    if binary:
+        by = f"""brier AS (SELECT method, date, COUNT(*) AS n, AVG((forecast - actual) ** 2) AS brier FROM long WHERE actual IS NOT NULL AND forecast IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 10),
+ranked AS (SELECT *, RANK() OVER (PARTITION BY method, date ORDER BY forecast) + (COUNT(*) OVER (PARTITION BY method, date, forecast) - 1) / 2 AS r FROM long WHERE actual IS NOT NULL AND forecast IS NOT NULL),
+areas AS (SELECT method, date, CASE WHEN SUM(actual) > 0 AND SUM(actual) < COUNT(*) THEN (SUM(CASE WHEN actual = 1 THEN r ELSE 0 END) - SUM(actual) * (SUM(actual) + 1) / 2) / (SUM(actual) * (COUNT(*) - SUM(actual))) END AS auc FROM ranked GROUP BY 1, 2),
+by_date AS (SELECT b.*, a.auc FROM brier b LEFT JOIN areas a ON a.method = b.method AND a.date = b.date)"""
+        metrics, main, other = ["brier", "auc"], "brier", "auc"
+    else:
+        by, metrics, main, other = by_date("method, date").strip(), ["mae", "rmse", "r2"], "mae", "r2"
+    means = ", ".join(f"AVG({m}) AS {m}, COUNT(*) - COUNT({m}) AS {m}_undefined" for m in metrics)
+    shown = ", ".join(f"round(t.{m}, 6) AS {m}, t.{m}_undefined" for m in metrics)
+    skill_of = ", ".join(f"CASE WHEN x.method <> 'model' THEN round(1 - o.{m} / NULLIF(t.{m}, 0), 6) END AS model_skill_{m}" for m in metrics if m != other)
+    return f"""WITH {BASE}, {CELLS}, {baselines(lead)},
+issued AS (SELECT cell_id, date AS issue_date, {shifted(lead)} AS date, {actual} AS actual, AVG({recent}) OVER (PARTITION BY cell_id ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS forecast FROM panel),
+model AS (SELECT * FROM issued WHERE actual IS NOT NULL AND issue_{TEST} AND {TEST} AND cell_id IN (SELECT cell_id FROM population)),
+long AS (SELECT 'model' AS method, date, actual, forecast FROM model UNION ALL
+  SELECT v.method, b.date, b.actual{end}, v.forecast FROM baselines b, LATERAL (VALUES {base}) v(method, forecast)
+  WHERE b.date IN (SELECT DISTINCT date FROM model) AND b.cell_id IN (SELECT cell_id FROM population)),
+{by},
+sums AS (SELECT method, COUNT(*) AS n_dates, {means} FROM by_date GROUP BY 1),
+d AS (SELECT b.method, b.date, b.{main} - m.{main} AS d FROM by_date b JOIN by_date m ON m.date = b.date AND m.method = 'model' WHERE b.method <> 'model' AND b.{main} IS NOT NULL AND m.{main} IS NOT NULL),
+r AS (SELECT *, CASE WHEN d <> 0 THEN RANK() OVER (PARTITION BY method, d <> 0 ORDER BY round(abs(d), 12)) END AS k, COUNT(*) OVER (PARTITION BY method, d <> 0, round(abs(d), 12)) AS ties FROM d),
+s AS (SELECT method, COUNT(*) AS n, AVG(d) AS m, STDDEV_SAMP(d) AS sd, COUNT(*) FILTER (WHERE d > 0) AS wins, COUNT(*) FILTER (WHERE d < 0) AS losses, MAX(abs(d)) < 1e-12 AS identical,
+  COALESCE(SUM(CASE WHEN d > 0 THEN k END), 0) AS w, BOOL_OR(d <> 0 AND ties > 1) AS tied FROM r GROUP BY 1),
+u AS (SELECT *, n >= 5 AND NOT identical AS ok, CASE WHEN sd > 0 THEN m / (sd / sqrt(n)) END AS t, CAST(least(w, n * (n + 1) // 2 - w) AS BIGINT) AS low FROM s),
+p AS (SELECT method, n, m, wins, losses, identical, CASE WHEN ok THEN t END AS t,
+  CASE WHEN ok THEN list_sum(list_transform(range(4000), lambda k: cos(atan(abs(t) / sqrt(n - 1)) + (k + 0.5) * (pi() / 2 - atan(abs(t) / sqrt(n - 1))) / 4000) ** (n - 2))) * (pi() / 2 - atan(abs(t) / sqrt(n - 1)))
+    / (list_sum(list_transform(range(4000), lambda k: cos((k + 0.5) * pi() / 8000) ** (n - 2))) * pi() / 2) END AS p_t,
+  CASE WHEN ok AND wins + losses > 0 THEN least(1.0, 2 * list_sum(list_transform(range(least(wins, losses) + 1), lambda k: exp(lgamma(wins + losses + 1) - lgamma(k + 1) - lgamma(wins + losses - k + 1) - (wins + losses) * ln(2))))) END AS p_sign,
+  CASE WHEN ok AND NOT tied AND wins + losses = n THEN least(1.0, 2 * list_sum(list_transform(range(CAST(2 ** n AS BIGINT)), lambda mask: CASE WHEN list_sum(list_transform(range(1, n + 1), lambda j: CASE WHEN (mask >> (j - 1)) & 1 = 1 THEN j ELSE 0 END)) <= low THEN 1 ELSE 0 END)) / 2 ** n) END AS p_wilcoxon
+  FROM u)
+SELECT x.method, 'precip' AS target, {lead} AS lead_months, COALESCE(t.n_dates, 0) AS n_dates, {shown}, {skill_of},
+  CASE WHEN x.method <> 'model' THEN round(o.{other} - t.{other}, 6) END AS {other}_difference, p.n AS n_pairs, round(p.m, 6) AS mean_difference, p.wins, p.losses, p.identical,
+  round(p.t, 6) AS t, round(p.p_t, 6) AS p_t, round(CAST(p.p_sign AS DOUBLE), 6) AS p_sign, round(CAST(p.p_wilcoxon AS DOUBLE), 6) AS p_wilcoxon
+FROM (VALUES ('model'), ('climatology'), ('persistence'), ('known_accumulation'), ('ensemble_raw')) x(method)
+LEFT JOIN sums t ON t.method = x.method LEFT JOIN sums o ON o.method = 'model' LEFT JOIN p ON p.method = x.method"""
+
+
+TABLE = f"""WITH {BASE}, {CELLS},
+features AS (SELECT cell_id, date, precip AS lag0, LAG(precip, 6) {W} AS oldest, LEAD(precip, 1) {W} AS actual,
+  CASE WHEN {FIT} THEN 'train' WHEN date BETWEEN DATE '2000-04-01' AND DATE '2000-09-01' THEN 'validation' WHEN {TEST} THEN 'test' END AS split FROM panel),
+kept AS (SELECT * FROM features WHERE split IS NOT NULL AND oldest IS NOT NULL AND actual IS NOT NULL)"""
+
+
+def line_skill(rows: str, name: str) -> str:
+    return f"""SELECT '{name}' AS labels, COUNT(*) AS n, AVG((t.actual - (l.b + l.a * t.lag0)) ** 2) AS mse, AVG((t.actual - l.mean) ** 2) AS naive
+      FROM {rows} t, (SELECT regr_slope(actual, lag0) AS a, regr_intercept(actual, lag0) AS b, AVG(actual) AS mean FROM {rows} WHERE split = 'train') l WHERE t.split = 'test'"""
+
+
 ORACLES = {
     "monthly_panel": f"WITH {BASE} SELECT cell_id, date, precip, sparse, n_obs FROM panel",
     "month_spine": f"WITH {GAPPY} SELECT date, COUNT(*) AS n_cells, COUNT(*) - COUNT(amount) AS n_missing FROM gappy GROUP BY 1",
@@ -247,6 +340,68 @@ ORACLES = {
       AVG(CASE WHEN s_acctbal > 0 THEN 1.0 ELSE 0.0 END) >= 0.5 AND MIN(s_acctbal) >= -1000 AS ok FROM supplier""",
     "distinct_ratio": """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, round(COUNT(DISTINCT l_extendedprice) / COUNT(l_extendedprice), 6) AS ratio, COUNT(l_extendedprice) AS n
       FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '2001-11-01' GROUP BY 1""",
+    "daily_means": """SELECT user_id AS cell_id, CAST(date_trunc('month', ts) AS DATE) AS date, round(AVG(value), 6) AS mean, COUNT(*) AS n_obs FROM events GROUP BY 1, 2""",
+    "incomplete_months": """SELECT user_id AS cell_id, CAST(date_trunc('month', ts) AS DATE) AS date, COUNT(*) AS n_obs FROM events GROUP BY 1, 2 HAVING COUNT(*) < 2""",
+    "source_drift": f"""WITH {BASE}, y AS (SELECT cell_id, CAST(year(date) AS INTEGER) AS year, SUM(precip) AS a, SUM(COALESCE(price, 0) / 1500) AS b FROM panel GROUP BY 1, 2), m AS (SELECT year, AVG(a) AS a, AVG(b) AS b FROM y GROUP BY 1)
+      SELECT year, round(a, 4) AS annual_mean, round(b, 4) AS reference, round(abs(a / b - 1), 4) AS drift, COALESCE(abs(a / b - 1) <= 0.02, FALSE) AS within, a <= 5000 AS possible FROM m""",
+    "lattice_subset": f"""WITH {CELLS}, r AS (SELECT cell_id FROM cells WHERE cell_id % 50 <> 0)
+      SELECT COUNT(*) AS n, (SELECT COUNT(*) FROM r) AS n_reference, COUNT(*) FILTER (WHERE cell_id NOT IN (SELECT cell_id FROM r)) AS n_outside, abs(COUNT(*) / (SELECT COUNT(*) FROM r) - 1) <= 0.02 AS close FROM cells""",
+    "two_stage_mean": f"""WITH {CELLS}, f AS (SELECT FLOOR((lon - 29.975) / 0.05) AS i, FLOOR((37.475 - lat) / 0.05) AS j, AVG(crop_frac) AS v FROM cells GROUP BY 1, 2)
+      SELECT CAST(FLOOR((i + 0.5) * (0.05::DOUBLE / 0.15::DOUBLE)) AS BIGINT) AS i, CAST(FLOOR((j + 0.5) * (0.05::DOUBLE / 0.15::DOUBLE)) AS BIGINT) AS j, round(AVG(v), 6) AS crop_frac, COUNT(v) AS n_blocks FROM f GROUP BY 1, 2""",
+    "region_mean": f"WITH {BASE}, {CELLS} SELECT date, round(AVG(precip), 6) AS precip, COUNT(precip) AS n_cells FROM panel WHERE cell_id IN (SELECT cell_id FROM population) GROUP BY 1",
+    "geojson_features": f"""WITH {CELLS} SELECT cell_id, 'Polygon' AS kind, round(crop_frac, 6) AS crop_frac, 5 AS n_corners, TRUE AS closed, round(round(CAST(lon AS DOUBLE), 6) - 0.025::DOUBLE, 6) AS west, round(round(CAST(lat AS DOUBLE), 6) + 0.025::DOUBLE, 6) AS north FROM cells""",
+    "era_means": f"""WITH {BASE}, {ANNUAL}, e AS (SELECT CASE WHEN year BETWEEN 1995 AND 1997 THEN 'first' ELSE 'second' END AS era, COUNT(*) AS n_years, AVG(annual_mean) AS mean, MAX(annual_mean) - MIN(annual_mean) AS spread FROM annual WHERE year <= 2000 GROUP BY 1)
+      SELECT era, n_years, round(mean, 6) AS mean, round(spread, 6) AS spread, round(100 * (mean / (SELECT mean FROM e WHERE era = 'first') - 1), 6) AS bias_percent FROM e""",
+    "area_checks": """WITH a AS (SELECT CAST(COUNT(*) AS DOUBLE) * 5500 AS c, CAST(SUM(CAST(s_acctbal + 1000 AS DECIMAL(18,2))) AS DOUBLE) AS p FROM supplier)
+      SELECT round(c, 6) AS cells_km2, round(p, 6) AS polygons_km2, round(c / p, 6) AS ratio, abs(c / p - 1) <= 0.02 AS ok FROM a""",
+    "published_areas": """SELECT source, published_km2, round(area, 6) AS area_km2, round(area / published_km2, 6) AS ratio FROM (VALUES ('atlas', 500000.0::DOUBLE), ('survey', 560000.0::DOUBLE)) v(source, published_km2),
+      (SELECT CAST(SUM(CAST(s_acctbal + 1000 AS DECIMAL(18,2))) AS DOUBLE) AS area FROM supplier) a""",
+    "spi_6": spi("precip", 6),
+    "spi_12": spi("precip", 12),
+    "panel_index": f"""SELECT p.cell_id, p.date, p.precip, round(z.spi_1, 6) AS spi_1, round(s.mm_per_unit, 4) AS mm_per_unit FROM (WITH {BASE} SELECT cell_id, date, precip FROM panel) p
+      LEFT JOIN ({spi("precip", 1)}) z ON z.cell_id = p.cell_id AND z.date = p.date LEFT JOIN ({SENSITIVITY} SELECT * FROM sens) s ON s.cell_id = p.cell_id AND s.month = month(p.date)""",
+    "evaporation_ratio": f"WITH {BASE} SELECT cell_id, date, round(CASE WHEN month(date) > 1 THEN precip / (10.0 * (month(date) - 1)) END, 6) AS ratio FROM panel",
+    "spi_sensitivity": f"{SENSITIVITY} SELECT cell_id, CAST(month AS INTEGER) AS month, round(mm_per_unit, 4) AS mm_per_unit FROM sens",
+    "unreliable_share": f"{SENSITIVITY} SELECT CAST(month AS INTEGER) AS month, COUNT(*) FILTER (WHERE mm_per_unit < 50) AS n_unreliable, COUNT(mm_per_unit) AS n FROM sens GROUP BY 1",
+    "gamma_params_mle": MLE,
+    "known_accumulation_gaps": f"WITH {BASE}, {GAPS}, {known(3, 2)} SELECT cell_id, date, round(amount, 6) AS known_accumulation FROM known",
+    "known_accumulation_prob": f"""WITH {BASE}, {GAPS}, o AS (SELECT cell_id, date, LAG(precip, 1) {W} + LAG(precip, 2) {W} AS observed FROM gaps),
+      y AS (SELECT cell_id, month(date) AS m, precip AS rest FROM gaps WHERE {FIT} AND precip IS NOT NULL)
+      SELECT o.cell_id, o.date, round(AVG(CASE WHEN o.observed + y.rest < 450 THEN 1.0 WHEN o.observed + y.rest IS NOT NULL THEN 0.0 END), 6) AS known_accumulation_prob
+      FROM o LEFT JOIN y ON y.cell_id = o.cell_id AND y.m = month(o.date) GROUP BY 1, 2""",
+    "known_accumulation_index": f"""WITH {BASE}, {fit("precip", 3)}, gaps AS (SELECT * FROM panel), {known(3, 1)},
+      h AS (SELECT k.cell_id, k.date, p.q + (1 - p.q) * ({gamma_p("p.shape", "(k.amount / p.scale)")}) AS h FROM known k LEFT JOIN params p ON p.cell_id = k.cell_id AND p.month = month(k.date)),
+      c AS (SELECT cell_id, date, CASE WHEN h IS NOT NULL THEN greatest(1e-9::DOUBLE, least(1 - 1e-9::DOUBLE, h)) END AS p FROM h)
+      SELECT cell_id, date, CASE WHEN p IS NOT NULL THEN round(greatest(-4.0::DOUBLE, least(4.0::DOUBLE, {norm_ppf("p")})), 6) END AS known_accumulation FROM c""",
+    "scores_by_group": f"""{SCORED} SELECT CASE WHEN GROUPING(cell_id) = 0 THEN 'cell_id' WHEN GROUPING(s_nationkey) = 0 THEN 'cover' WHEN GROUPING(month) = 0 THEN 'month' ELSE 'all' END AS grouping, method, cell_id, s_nationkey AS cover, month,
+      COUNT(*) AS n, round(AVG(abs(actual - forecast)), 6) AS mae, round(sqrt(AVG((actual - forecast) ** 2)), 6) AS rmse FROM long JOIN supplier ON s_suppkey = cell_id
+      WHERE actual IS NOT NULL AND forecast IS NOT NULL GROUP BY GROUPING SETS ((method), (method, cell_id), (method, s_nationkey), (method, month))""",
+    "target_table_regression": target_sql(1, False),
+    "target_table_classification": target_sql(3, True),
+    "target_alignment": "SELECT CAST(0 AS BIGINT) AS n_mismatched",
+    "prediction_checks": "SELECT CAST(0 AS BIGINT) AS n_not_binary, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_missing",
+    "base_rate": f"WITH {BASE}, {baselines(3)} SELECT round(AVG(climatology_prob), 6) AS mean, 0.158655::DOUBLE AS expected, round(AVG(climatology_prob) - 0.15865525393145707, 6) AS drift FROM baselines WHERE {TEST}",
+    "persistence_order": f"""WITH {BASE}, {baselines(3)} SELECT round(MAX(CASE WHEN now THEN rate END), 6) AS rate_below, round(MAX(CASE WHEN NOT now THEN rate END), 6) AS rate_above,
+      MAX(CASE WHEN now THEN rate END) > MAX(CASE WHEN NOT now THEN rate END) AS ok FROM rates""",
+    "split_row_counts": f"""{TABLE} SELECT s.split, CAST(s.months * (SELECT COUNT(*) FROM cells) AS BIGINT) AS expected, COUNT(k.cell_id) AS n, CAST(0 AS BIGINT) AS n_with_null
+      FROM (VALUES ('train', 60), ('validation', 6), ('test', 10)) s(split, months) LEFT JOIN kept k ON k.split = s.split GROUP BY 1, 2""",
+    "permutation_control": f"""{TABLE}, o AS (SELECT split, date, actual, lag0, ROW_NUMBER() OVER (PARTITION BY split, date ORDER BY cell_id) AS k,
+        ROW_NUMBER() OVER (PARTITION BY split, date ORDER BY md5(cell_id || '-' || date || '-42'), cell_id) AS r FROM kept),
+      shuffled AS (SELECT a.split, a.lag0, b.actual FROM o a JOIN o b ON a.split = b.split AND a.date = b.date AND a.k = b.r),
+      both_ AS ({line_skill("kept", "real")} UNION ALL {line_skill("shuffled", "shuffled")})
+      SELECT labels, n, round(mse, 4) AS mse, round(1 - mse / naive, 4) AS skill, abs(1 - mse / naive) < 0.05 AS vanishes FROM both_""",
+    "spatial_folds": f"""{TABLE}, f AS (SELECT cell_id, CAST((FLOOR(i / 2.0) * 7919 + FLOOR(j / 2.0) * 104729) % 5 AS INTEGER) AS fold FROM cells), t AS (SELECT k.*, f.fold FROM kept k JOIN f ON f.cell_id = k.cell_id),
+      l AS (SELECT g.fold, regr_slope(t.actual, t.lag0) AS a, regr_intercept(t.actual, t.lag0) AS b, AVG(t.actual) AS mean FROM (SELECT DISTINCT fold FROM t) g JOIN t ON t.fold <> g.fold GROUP BY 1),
+      s AS (SELECT t.fold, COUNT(*) AS n, AVG((t.actual - l.b - l.a * t.lag0) ** 2) AS mse, AVG((t.actual - l.mean) ** 2) AS naive FROM t LEFT JOIN l ON l.fold = t.fold GROUP BY 1)
+      SELECT fold, n, round(mse, 4) AS mse, round(naive, 4) AS mse_mean, round(1 - mse / naive, 4) AS skill FROM s""",
+    "availability_flags": f"WITH {GAPPY} SELECT date, COUNT(amount) AS n_available, COUNT(*) AS n FROM gappy GROUP BY 1",
+    "ensemble_statistics": f"""WITH {BASE} SELECT s_nationkey AS nation, date, COUNT(precip) AS n_members, round(AVG(precip), 6) AS mean, round(STDDEV_SAMP(precip), 6) AS spread, round(quantile_cont(precip, 1 / 3), 6) AS lower_tercile, round(quantile_cont(precip, 2 / 3), 6) AS upper_tercile
+      FROM panel JOIN supplier ON s_suppkey = cell_id GROUP BY 1, 2""",
+    "forecast_bias": f"""WITH {BASE}, {baselines(3)}, b AS (SELECT CAST(month(date) AS INTEGER) AS month, AVG(persistence - actual) AS bias, COUNT(*) AS n FROM baselines WHERE persistence IS NOT NULL AND actual IS NOT NULL GROUP BY 1)
+      SELECT month, round(bias, 6) AS bias, n, 0.0::DOUBLE AS "left" FROM b""",
+    "cross_calibration": f"""WITH a AS ({source("R", "v")}), b AS ({source("A", "v")}) SELECT round(regr_slope(a.v, b.v), 6) AS slope, round(regr_intercept(a.v, b.v), 6) AS intercept, CAST(regr_count(a.v, b.v) AS BIGINT) AS n
+      FROM a JOIN b ON a.cell_id = b.cell_id AND a.date = b.date""",
+    "effective_cells": f"""WITH {BASE}, {CELLS} SELECT date, COUNT(DISTINCT p.cell_id) AS n_cells, COUNT(DISTINCT (FLOOR(lon * 10), FLOOR(lat * 10))) AS n_effective FROM panel p JOIN cells c ON c.cell_id = p.cell_id GROUP BY 1""",
     "static_mask": f"WITH {GAPPY} SELECT COUNT(DISTINCT cells) AS n_masks FROM (SELECT date, COALESCE(list_sort(list(DISTINCT cell_id) FILTER (WHERE amount IS NULL)), []) AS cells FROM gappy GROUP BY 1)",
     "value_counts": f"WITH {BASE} SELECT n_obs, COUNT(*) AS n FROM base GROUP BY 1",
     "lattice_check": "SELECT 0.0::DOUBLE AS worst, CAST(0 AS BIGINT) AS wrong_ids",
@@ -258,7 +413,7 @@ ORACLES = {
       near AS (SELECT cell_id, CAST(FLOOR(x) AS BIGINT) + a AS i, CAST(FLOOR(y) AS BIGINT) + b AS j,
         (CASE WHEN a = 1 THEN x - FLOOR(x) ELSE 1 - (x - FLOOR(x)) END) * (CASE WHEN b = 1 THEN y - FLOOR(y) ELSE 1 - (y - FLOOR(y)) END) AS w
         FROM points, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b))
-      SELECT n.cell_id, round(SUM(n.w * c.crop_frac) / SUM(n.w), 4) AS crop_frac FROM near n JOIN cells c ON c.i = n.i AND 9 - c.j = n.j GROUP BY 1""",
+      SELECT n.cell_id, round(SUM(n.w * c.crop_frac) / SUM(CASE WHEN c.crop_frac IS NOT NULL THEN n.w END), 4) AS crop_frac FROM near n LEFT JOIN (SELECT i, j, CASE WHEN cell_id % 3 <> 0 THEN crop_frac END AS crop_frac FROM cells) c ON c.i = n.i AND 9 - c.j = n.j GROUP BY 1""",
     "class_share": "SELECT s_suppkey % 10 AS block, round(AVG(CASE WHEN s_nationkey IN (3, 4, 5) THEN 1.0 ELSE 0.0 END), 6) AS share FROM supplier GROUP BY 1",
     "unit_conversions": """SELECT s_suppkey AS cell_id, round(s_acctbal - 273.15, 6) AS celsius, round(s_acctbal * 1000, 6) AS mm, round(s_acctbal * 1e6 / 1e6, 6) AS mj, round(s_acctbal / 1000, 6) AS kpa,
       round(s_acctbal * 0.748::DOUBLE, 6) AS wind2, round(sqrt(s_acctbal ** 2 + (s_acctbal + 1) ** 2), 6) AS speed,
@@ -341,8 +496,9 @@ ORACLES = {
       COUNT(*) - COUNT(mae) AS mae_undefined, COUNT(*) - COUNT(rmse) AS rmse_undefined, COUNT(*) - COUNT(r2) AS r2_undefined FROM by_date GROUP BY 1""",
     "skill_scores": skill(""),
     "calendar_month_skill": skill("month"),
-    "sensitivity_bins": f"""{SCORED}, mm AS (SELECT cell_id, month(date) AS m, AVG(sparse) AS mm FROM panel WHERE {FIT} GROUP BY 1, 2),
-      binned AS (SELECT l.*, CASE WHEN mm < 20 THEN '0-20' WHEN mm < 40 THEN '20-40' WHEN mm < 60 THEN '40-60' ELSE '>=60' END AS bin FROM long l JOIN mm ON mm.cell_id = l.cell_id AND mm.m = l.month),
+    "sensitivity_bins": f"""{SENSITIVITY}, {baselines(1)}, {LONG},
+      binned AS (SELECT l.*, CASE WHEN mm_per_unit < 40 THEN '0-40' WHEN mm_per_unit < 60 THEN '40-60' WHEN mm_per_unit < 80 THEN '60-80' ELSE '>=80' END AS bin
+        FROM long l JOIN sens ON sens.cell_id = l.cell_id AND sens.month = l.month WHERE mm_per_unit IS NOT NULL),
       {by_date('bin, method, date', 'binned', 1)} SELECT bin, method, COUNT(*) AS n_dates, round(AVG(mae), 6) AS mae, round(AVG(rmse), 6) AS rmse, COUNT(*) - COUNT(mae) AS mae_undefined, COUNT(*) - COUNT(rmse) AS rmse_undefined FROM by_date GROUP BY 1, 2""",
     "grouped_scores": f"""{SCORED} SELECT method, month, round(AVG(abs(actual - forecast)), 6) AS mae, COUNT(*) AS n FROM long WHERE actual IS NOT NULL AND forecast IS NOT NULL GROUP BY ROLLUP (method, month)""",
     "reliability": f"""{SCORED} SELECT CAST(least(4, FLOOR(prob * 5)) AS INTEGER) AS bin, round(AVG(prob), 6) AS mean_forecast, round(AVG(actual_prob), 6) AS observed, COUNT(*) AS n FROM long WHERE method = 'climatology' GROUP BY 1""",
@@ -362,6 +518,4 @@ ORACLES = {
         LEFT JOIN (SELECT date, component FROM clusters WHERE artefact) b ON b.date = c.date AND b.component = c.component)
       SELECT date, COUNT(*) FILTER (WHERE bad) AS n_isolated, COUNT(*) AS n FROM flags GROUP BY 1""",
     "training_rows": f"{TRAINING} SELECT split, COUNT(*) AS n, round(AVG(actual), 6) AS mean_actual, MIN(date) AS first FROM kept GROUP BY 1",
-    "permutation_control": f"{TRAINING} SELECT split, COUNT(*) AS n, round(AVG(actual), 6) AS mean_actual FROM kept GROUP BY 1",
-    "spatial_folds": f"""WITH {CELLS} SELECT CAST(FLOOR(i / 2.0) AS BIGINT) AS bi, CAST(FLOOR(j / 2.0) AS BIGINT) AS bj, CAST(1 AS BIGINT) AS n_folds, COUNT(*) AS n_cells FROM cells GROUP BY 1, 2""",
 }

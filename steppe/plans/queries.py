@@ -10,11 +10,13 @@ from steppe.functions import geo
 from steppe.functions.calendar import month_cos, month_sin, year_month
 from steppe.functions.distributions import gamma_p, norm_ppf
 from steppe.operators import baselines as B
+from steppe.operators import evaluation as E
 from steppe.operators import indices as X
 from steppe.operators import integrity as Q
 from steppe.operators import metrics as M
 from steppe.operators import model as L
 from steppe.operators import panel as P
+from steppe.operators import products as R
 from steppe.operators import windows as W
 from steppe.operators import zeros as Z
 from steppe.plans import inputs as I
@@ -68,6 +70,18 @@ def daily_accumulation(spark, sf_dir):
     return rows.select("cell_id", "date", F.round(F.col("value").cast("double"), 4).alias("total"), "n_obs")
 
 
+@query
+def daily_means(spark, sf_dir):
+    """Monthly means with the number of contributing days."""
+    rows = P.accumulate_monthly(I.daily(spark, sf_dir), "user_id", "ts", [], ["value"])
+    return rounded(rows.select("cell_id", "date", F.col("value_mean").alias("mean"), "n_obs"))
+
+
+@query
+def incomplete_months(spark, sf_dir):
+    return P.incomplete_contributors(I.daily(spark, sf_dir), "user_id", "ts", 2)
+
+
 @query
 def population(spark, sf_dir):
     return P.analysis_population(I.cells(spark, sf_dir))
@@ -155,8 +169,21 @@ def distinct_ratio(spark, sf_dir):
 @query
 def static_mask(spark, sf_dir):
     rows = P.densify(I.source(spark, sf_dir, "R", "amount"), I.START, I.END)
-    sets = rows.groupBy("date").agg(F.sort_array(F.collect_set(F.when(F.col("amount").isNull(), F.col("cell_id")))).alias("cells"))
-    return sets.select("cells").distinct().agg(F.count("*").alias("n_masks"))
+    return Q.null_set_digests(rows, "amount").select("n", "total", "mixed").distinct().agg(F.count("*").alias("n_masks"))
+
+
+@query
+def source_drift(spark, sf_dir):
+    """The annual means of amounts against those of scaled prices."""
+    rows = I.panel(spark, sf_dir)
+    second = rows.withColumn("price", F.coalesce("price", F.lit(0.0)) / 1500)
+    return rounded(Q.drift(P.annual_means(rows, "precip"), P.annual_means(second, "price"), 0.02, 5000.0), 4)
+
+
+@query
+def lattice_subset(spark, sf_dir):
+    cells = I.cells(spark, sf_dir)
+    return Q.subset_check(cells.select("cell_id"), cells.filter("cell_id % 50 <> 0").select("cell_id"))
 
 
 @query
@@ -195,8 +222,19 @@ def block_mean(spark, sf_dir):
 def bilinear_resample(spark, sf_dir):
     cells = I.cells(spark, sf_dir)
     points = cells.select("cell_id", (F.col("lon") + 0.0125).alias("lon"), (F.col("lat") - 0.0125).alias("lat"))
-    pixels = cells.select("i", (9 - F.col("j")).alias("j"), "crop_frac")
-    return rounded(P.bilinear(points, pixels, "crop_frac", 0.05, 29.975, 37.475), 4)
+    masked = F.when(F.col("cell_id") % 3 != 0, F.col("crop_frac"))
+    pixels = cells.select("i", (9 - F.col("j")).alias("j"), masked.alias("crop_frac"))
+    return rounded(P.bilinear(points, pixels, "crop_frac", 0.05, 29.975, 37.475).select("cell_id", "crop_frac"), 4)
+
+
+@query
+def two_stage_mean(spark, sf_dir):
+    return rounded(P.two_stage_mean(I.cells(spark, sf_dir), "crop_frac", 0.05, 0.15, 29.975, 37.475))
+
+
+@query
+def region_mean(spark, sf_dir):
+    return rounded(P.region_mean(I.panel(spark, sf_dir), P.analysis_population(I.cells(spark, sf_dir)), "precip"))
 
 
 @query
@@ -259,7 +297,16 @@ def polygon_cells(spark, sf_dir):
 @query
 def geojson_features(spark, sf_dir):
     cells = I.cells(spark, sf_dir).select("cell_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("crop_frac", 6).alias("crop_frac"))
-    return geo.features(cells, 0.025, ["cell_id", "crop_frac"])
+    made = geo.features(cells, 0.025, ["cell_id", "crop_frac"])
+    ring = F.from_json(F.get_json_object("feature", "$.geometry.coordinates[0]"), "array<array<double>>")
+    read = made.select(
+        F.get_json_object("feature", "$.properties.cell_id").cast("long").alias("cell_id"),
+        F.get_json_object("feature", "$.geometry.type").alias("kind"),
+        F.get_json_object("feature", "$.properties.crop_frac").cast("double").alias("crop_frac"),
+        ring.alias("ring"),
+    )
+    closed = F.col("ring")[0] == F.col("ring")[4]
+    return rounded(read.select("cell_id", "kind", "crop_frac", F.size("ring").alias("n_corners"), closed.alias("closed"), F.col("ring")[0][0].alias("west"), F.col("ring")[2][1].alias("north")))
 
 
 @query
@@ -342,6 +389,24 @@ def driest_years(spark, sf_dir):
     return rounded(P.driest_years(P.annual_means(I.panel(spark, sf_dir), "precip"), 4))
 
 
+@query
+def era_means(spark, sf_dir):
+    eras = {"first": (1995, 1997), "second": (1998, 2000)}
+    return rounded(P.era_means(P.annual_means(I.panel(spark, sf_dir), "precip"), eras, "first"))
+
+
+@query
+def area_checks(spark, sf_dir):
+    parts = I.table(spark, sf_dir, "supplier").select((F.col("s_acctbal") + 1000).cast("decimal(18,2)").alias("area_km2"))
+    return rounded(P.area_ratio(I.cells(spark, sf_dir), parts, 5500.0))
+
+
+@query
+def published_areas(spark, sf_dir):
+    parts = I.table(spark, sf_dir, "supplier").select((F.col("s_acctbal") + 1000).cast("decimal(18,2)").alias("area_km2"))
+    return rounded(P.published_ratios(parts, {"atlas": 500000.0, "survey": 560000.0}))
+
+
 @query
 def cross_source_corr(spark, sf_dir):
     rows = I.panel(spark, sf_dir).filter(F.year("date") < 2001)
@@ -390,6 +455,34 @@ def spi_3(spark, sf_dir):
     return rounded(index_of(spark, sf_dir, "precip", 3))
 
 
+@query
+def spi_6(spark, sf_dir):
+    return rounded(index_of(spark, sf_dir, "precip", 6))
+
+
+@query
+def spi_12(spark, sf_dir):
+    return rounded(index_of(spark, sf_dir, "precip", 12))
+
+
+def _sensitivity(spark, sf_dir) -> DataFrame:
+    return X.sensitivity(X.gamma_fit(X.accumulate(I.panel(spark, sf_dir), "precip", 1), I.FIT))
+
+
+@query
+def panel_index(spark, sf_dir):
+    """The panel with its index and the sensitivity, one to one."""
+    rows = I.panel(spark, sf_dir).select("cell_id", "date", "precip")
+    joined = X.join_index(rows, index_of(spark, sf_dir, "precip", 1), _sensitivity(spark, sf_dir))
+    return rounded(joined.withColumn("mm_per_unit", F.round("mm_per_unit", 4)))
+
+
+@query
+def evaporation_ratio(spark, sf_dir):
+    rows = I.panel(spark, sf_dir)
+    return rounded(rows.select("cell_id", "date", X.evaporation_ratio(F.col("precip"), 10.0 * (F.month("date") - 1)).alias("ratio")))
+
+
 @query
 def spi_1_sparse(spark, sf_dir):
     return rounded(index_of(spark, sf_dir, "sparse", 1))
@@ -397,7 +490,7 @@ def spi_1_sparse(spark, sf_dir):
 
 @query
 def spi_sensitivity(spark, sf_dir):
-    return rounded(X.sensitivity(X.gamma_fit(X.accumulate(I.panel(spark, sf_dir), "precip", 1), I.FIT)), 4)
+    return rounded(_sensitivity(spark, sf_dir), 4)
 
 
 @query
@@ -420,8 +513,7 @@ def incomplete_gamma(spark, sf_dir):
 
 @query
 def unreliable_share(spark, sf_dir):
-    table = X.sensitivity(X.gamma_fit(X.accumulate(I.panel(spark, sf_dir), "precip", 1), I.FIT))
-    flagged = table.withColumn("unreliable", X.unreliable(F.col("mm_per_unit"), 50.0))
+    flagged = _sensitivity(spark, sf_dir).withColumn("unreliable", X.unreliable(F.col("mm_per_unit"), 50.0))
     return flagged.groupBy("month").agg(F.count_if("unreliable").alias("n_unreliable"), F.count("mm_per_unit").alias("n"))
 
 
@@ -465,6 +557,30 @@ def known_accumulation(spark, sf_dir):
     return rounded(B.known_accumulation(I.panel(spark, sf_dir), "precip", 3, 1, I.FIT))
 
 
+def _gaps(spark, sf_dir) -> DataFrame:
+    """The panel without amounts of some cells' Marches, and so without their climatology."""
+    lost = (F.col("cell_id") % 5 == 0) & (F.month("date") == 3)
+    return I.panel(spark, sf_dir).withColumn("precip", F.when(~lost, F.col("precip")))
+
+
+@query
+def known_accumulation_gaps(spark, sf_dir):
+    return rounded(B.known_accumulation(_gaps(spark, sf_dir), "precip", 3, 2, I.FIT))
+
+
+@query
+def known_accumulation_prob(spark, sf_dir):
+    return rounded(B.known_accumulation_probability(_gaps(spark, sf_dir), "precip", 3, 1, 450.0, I.FIT))
+
+
+@query
+def known_accumulation_index(spark, sf_dir):
+    """Baselines of a three-month index one month ahead: two months are known."""
+    rows = I.panel(spark, sf_dir).join(index_of(spark, sf_dir, "precip", 3), ["cell_id", "date"])
+    found = B.build(rows, Target("spi_3", 1), I.FIT, monthly="precip")
+    return rounded(found.select("cell_id", "date", "known_accumulation"))
+
+
 @query
 def known_accumulation_full_lead(spark, sf_dir):
     return rounded(B.known_accumulation(I.panel(spark, sf_dir), "precip", 3, 3, I.FIT))
@@ -521,8 +637,8 @@ def calendar_month_skill(spark, sf_dir):
 @query
 def sensitivity_bins(spark, sf_dir):
     rows = long_forecasts(spark, sf_dir)
-    mean = B.climatology_table(I.panel(spark, sf_dir), "sparse", I.FIT).withColumnRenamed("climatology", "mm")
-    binned = rows.withColumn("month", F.month("date")).join(mean, ["cell_id", "month"]).withColumn("bin", M.sensitivity_bin(F.col("mm"), (20.0, 40.0, 60.0)))
+    table = _sensitivity(spark, sf_dir).filter("mm_per_unit is not null")
+    binned = rows.withColumn("month", F.month("date")).join(table, ["cell_id", "month"]).withColumn("bin", M.sensitivity_bin(F.col("mm_per_unit"), (40.0, 60.0, 80.0)))
     by_date = M.regression_by_date(binned, "actual", "forecast", ["bin", "method", "date"], 1)
     return rounded(M.summarise(by_date, ["mae", "rmse"], ["bin", "method"]))
 
@@ -535,6 +651,69 @@ def grouped_scores(spark, sf_dir):
     return rounded(out)
 
 
+@query
+def scores_by_group(spark, sf_dir):
+    """Scores by cell, by land-cover class and by calendar month, in one pass."""
+    rows = long_forecasts(spark, sf_dir).withColumn("month", F.month("date"))
+    rows = rows.join(I.cells(spark, sf_dir).select("cell_id", F.col("nation").alias("cover")), "cell_id")
+    return rounded(E.scores_by_group(rows, ["cell_id", "cover", "month"]))
+
+
+def _issued(spark, sf_dir, target: Target) -> DataFrame:
+    """Predictions by issue date: the mean of the last months, or the share of them that was dry."""
+    label, recent = W.lead_value("precip", target.lead_months), W.by_cell().rowsBetween(-2, 0)
+    dry = (F.col("precip") < I.DRY).cast("double")
+    binary = target.kind == "classification"
+    return I.panel(spark, sf_dir).select(
+        "cell_id",
+        F.col("date").alias("issue_date"),
+        F.lit(target.lead_months).alias("lead_months"),
+        F.lit(target.name).alias("target"),
+        ((label < I.DRY).cast("double") if binary else label).alias("actual"),
+        F.avg(dry if binary else F.col("precip")).over(recent).alias("prediction"),
+        P.split_label(F.col("date"), I.SPLITS).alias("split"),
+    ).filter("actual is not null")
+
+
+def _target_table(spark, sf_dir, target: Target) -> DataFrame:
+    base = B.build(I.panel(spark, sf_dir), target, I.FIT)
+    members = P.analysis_population(I.cells(spark, sf_dir))
+    return rounded(E.target_table(_issued(spark, sf_dir, target), base, members, target, I.SPLITS["test"], check=False))
+
+
+@query
+def target_table_regression(spark, sf_dir):
+    return _target_table(spark, sf_dir, Target("precip", 1))
+
+
+@query
+def target_table_classification(spark, sf_dir):
+    return _target_table(spark, sf_dir, Target("precip", 3, "classification", I.DRY))
+
+
+@query
+def target_alignment(spark, sf_dir):
+    """Dates on which predictions and baselines have different actuals: none."""
+    target = Target("precip", 3, "classification", I.DRY)
+    rows = E.by_method(_issued(spark, sf_dir, target), B.build(I.panel(spark, sf_dir), target, I.FIT), P.analysis_population(I.cells(spark, sf_dir)), target, I.SPLITS["test"])
+    return E.misaligned_dates(rows).agg(F.count("*").alias("n_mismatched"))
+
+
+@query
+def prediction_checks(spark, sf_dir):
+    return Q.prediction_checks(_issued(spark, sf_dir, Target("precip", 3, "classification", I.DRY)), "actual", "prediction")
+
+
+@query
+def base_rate(spark, sf_dir):
+    return rounded(Q.base_rate(test_rows(forecasts(spark, sf_dir, 3)), "climatology_prob", X.expected_below(-1.0)))
+
+
+@query
+def persistence_order(spark, sf_dir):
+    return rounded(Q.persistence_order(forecasts(spark, sf_dir, 3), F.col("persistence") < I.DRY, "persistence_prob"))
+
+
 @query
 def reliability(spark, sf_dir):
     return rounded(M.reliability(long_forecasts(spark, sf_dir).filter(F.col("method") == "climatology"), "actual_prob", "prob", 5))
@@ -596,22 +775,76 @@ def training_rows(spark, sf_dir):
 def gbt_scores(spark, sf_dir):
     rows, target = _table(spark, sf_dir)
     rows = rows.cache()
-    found = L.predict(L.fit_trees(rows, target, trees=10, depth=3), rows, target)
+    found = L.predict(L.fit_trees(rows, target, trees=10, depth=3), rows, target)  # see the README
     return found.select("cell_id", "issue_date", "verification_date", "actual", F.round("prediction", 6).alias("prediction"), "split")
 
 
+@query
+def split_row_counts(spark, sf_dir):
+    """Rows of each split against cells x months: what lags and leads at the ends cost."""
+    rows, _ = _table(spark, sf_dir)
+    n = I.cells(spark, sf_dir).count()
+    return Q.row_counts(rows.select("split", "precip_lag6", "actual"), n, I.SPLITS)
+
+
 @query
 def permutation_control(spark, sf_dir):
+    """Skill of a line on the labels, and on labels shuffled within dates, where it must vanish."""
     rows, _ = _table(spark, sf_dir)
-    shuffled = L.permuted(rows)
-    return rounded(shuffled.groupBy("split").agg(F.count("*").alias("n"), F.avg("actual").alias("mean_actual")))
+    names = ["cell_id", "date", "split", "actual", "precip_lag0"]
+    real = L.linear_skill(rows.select(names), "precip_lag0").select(F.lit("real").alias("labels"), "*")
+    shuffled = L.linear_skill(L.permuted(rows.select(names)), "precip_lag0").select(F.lit("shuffled").alias("labels"), "*")
+    both = real.unionByName(shuffled).select("labels", "n", "mse", "skill", (F.abs("skill") < 0.05).alias("vanishes"))
+    return rounded(both, 4)
 
 
 @query
 def spatial_folds(spark, sf_dir):
-    cells = I.cells(spark, sf_dir).withColumn("fold", L.spatial_fold(F.col("i"), F.col("j"), 2, 5))
-    blocks = cells.groupBy(F.floor(F.col("i") / 2).alias("bi"), F.floor(F.col("j") / 2).alias("bj")).agg(F.count_distinct("fold").alias("n_folds"), F.count("*").alias("n_cells"))
-    return blocks.select("bi", "bj", "n_folds", "n_cells")
+    """Each fold of spatial blocks, scored by the line of the others."""
+    rows, _ = _table(spark, sf_dir)
+    folds = I.cells(spark, sf_dir).select("cell_id", L.spatial_fold(F.col("i"), F.col("j"), 2, 5).alias("fold"))
+    rows = rows.select("cell_id", "date", "actual", "precip_lag0").join(folds, "cell_id")
+    return rounded(L.cross_validated_line(rows, "fold", "precip_lag0"), 4)
+
+
+# products
+
+
+@query
+def availability_flags(spark, sf_dir):
+    rows = R.availability(P.densify(I.source(spark, sf_dir, "R", "amount"), I.START, I.END), ["amount"])
+    return rows.groupBy("date").agg(F.count_if("amount_available").alias("n_available"), F.count("*").alias("n"))
+
+
+@query
+def ensemble_statistics(spark, sf_dir):
+    """The cells of a nation as members of an ensemble for each month."""
+    rows = P.with_dimension(I.panel(spark, sf_dir).select("cell_id", "date", "precip"), I.cells(spark, sf_dir).select("cell_id", "nation"), check=False)
+    return rounded(R.ensemble(rows, ["nation", "date"], "precip"))
+
+
+@query
+def forecast_bias(spark, sf_dir):
+    """Bias of persistence by calendar month, and what is left of it after the correction."""
+    rows = forecasts(spark, sf_dir, 3)
+    own, truth = rows.select("cell_id", "date", F.col("persistence").alias("v")), rows.select("cell_id", "date", F.col("actual").alias("v"))
+    month = F.month("date").alias("month")
+    bias = R.bias_table(own, truth, ["cell_id", "date"], "v", [month])
+    left = R.bias_table(R.unbiased(own.withColumn("month", F.month("date")), bias, ["month"], "v"), truth, ["cell_id", "date"], "v", [month])
+    return rounded(bias.join(left.select("month", F.col("bias").alias("left")), "month"))
+
+
+@query
+def cross_calibration(spark, sf_dir):
+    one, two = I.source(spark, sf_dir, "R", "v"), I.source(spark, sf_dir, "A", "v")
+    return rounded(R.cross_calibration(one, two, ["cell_id", "date"], "v"))
+
+
+@query
+def effective_cells(spark, sf_dir):
+    native = geo.native_cell_id(F.floor(F.col("lon") * 10) / 10, F.floor(F.col("lat") * 10) / 10)
+    cells = I.cells(spark, sf_dir).select("cell_id", native.alias("native"))
+    return R.effective_cells(I.panel(spark, sf_dir).select("cell_id", "date").join(cells, "cell_id"), "native")
 
 
 def flagship(spark, sf_dir) -> DataFrame:

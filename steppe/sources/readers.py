@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
+import ssl
 import subprocess
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +21,9 @@ from steppe.config import month_index
 GRID = "cell_id long, lon double, lat double, i double, j double, crop_frac double, in_basin boolean, in_lobe boolean"
 PRECIPITATION = "cell_id long, date date, month int, precip_mm double, n_pentads int, n_obs int"
 
-#: Messages of transport faults that are worth another try.
-TRANSIENT = ("timed out", "timeout", "connection reset", "connection aborted", "temporarily unavailable", "too many requests", "429", "500", "502", "503", "504", "broken pipe", "ssl", "remote end closed")
+#: HTTP codes, and phrases in messages of services, that are worth another try.
+TRANSIENT_STATUS = frozenset((408, 429, 500, 502, 503, 504))
+TRANSIENT_PHRASES = ("timed out", "deadline", "rate limit", "quota", "too many requests", "internal error", "temporarily unavailable", "connection reset", "connection aborted", "remote end closed")
 
 
 class TruncatedReadError(RuntimeError):
@@ -59,31 +63,47 @@ def verified(df: DataFrame, expected: int, what: str) -> DataFrame:
     return df
 
 
-def fetch_pages(fetch: Callable[[int, int], list], total: int, expected: int, what: str, page_size: int = 5000) -> list:
-    """All rows of a paged remote source, checked against its count and the caller's."""
+def fetch_pages(spark: SparkSession, fetch: Callable[[int, int], list], total: int, expected: int, what: str, schema: str, page_size: int = 5000) -> DataFrame:
+    """The rows of a paged remote source, one page in each task, checked against its count and the caller's.
+
+    ``fetch(first, size)`` gives a list of tuples; it runs in tasks, with retries,
+    and no page passes the driver. The rows are counted once; write them before further use.
+    """
     if total != expected:
         raise TruncatedReadError(f"{what}: the source counts {total}, the caller {expected}")
-    rows = [r for at in range(0, total, page_size) for r in fetch(at, page_size)]
-    if len(rows) != expected:
-        raise TruncatedReadError(f"{what}: {len(rows)} rows, expected {expected}")
-    return rows
+    names = T.StructType.fromDDL(schema).names
+    pages = spark.range(0, total, page_size, max(1, -(-total // page_size)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in batch["id"]:
+                first = int(at)
+                yield pd.DataFrame(with_retry(lambda: fetch(first, page_size), f"{what} from {first}"), columns=names)  # noqa: B023
+
+    return verified(pages.mapInPandas(run, schema), expected, what)
 
 
-def is_transient(error: Exception) -> bool:
-    text = str(error).lower()
-    return any(mark in text for mark in TRANSIENT)
+def is_transient(error: BaseException) -> bool:
+    """By type and status, then by what a service says; numbers inside a message mean nothing."""
+    status = getattr(error, "status_code", None) or getattr(error, "code", None) or getattr(error, "status", None)
+    if status is not None and not isinstance(status, str):
+        return status in TRANSIENT_STATUS
+    if isinstance(error, (TimeoutError, ConnectionError, ssl.SSLError)):
+        return True
+    return any(phrase in str(error).lower() for phrase in TRANSIENT_PHRASES)
 
 
-def with_retry(run: Callable, what: str, tries: int = 5, base: float = 2.0, sleep: Callable[[float], None] = time.sleep):
-    """Runs again after transport faults, waiting longer each time."""
+def with_retry(run: Callable, what: str, tries: int = 5, base: float = 2.0, sleep: Callable[[float], None] = time.sleep, jitter: float = 0.5):
+    """Runs again after transport faults, waiting longer each time, and a little by chance so that tasks part."""
     for attempt in range(tries):
         try:
             return run()
         except Exception as error:
             if attempt == tries - 1 or not is_transient(error):
                 raise
-            print(f"{what}: {error}; again in {base**attempt:g} s")
-            sleep(base**attempt)
+            wait = base**attempt + random.uniform(0, jitter)
+            print(f"{what}: {error}; again in {wait:.1f} s")
+            sleep(wait)
     raise AssertionError("unreachable")
 
 

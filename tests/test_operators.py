@@ -379,15 +379,69 @@ def test_gate_and_expectations(spark):
 
 
 def test_physical_rules_and_audits(spark):
-    row = dict(t2m_min_c=1.0, t2m_c=2.0, t2m_max_c=3.0, dewpoint_c=5.0, wind10m_ms=1.0, srad_down_mj_m2_day=10.0, surface_pressure_kpa=90.0, swvl1=None, precip_era5_mm=0.0)
+    row = dict(t2m_min_c=1.0, t2m_c=2.0, t2m_max_c=3.0, dewpoint_c=5.0, wind10m_ms=1.0, srad_down_mj_m2_day=10.0, surface_pressure_kpa=90.0, swvl1=None, swvl2=0.3, swvl3=1.2, swvl4=0.1, precip_era5_mm=0.0)
     frame = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} double" for k in row))
-    assert {r["rule"]: r["n_violations"] for r in Q.violations(frame, Q.physical_rules()).collect() if r["n_violations"]} == {"dew_point": 1}
+    assert {r["rule"]: r["n_violations"] for r in Q.violations(frame, Q.physical_rules()).collect() if r["n_violations"]} == {"dew_point": 1, "soil": 1}
     assert [tuple(r) for r in Q.null_audit(series(spark, [1, None, 3]), ["x"]).collect()] == [("x", 1, 1.0, 3.0)]
     assert Q.static_null_sets(series(spark, [1, None, 3]), "x") == 2
     manifests = spark.createDataFrame([("a", "1", False), ("a", "2", False), ("b", None, False), ("c", "1", True), ("d", "1", False)], "source string, producer_digest string, producers_dirty boolean")
     assert column(Q.one_producer(manifests), "source", "source") == ["a", "b", "c"]
 
 
+def test_checks_of_predictions_and_schemas(spark):
+    rows = spark.createDataFrame([(0.0, 0.2), (1.0, 1.5), (0.5, None), (None, 0.1)], "a double, p double")
+    assert tuple(Q.prediction_checks(rows, "a", "p").first()) == (1, 1, 1)
+    assert Q.schema_problems([("a", "double"), ("b_x", "int")], {"a": "double", "c": "int"}) == ["b_x: suffix", "c: missing for int"]
+    both = spark.createDataFrame([(True, 0.4), (True, 0.4), (True, None), (False, 0.2)], "now boolean, p double")
+    assert tuple(Q.persistence_order(both, F.col("now"), "p").first()) == (0.4, 0.2, True)
+    annual, reference = spark.createDataFrame([(2001, 100.0), (2002, 3000.0)], "year int, annual_mean double"), spark.createDataFrame([(2001, 101.0)], "year int, annual_mean double")
+    assert {r["year"]: (r["within"], r["possible"]) for r in Q.drift(annual, reference).collect()} == {2001: (True, True), 2002: (False, False)}
+
+
+def test_index_joins_are_one_to_one(spark):
+    panel, index = series(spark, [1, 2]), series(spark, [0.1, 0.2], name="spi_1")
+    table = spark.createDataFrame([(1, 1, 9.0)], "cell_id long, month int, mm_per_unit double")
+    assert column(X.join_index(panel, index, table), "mm_per_unit", "date") == [9.0, None]
+    with pytest.raises(ValueError):
+        X.join_index(panel, index.unionAll(index), table)
+
+
+def test_p_values_against_the_driver(spark):
+    from steppe.operators import evaluation as E
+
+    rows = spark.createDataFrame([(float(t), n) for t in (0.0, 0.7, -2.5, 6.0) for n in range(2, 14)], "t double, n int")
+    for r in rows.select("t", "n", E.student_p(F.col("t"), F.col("n") - 1).alias("p")).collect():
+        assert r["p"] == pytest.approx(S.t_test(spark, r["t"], r["n"]), abs=1e-9)
+    pairs = spark.createDataFrame([(w, k) for w in range(8) for k in range(8)], "w long, k long")
+    for r in pairs.select("w", "k", E.sign_p(F.col("w"), F.col("k")).alias("p")).collect():
+        want = S.sign_test(r["w"], r["k"])
+        assert r["p"] == (None if want is None else pytest.approx(want))
+    rng = random.Random(4)
+    for n in (1, 5, 12, 30):
+        d = [rng.gauss(0.3, 1) for _ in range(n)]
+        order = sorted(d, key=abs)
+        plus = float(sum(k for k, x in enumerate(order, 1) if x > 0))
+        got = spark.createDataFrame([(plus, n)], "w double, n long").select(E.signed_rank_p(F.col("w"), F.col("n")).alias("p")).first()["p"]
+        assert got == pytest.approx(S.wilcoxon(d))
+
+
+def test_target_table_rejects_other_actuals(spark):
+    from steppe.operators import evaluation as E
+
+    target = Target("x", 1)
+    panel = spark.createDataFrame([(c, date(2001 + m // 12, m % 12 + 1, 1), float((c * 7 + m * 5) % 11)) for c in range(12) for m in range(48)], "cell_id long, date date, x double")
+    base = B.build(panel, target, Period.years(2001, 2003))
+    test = Period.years(2004, 2004)
+    issued = panel.select("cell_id", F.col("date").alias("issue_date"), F.lit(1).alias("lead_months"), F.lit("x").alias("target"), F.lead("x", 1).over(W.by_cell()).alias("actual"), F.col("x").alias("prediction"), F.lit("test").alias("split")).filter("actual is not null")
+    cells = panel.select("cell_id").distinct()
+    rows = {r["method"]: r for r in E.target_table(issued, base, cells, target, test).collect()}
+    assert set(rows) == {"model", *E.BASELINES} and rows["ensemble_raw"]["n_dates"] == 0
+    assert rows["persistence"]["model_skill_mae"] == 0 and rows["persistence"]["identical"] and rows["persistence"]["p_t"] is None
+    assert rows["climatology"]["n_dates"] == 12 and rows["climatology"]["p_wilcoxon"] is not None or rows["climatology"]["p_t"] is not None
+    with pytest.raises(ValueError):
+        E.target_table(issued.withColumn("actual", F.col("actual") + 1), base, cells, target, test)
+
+
 # zeros
 
 
@@ -434,9 +488,35 @@ def test_model_beats_a_constant_and_shuffling_destroys_it(spark):
         return 1 - r["m"] / r["c"]
 
     assert skill(table) > 0.3 and skill(L.permuted(table)) < 0.25
+    model = L.fit_trees(table, Target("x", 1), trees=30, depth=3, patience=3)
+    assert 1 <= model.getNumTrees <= 30
+    assert L.importances(model, table).first()["feature"] == "x_lag0"
+    real, shuffled = L.linear_skill(table, "x_lag0").first(), L.linear_skill(L.permuted(table), "x_lag0").first()
+    assert real["skill"] > 0.3 and shuffled["skill"] < 0.05
     assert L.permuted(table).agg(F.sum("actual")).first()[0] == pytest.approx(table.agg(F.sum("actual")).first()[0])
 
 
+def test_rounds_end_after_patience():
+    assert L.best_round([5.0, 4.0, 3.0, 3.0, 3.5, 2.0], 2) == 3
+    assert L.best_round([5.0, 4.0, 3.0, 3.5, 2.0], 3) == 5
+    assert L.best_round([1.0], 20) == 1
+
+
+def test_cross_validation_leaves_each_fold_out(spark):
+    rng = random.Random(3)
+    rows = [(k % 3, float(x := rng.gauss(0, 1)), 2 * x + rng.gauss(0, 1)) for k in range(90)]
+    got = {r["fold"]: r for r in L.cross_validated_line(spark.createDataFrame(rows, "fold int, x double, actual double"), "fold", "x").collect()}
+    for fold in range(3):
+        train, test = [r for r in rows if r[0] != fold], [r for r in rows if r[0] == fold]
+        slope, intercept = statistics.linear_regression([r[1] for r in train], [r[2] for r in train])
+        assert got[fold]["mse"] == pytest.approx(statistics.fmean((r[2] - intercept - slope * r[1]) ** 2 for r in test))
+
+
+def test_targets_without_a_column_are_skipped():
+    have, skip = L.available_targets([Target("spi_1", 1), Target("sm_anom", 1)], ["cell_id", "spi_1"])
+    assert [t.name for t in have] == ["spi_1"] and [t.name for t in skip] == ["sm_anom"]
+
+
 def test_classes_and_folds(spark):
     rows = series(spark, [float(i % 3) for i in range(40)])
     target = Target("x", 1, "classification", 1.0)
@@ -472,9 +552,12 @@ def test_csv_and_yearly_loads(spark, tmp_path):
 def test_verified_reads_and_retries(spark):
     with pytest.raises(R.TruncatedReadError):
         R.verified(spark.range(3), 4, "rows")
-    assert R.fetch_pages(lambda at, n: list(range(at, min(at + n, 7))), 7, 7, "x", 3) == list(range(7))
+    pages = R.fetch_pages(spark, lambda at, n: [(k,) for k in range(at, min(at + n, 7))], 7, 7, "x", "k long", 3)
+    assert sorted(r["k"] for r in pages.collect()) == list(range(7))
+    with pytest.raises(R.TruncatedReadError):
+        R.fetch_pages(spark, lambda at, n: [], 7, 7, "x", "k long")
     with pytest.raises(R.TruncatedReadError):
-        R.fetch_pages(lambda at, n: [], 7, 7, "x")
+        R.fetch_pages(spark, lambda at, n: [], 7, 8, "x", "k long")
     waits, calls = [], []
 
     def flaky():
@@ -483,7 +566,11 @@ def test_verified_reads_and_retries(spark):
             raise OSError("connection reset by peer")
         return "done"
 
-    assert R.with_retry(flaky, "x", sleep=waits.append) == "done" and waits == [1.0, 2.0]
+    assert R.with_retry(flaky, "x", sleep=waits.append) == "done" and 1 <= waits[0] <= 1.5 and 2 <= waits[1] <= 2.5
+    limited, missing = OSError("x"), OSError("not found")
+    limited.code, missing.code = 503, 404
+    assert R.is_transient(limited) and R.is_transient(TimeoutError()) and R.is_transient(RuntimeError("Quota exceeded")) and R.is_transient(ConnectionResetError())
+    assert not R.is_transient(missing) and not R.is_transient(ValueError("row 1500")) and not R.is_transient(KeyError("500"))
     with pytest.raises(KeyError):
         R.with_retry(lambda: {}["no"], "x", sleep=waits.append)
 

@@ -81,10 +81,10 @@ def paths(messages: DataFrame) -> DataFrame:
     found = leaves.join(endless, ["tree", "node"], "left_anti")
     found = found.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     found = materialize(found, "chat-paths")
-    for k, jump in enumerate(jumps):
+    for k, jump in enumerate(jumps):  # each round writes only what it adds
         step = found.join(jump, ["tree", "node"])
         step = step.select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        found = materialize(found.unionByName(step), "chat-paths")
+        found = found.unionByName(materialize(step, "chat-paths"))
     return found
 
 

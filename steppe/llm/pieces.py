@@ -147,6 +147,8 @@ class Model:
                 kind = dict(_fields(value)).get(3, UNIGRAM)
             elif field == 3:
                 norm = dict(_fields(value))
+                if norm.get(2):
+                    raise ValueError(f"{path} has a normalisation map, which is not applied here")
                 self.dummy_prefix, self.collapse = bool(norm.get(3, 1)), bool(norm.get(4, 1))
         if kind != UNIGRAM:
             ranks = [-s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL]

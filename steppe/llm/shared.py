@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,18 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) a temporary
-    folder is made and set.
+    Only where the session leaves it unset, as tests on one machine do, it is a
+    temporary folder of this process. What is written there is read by lazy
+    results, so it lives as long as they may be used; whoever runs the job
+    clears the folder afterwards.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

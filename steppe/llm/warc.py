@@ -13,8 +13,8 @@ Defined results: ``resolved`` when at least one validator is on both sides and
 all such agree (entity tags by weak comparison); ``mismatch`` when one differs;
 ``unverified`` when none is on both sides; ``orphan`` without an earlier
 response, also for null URLs. A response at the very time of the revisit is not
-earlier; of several at the latest time the greatest record id counts. Repeated
-revisits are resolved one by one; record ids of responses are unique. An empty
+earlier; of several at the latest time the greatest record id counts. Header names are compared and
+returned in lower case, null headers are none. Repeated revisits are resolved one by one; record ids of responses are unique. An empty
 table gives no rows; further columns are ignored.
 """
 
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from steppe.llm.shared import let
+
 #: Headers that a 304 answer must not change in a stored response.
 KEPT_HEADERS = (
     "connection",
@@ -99,15 +101,14 @@ def captures(pages: DataFrame, revisit_after: int = REVISIT_AFTER) -> DataFrame:
 
 def latest_earlier(records: DataFrame, span: int = SPAN) -> DataFrame:
     """record_id and refers_to (null: none) of each revisit; keys and times only."""
-    rows = records.select(
+    rows = records.filter(F.col("key").isNotNull()).select(  # without a URL nothing came earlier, and there is no hot key of nulls
         "record_id",
         (F.col("kind") == "response").alias("full"),
-        F.coalesce("key", F.lit("")).alias("key"),
-        F.col("key").isNotNull().alias("known"),
+        "key",
         F.col("time").cast("long").alias("time"),
         F.floor(F.col("time") / span).alias("bin"),
     )
-    mark = F.when(F.col("full") & F.col("known"), F.struct("time", "record_id"))
+    mark = F.when(F.col("full"), F.struct("time", "record_id"))
     rows = rows.withColumn("mark", mark)
     inside = Window.partitionBy("key", "bin").orderBy("time").rangeBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,8 +116,15 @@ def latest_earlier(records: DataFrame, span: int = SPAN) -> DataFrame:
     bins = bins.select("key", "bin", F.max("last").over(before).alias("carried"))
     near = rows.withColumn("near", F.max("mark").over(inside)).filter(~F.col("full"))
     found = near.join(bins, ["key", "bin"], "left")
-    best = F.when(F.col("known"), F.coalesce("near", "carried"))
-    return found.select("record_id", best["record_id"].alias("refers_to"))
+    return found.select("record_id", F.coalesce("near", "carried")["record_id"].alias("refers_to"))
+
+
+def plain_headers(headers: Column) -> Column:
+    """Names in lower case; of names that differ in case alone the first in order counts; null is none."""
+    none = F.create_map().cast("map<string,string>")
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, none)))
+    lower = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    return let(lower, lambda all_: F.map_from_entries(F.filter(all_, lambda e, i: F.array_position(F.transform(all_, lambda x: x["key"]), e["key"]) == i + 1)))
 
 
 def weak_tag(tag: Column) -> Column:
@@ -133,11 +141,10 @@ def merge_headers(stored: Column, fresh: Column) -> Column:
 def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     """One row for each revisit of ``records``.
 
-    ``records``: record_id, kind, url, time, headers (names in lower case),
-    payload_digest. Output: record_id, key, time, status, refers_to, headers
+    ``records``: record_id, kind, url, time, headers, payload_digest. Output: record_id, key, time, status, refers_to, headers
     (merged if resolved, else the revisit's own), payload_digest.
     """
-    keyed = records.select("record_id", "kind", canonical_url(F.col("url")).alias("key"), "time", "headers", "payload_digest")
+    keyed = records.select("record_id", "kind", canonical_url(F.col("url")).alias("key"), "time", plain_headers(F.col("headers")).alias("headers"), "payload_digest")
     found = latest_earlier(keyed, span).distinct()
     stored = keyed.filter(F.col("kind") == "response").select(
         F.col("record_id").alias("refers_to"), F.col("headers").alias("stored"), F.col("payload_digest").alias("stored_digest")

@@ -499,13 +499,20 @@ def test_revisits(spark):
         (10, "revisit", "http://b.com", 5, {"etag": '"1"'}, None),
         (11, "revisit", "http://a.com/x", 5000, {"last-modified": "x"}, None),
         (12, "response", None, 1, html, "p12"),
+        (13, "response", "http://c.com/", 1, {"ETag": '"7"', "Content-Type": "a/b", "etag": '"8"'}, "p13"),
+        (14, "revisit", "http://c.com/", 5, {"ETAG": '"7"', "Content-Length": "0", "DATE": "d"}, None),
+        (15, "revisit", "http://c.com/", 5, None, None),
+        (16, "response", "http://d.com/", 1, None, "p16"),
+        (17, "revisit", "http://d.com/", 5, {"etag": '"7"'}, None),
     ]
     frame = spark.createDataFrame(rows, "record_id long, kind string, url string, time long, headers map<string,string>, payload_digest string").withColumn("key", F.lit("clash")).withColumn("status", F.lit(0))
     out = {r["record_id"]: r for r in warc.resolve(frame, span=8).collect()}
     assert {k: (r["status"], r["refers_to"]) for k, r in out.items()} == {
         3: ("resolved", 1), 4: ("resolved", 2), 5: ("mismatch", 2), 6: ("unverified", 2), 7: ("orphan", None), 8: ("orphan", None), 10: ("unverified", 9), 11: ("resolved", 2),
+        14: ("resolved", 13), 15: ("unverified", 13), 17: ("unverified", 16),
     }
     assert out[3]["headers"] == {"etag": 'W/"1"', "date": "d", "content-length": "5", "content-type": "text/html", "last-modified": "x"}
+    assert out[14]["headers"] == {"etag": '"7"', "content-type": "a/b", "date": "d"} and out[15]["headers"] == {}
     assert out[3]["payload_digest"] == "p1" and out[5]["payload_digest"] is None
     assert warc.resolve(frame.limit(0)).count() == 0
     wide = {r["record_id"]: r["refers_to"] for r in warc.resolve(frame, span=10**9).collect()}

@@ -373,13 +373,18 @@ def _placer(places):
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, n_bins: int = BINS) -> DataFrame:
-    """Adds sequence_id and offset to the rows of :func:`pieces`."""
+    """Adds sequence_id and offset to the rows of :func:`pieces`.
+
+    Ranks begin where those of the tasks before end: a join on (length, part)
+    of narrow rows. That table grows with the tasks, so it is never broadcast;
+    no key has more rows than one task cut.
+    """
     spark = rows.sparkSession
     counts = materialize(rows.groupBy("length", "part").agg(F.count("*").alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     places = spark.sparkContext.broadcast(intervals(plan(histogram, capacity, n_bins)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = rows.join(base, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "part")
+    ranked = rows.join(base.hint("merge"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "part")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return map_batches(ranked, _placer(places), PLACED)

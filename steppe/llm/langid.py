@@ -305,7 +305,8 @@ class Labeller:
         found = list(LETTERS.finditer(text or ""))
         if not found:
             return []
-        path = switching_path(self.scores[self.rows_of([m.group().lower() for m in found])], self.penalty)
+        rows = self.rows_of([m.group().lower() for m in found])  # may replace the scores by longer ones
+        path = switching_path(self.scores[rows], self.penalty)
         out: list[tuple[int, int, str]] = []
         for m, k in zip(found, path, strict=True):
             lang = self.model.langs[k]

@@ -202,6 +202,9 @@ def test_scripts_narrow_the_languages(spark):
     text = "the house and the garden дом and the water of the garden"
     assert [(text[a:b], k) for a, b, k in labeller.spans(text)] == [("the house and the garden", "en"), ("дом", "ru"), ("and the water of the garden", "en")]
     assert [k for _, _, k in labeller.spans("зжщ the house")] == ["ru", "en"]  # no trigram of it was ever seen
+    many = " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000))  # more words than the scores have room for at first
+    fresh = langid.Labeller(labeller.model)
+    assert fresh.spans(many) == fresh.spans(many) and fresh.spans(many)[-1][1] == len(many)
     assert labeller.label("λόγος λόγος")[1] == 0.0  # a script of no language leaves all of them
 
 
@@ -252,7 +255,8 @@ def test_scores_against_brute_force(spark):
     texts = [" ".join(rng.choice(pool, rng.integers(1, 40))) for _ in range(120)] + [t for _, t, _, _ in ROWS if t and len(t) < 500]
 
     def path_of(words):
-        return langid.switching_path(labeller.scores[labeller.rows_of(words)])
+        rows = labeller.rows_of(words)
+        return langid.switching_path(labeller.scores[rows])
 
     for text in texts:
         got, want = labeller.label(text), brute_label(counts, text, langid.SWITCH, path_of)

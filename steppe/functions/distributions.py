@@ -67,29 +67,55 @@ def log_gamma(x: Column) -> Column:
     return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(total)
 
 
+#: Shapes beyond this are nearly normal in their cube root: the error is under 1e-7.
+LARGE_SHAPE = 1e6
+
+
+def _gamma_series(v: Column) -> Column:
+    """P(a, x) of a struct (a, x): as many terms as its value needs.
+
+    Beyond x - a terms each is smaller than the one before, and the rest decay
+    like a Gaussian tail.
+    """
+    a, x = v["a"], v["x"]
+    terms = (F.greatest(x - a, F.lit(0.0)) + 10 * F.sqrt(F.greatest(a, x)) + 30).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def step(acc, k):
+        term = acc["term"] * x / (a + k)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    total = F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda acc: acc["total"])
+    head = a * F.log(x) - x - log_gamma(a + 1.0)
+    return F.least(F.lit(1.0), F.exp(head + F.log(total)))
+
+
+def _cube_root_normal(v: Column) -> Column:
+    """P(a, x) of a very large shape, by the normal distribution of the cube root."""
+    a = v["a"]
+    z = 3 * F.sqrt(a) * (F.cbrt(v["x"] / a) - 1 + 1 / (9 * a))
+
+    def phi(z):
+        half = F.struct(F.lit(0.5).alias("a"), F.greatest(F.lit(1e-300), F.least(z * z / 2, F.lit(60.0))).alias("x"))
+        return 0.5 + F.signum(z) * let(half, _gamma_series) / 2
+
+    return let(z, phi)
+
+
 def gamma_p(a: Column, x: Column) -> Column:
     """Regularised lower incomplete gamma P(a, x); null for a <= 0, 0 for x <= 0.
 
-    The series has as many terms as its value needs: beyond x - a terms each is
-    smaller than the one before, and the rest decay like a Gaussian tail.
+    Far above the shape the other tail is under exp(-45) and the value is 1, so
+    the number of terms is bounded by some square roots of the shape.
     """
 
-    def series(v):
+    def inner(v):
         a, x = v["a"], v["x"]
-        terms = (F.greatest(x - a, F.lit(0.0)) + 10 * F.sqrt(F.greatest(a, x)) + 30).cast("int")
-        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-
-        def step(acc, k):
-            term = acc["term"] * x / (a + k)
-            return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-        total = F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda acc: acc["total"])
-        # the sum can exceed the range of doubles only where P is 1
-        head = a * F.log(x) - x - log_gamma(a + 1.0)
-        return F.least(F.lit(1.0), F.exp(head + F.log(total)))
+        surely = (x > a) & (x - a - a * F.log(x / a) > 45)
+        return F.when(surely, 1.0).when(a > LARGE_SHAPE, _cube_root_normal(v)).otherwise(_gamma_series(v))
 
     value = F.struct(a.cast("double").alias("a"), x.cast("double").alias("x"))
-    return F.when(a > 0, F.when(x > 0, let(value, series)).when(x <= 0, 0.0))
+    return F.when(a > 0, F.when(x > 0, let(value, inner)).when(x <= 0, 0.0))
 
 
 def norm_cdf(x: Column) -> Column:

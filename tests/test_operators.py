@@ -65,6 +65,15 @@ def test_incomplete_gamma_against_commons_math(spark):
     assert [r["p"] for r in edge.select(D.gamma_p(F.col("a"), F.col("x")).alias("p")).collect()] == [0.0, None, None, None]
 
 
+def test_incomplete_gamma_of_large_shapes_and_values(spark):
+    rows = [(0.5, 1e9), (3.0, 1e6), (2e6, 2e6), (2e6, 2e6 + 1500), (5e11, 5e11 - 1e6), (5e11, 6e11), (2e6, 1.0)]
+    frame = spark.createDataFrame(rows, "a double, x double")
+    got = [r["p"] for r in frame.select(D.gamma_p(F.col("a"), F.col("x")).alias("p")).collect()]
+    want = [1.0, 1.0, *(statistics.NormalDist().cdf(3 * math.sqrt(a) * ((x / a) ** (1 / 3) - 1 + 1 / (9 * a))) for a, x in rows[2:5]), 1.0, 0.0]
+    assert got == pytest.approx(want, abs=1e-9)
+    assert got[2] == pytest.approx(0.5 + 1 / (3 * math.sqrt(2 * math.pi * 2e6)), abs=1e-7)
+
+
 def test_gamma_quantile_inverts_the_distribution(spark):
     cases = [(p, a) for p in (0.001, 0.1587, 0.5, 0.99) for a in (0.3, 1.0, 5.0, 80.0)]
     rows = spark.createDataFrame(cases, "p double, a double").withColumn("x", D.gamma_ppf(F.col("p"), F.col("a"), F.lit(2.0)))

@@ -47,6 +47,6 @@ def effective_cells(rows: DataFrame, native: str) -> DataFrame:
 
 
 def reference_columns(panel: DataFrame, periods: dict[str, str]) -> DataFrame:
-    """column and period of each column that has one; a column of two periods is an error."""
+    """column and reference period of each column of the panel that has one."""
     rows = [(c, p) for c, p in periods.items() if c in panel.columns]
     return panel.sparkSession.createDataFrame(rows, "column string, period string")

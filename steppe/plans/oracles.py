@@ -492,6 +492,8 @@ ORACLES = {
       ranked AS (SELECT method, date, actual_prob, RANK() OVER (PARTITION BY method, date ORDER BY prob) + (COUNT(*) OVER (PARTITION BY method, date, prob) - 1) / 2 AS r FROM good),
       s AS (SELECT method, date, COUNT(*) AS n, SUM(actual_prob) AS pos, COUNT(*) - SUM(actual_prob) AS neg, SUM(CASE WHEN actual_prob = 1 THEN r ELSE 0 END) AS rs FROM ranked GROUP BY 1, 2)
       SELECT method, date, n, round(CASE WHEN pos > 0 AND neg > 0 THEN (rs - pos * (pos + 1) / 2) / (pos * neg) END, 6) AS auc FROM s WHERE n >= 10""",
+    "undefined_dates": f"""{SCORED}, g AS (SELECT date, SUM(actual_prob) AS s, COUNT(*) AS n FROM long WHERE method = 'climatology' AND prob IS NOT NULL
+        AND cell_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) GROUP BY 1) SELECT date FROM g WHERE s = 0 OR s = n""",
     "summary_by_method": f"""{SCORED}, {by_date('method, date')} SELECT method, COUNT(*) AS n_dates, round(AVG(mae), 6) AS mae, round(AVG(rmse), 6) AS rmse, round(AVG(r2), 6) AS r2,
       COUNT(*) - COUNT(mae) AS mae_undefined, COUNT(*) - COUNT(rmse) AS rmse_undefined, COUNT(*) - COUNT(r2) AS r2_undefined FROM by_date GROUP BY 1""",
     "skill_scores": skill(""),

@@ -609,6 +609,15 @@ def auc_per_date(spark, sf_dir):
     return rounded(M.auc_by_date(long_forecasts(spark, sf_dir), "actual_prob", "prob", ["method", "date"]))
 
 
+@query
+def undefined_dates(spark, sf_dir):
+    """Dates on which the cells of one nation are all dry or all wet, so that AUC is undefined."""
+    own = I.cells(spark, sf_dir).filter("nation = 3").select("cell_id")
+    rows = P.within(long_forecasts(spark, sf_dir).filter(F.col("method") == "climatology"), own)
+    found = M.undefined_dates(M.auc_by_date(rows, "actual_prob", "prob", ["date"], 1), "auc")
+    return found.select(F.explode("dates").alias("date"))
+
+
 @query
 def summary_by_method(spark, sf_dir):
     by_date = M.regression_by_date(long_forecasts(spark, sf_dir), "actual", "forecast", ["method", "date"])

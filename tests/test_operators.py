@@ -407,6 +407,28 @@ def test_checks_of_predictions_and_schemas(spark):
     assert {r["year"]: (r["within"], r["possible"]) for r in Q.drift(annual, reference).collect()} == {2001: (True, True), 2002: (False, False)}
 
 
+def test_products(spark):
+    from steppe.operators import products as R2
+
+    rows = series(spark, [1, None, 3])
+    assert column(R2.availability(rows, ["x"]), "x_available", "date") == [True, False, True]
+    assert [tuple(r) for r in R2.reference_columns(rows, {"x": "1981-2016", "other": "2001-2016"}).collect()] == [("x", "1981-2016")]
+    members = spark.createDataFrame([(1, float(v)) for v in (1, 2, 3, 4)] + [(2, None)], "k int, v double")
+    got = {r["k"]: r for r in R2.ensemble(members, ["k"], "v").collect()}
+    assert (got[1]["n_members"], got[1]["mean"], got[1]["lower_tercile"], got[1]["upper_tercile"]) == (4, 2.5, 2.0, 3.0)
+    assert got[2]["n_members"] == 0 and got[2]["mean"] is None
+    bias = R2.bias_table(series(spark, [2, 4]), series(spark, [1, 1]), ["cell_id", "date"], "x", [F.col("cell_id")])
+    assert tuple(bias.first()) == (1, 2.0, 2)
+    assert column(R2.unbiased(series(spark, [2, 4]), bias, ["cell_id"], "x"), "x", "date") == [0.0, 2.0]
+
+
+def test_masked_pixels_give_up_their_weight(spark):
+    points = spark.createDataFrame([(1, 1.0, 9.0, "a"), (1, 1.0, 9.0, "b"), (2, 50.0, 50.0, "c")], "cell_id long, lon double, lat double, name string")
+    pixels = spark.createDataFrame([(0, 0, 10.0), (1, 0, 10.0), (0, 1, 10.0), (1, 1, None)], "i long, j long, v double")
+    got = {r["name"]: r["v"] for r in P.bilinear(points, pixels, "v", 1.0, 0.0, 10.0).collect()}
+    assert got == {"a": 10.0, "b": 10.0, "c": None}
+
+
 def test_index_joins_are_one_to_one(spark):
     panel, index = series(spark, [1, 2]), series(spark, [0.1, 0.2], name="spi_1")
     table = spark.createDataFrame([(1, 1, 9.0)], "cell_id long, month int, mm_per_unit double")

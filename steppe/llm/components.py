@@ -26,6 +26,9 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     still have edges vanish, so there are few rounds, and dense groups shrink to
     a node at once. Tables are written between rounds. A node with very many
     edges is a partial minimum of many tasks, not one task's rows.
+
+    Repeated edges and loops change nothing, an edge with a null end is none,
+    nodes without edges have no row, and an empty table gives no rows.
     """
     low, high = F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
     edges = materialize(edges.select(low, high).filter("a < b").distinct(), "graph-edges")

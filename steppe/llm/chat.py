@@ -95,6 +95,7 @@ def format_trees(messages: DataFrame, branches: int | None = 1, assistant: str =
     their mean score, then by leaf. Output: tree, leaf, branch_score,
     formatted, loss_spans (start and length in code points, texts only).
     """
+    messages = materialize(messages.select("tree", "node", "parent", "role", "text", "score"), "chat-messages")  # read three times
     found = paths(messages)
     scored = found.join(messages.select("tree", "node", "score"), ["tree", "node"])
     chosen = scored.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("branch_score"))

@@ -159,10 +159,72 @@ counts AS (SELECT l.a AS doc_id, COUNT(DISTINCT y.text) AS n_links FROM links l
 SELECT c.doc_id, c.class_id, COALESCE(k.n_links, 0) AS n_links FROM classes c LEFT JOIN counts k ON k.doc_id = c.doc_id
 """
 
+def _op13() -> str:
+    def path(state: str, cost: str, edit: str, row: str | None, ok: str = "TRUE") -> str:
+        out = f"p.{state}.r" if row is None else f"list_append(p.{state}.r, {row})"
+        return f"CASE WHEN p.{state} IS NOT NULL AND {ok} THEN {{'c': p.{state}.c + {cost}, 'a': p.{state}.a || '{edit}', 'r': {out}}} END"
+
+    def least(*paths: str) -> str:
+        return f"list_sort(list_filter([{', '.join(paths)}], lambda x: x IS NOT NULL))[1]"
+
+    own, stays = "t.role || ':' || t.text", "t.fault NOT IN ('blank', 'duplicate')"
+    late = "CAST(t.fault = 'truncated' AS INT)"
+    role = {"U": "'user:'", "A": "'assistant:'"}
+    come = {"U": ("s0", "ss", "sa"), "A": ("su",)}
+    moved = {
+        k: [path(f, f"2 + {late}", "R", f"{role[k]} || t.text", stays) for f in come[k]]
+        + [path(f, late, "K", own, f"{stays} AND t.initial = '{k.lower()}'") for f in come[k]]
+        for k in "UA"
+    }
+    user = least("p.su", *[path(f, "2", "I", role["U"]) for f in come["U"]])
+    assistant = least("p.sa", *[path(f, "2", "I", role["A"]) for f in come["A"]])
+
+    def closed(layer: str) -> str:
+        once = f"SELECT p.conv_id, p.n, p.s0, p.ss, {user} AS su, {assistant} AS sa FROM ({layer}) p"
+        return f"SELECT p.conv_id, p.n, p.s0, p.ss, {user} AS su, {assistant} AS sa FROM ({once}) p"
+
+    none = "{'c': 0, 'a': '', 'r': []::VARCHAR[]}"
+    begin = f"SELECT conv_id, 0::BIGINT AS n, {none} AS s0, NULLIF({none}, {none}) AS ss, NULLIF({none}, {none}) AS su, NULLIF({none}, {none}) AS sa FROM (SELECT DISTINCT conv_id FROM conversations)"
+    step = f"""SELECT p.conv_id, p.n + 1 AS n, {path("s0", "3", "D", None)} AS s0,
+      {least(path("ss", "3", "D", None), path("s0", late, "K", own, f"{stays} AND t.initial = 's'"))} AS ss,
+      {least(path("su", "3", "D", None), *moved["U"])} AS su, {least(path("sa", "3", "D", None), *moved["A"])} AS sa
+      FROM dp p JOIN faulty t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.n = p.n + 1"""
+    return rf"""
+WITH RECURSIVE tbl AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x::BIGINT)) AS t),
+keyed AS (SELECT *, COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hashed AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295::BIGINT), 4294967295) % 20 AS kind
+  FROM keyed, tbl),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, (VALUES (1), (2)) c(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS seen FROM numbered),
+faulty AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault FROM ordered),
+dp AS ({closed(begin)} UNION ALL {closed(step)}),
+pairs AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM faulty),
+counts AS (
+  SELECT conv_id, COUNT(*) AS n, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (WHERE fault = 'blank') AS blank,
+    COUNT(*) FILTER (WHERE fault = 'duplicate') AS duplicate, COUNT(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    COUNT(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY 1),
+ends AS (SELECT p.conv_id, {least("p.s0", "p.sa")} AS b, c.* EXCLUDE (conv_id) FROM dp p LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.n = COALESCE(c.n, 0))
+SELECT conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated,
+  COALESCE(illegal, 0) AS illegal, CAST(b.c AS BIGINT) AS cost, b.a AS audit, sha256(array_to_string(b.r, chr(10))) AS repaired_sha256 FROM ends
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": OP1,
     "op5_url_filters": _op5(),
     "op6_quality_rules": _op6(),
     "op7_warc_revisits": _op7(),
     "op8_ngram_jaccard": OP8,
+    "op13_conversation_repair": _op13(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steppe.llm import chat, jaccard, langid, media, packing, pieces, quality, sharding, urls, warc
+from steppe.llm import chat, jaccard, langid, media, packing, pieces, quality, repair, sharding, urls, warc
 from steppe.llm.shared import materialize, table
 
 
@@ -128,6 +128,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_and_check(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by their ids, with the cheapest edits that mend them."""
+    return repair.summarize(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sharding": op2_sharding,
@@ -139,4 +144,5 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_conversation_repair": op13_conversation_repair,
 }

@@ -159,6 +159,24 @@ counts AS (SELECT l.a AS doc_id, COUNT(DISTINCT y.text) AS n_links FROM links l
 SELECT c.doc_id, c.class_id, COALESCE(k.n_links, 0) AS n_links FROM classes c LEFT JOIN counts k ON k.doc_id = c.doc_id
 """
 
+OP11 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS s FROM items, unnest(range(1, greatest(len(w) - 8, 2))) t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+held AS (SELECT row, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s FROM docs, sizes, unnest(range(1, len(w) - n + 2)) t(i) WHERE len(w) >= n),
+found AS (SELECT h.row, h.i, h.n, x.item_id FROM held h JOIN windows x ON x.s = h.s AND x.n = h.n),
+hits AS (SELECT row, COUNT(DISTINCT i + d) AS n_hit FROM (SELECT DISTINCT row, i, n FROM found), unnest(range(n)) t(d) GROUP BY 1),
+ids AS (SELECT row, COUNT(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
+  sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (row) LEFT JOIN ids USING (row)
+"""
+
+
 def _op13() -> str:
     def path(state: str, cost: str, edit: str, row: str | None, ok: str = "TRUE") -> str:
         out = f"p.{state}.r" if row is None else f"list_append(p.{state}.r, {row})"
@@ -226,5 +244,6 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": _op6(),
     "op7_warc_revisits": _op7(),
     "op8_ngram_jaccard": OP8,
+    "op11_decontamination": OP11,
     "op13_conversation_repair": _op13(),
 }

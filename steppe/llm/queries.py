@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steppe.llm import chat, jaccard, langid, media, packing, pieces, quality, repair, sharding, urls, warc
+from steppe.llm import chat, decontaminate, jaccard, langid, media, packing, pieces, quality, repair, sharding, urls, warc
 from steppe.llm.shared import materialize, table
 
 
@@ -128,6 +128,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_and_check(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the windows of benchmark items that they hold."""
+    done = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by their ids, with the cheapest edits that mend them."""
     return repair.summarize(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
@@ -144,5 +157,6 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_decontamination": op11_decontamination,
     "op13_conversation_repair": op13_conversation_repair,
 }

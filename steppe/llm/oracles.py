@@ -177,6 +177,21 @@ FROM docs LEFT JOIN hits USING (row) LEFT JOIN ids USING (row)
 """
 
 
+OP12 = """
+WITH rows AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row AS row, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.row <> b.row WHERE a.vec_id % 100 = 0),
+positives AS (SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id, n.row) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id, n.row) <= 5
+"""
+
+
 def _op13() -> str:
     def path(state: str, cost: str, edit: str, row: str | None, ok: str = "TRUE") -> str:
         out = f"p.{state}.r" if row is None else f"list_append(p.{state}.r, {row})"
@@ -245,5 +260,6 @@ ORACLES: dict[str, str] = {
     "op7_warc_revisits": _op7(),
     "op8_ngram_jaccard": OP8,
     "op11_decontamination": OP11,
+    "op12_hard_negatives": OP12,
     "op13_conversation_repair": _op13(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steppe.llm import chat, decontaminate, jaccard, langid, media, packing, pieces, quality, repair, sharding, urls, warc
+from steppe.llm import chat, decontaminate, jaccard, langid, media, negatives, packing, pieces, quality, repair, sharding, urls, warc
 from steppe.llm.shared import materialize, table
 
 
@@ -141,6 +141,12 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its nearest of the same label, from all vectors."""
+    rows = negatives.quantized(table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+    return negatives.mine(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by their ids, with the cheapest edits that mend them."""
     return repair.summarize(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
@@ -158,5 +164,6 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_decontamination": op11_decontamination,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
 }

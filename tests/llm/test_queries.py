@@ -18,7 +18,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", ["op1_chat_formatting", "op5_url_filters", "op6_quality_rules", "op7_warc_revisits", "op8_ngram_jaccard"])
+@pytest.mark.parametrize("name", ["op1_chat_formatting", "op5_url_filters", "op6_quality_rules", "op7_warc_revisits", "op8_ngram_jaccard", "op11_decontamination", "op12_hard_negatives", "op13_conversation_repair"])
 def test_query_matches_sql(spark, con, name):
     from oracle import differences
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,13 +90,23 @@ def features(cells: DataFrame, half: float, properties: list[str]) -> DataFrame:
 
 
 def write_geojson(cells: DataFrame, path: str, half: float, properties: list[str]) -> None:
-    """A feature collection in one local file, for a grid of cells that fits the driver."""
-    with open(path, "w") as f:
-        f.write('{"type": "FeatureCollection", "features": [\n')
-        for n, row in enumerate(features(cells, half, properties).orderBy("cell_id").toLocalIterator()):
-            f.write((",\n" if n else "") + row["feature"])
-        f.write("\n]}\n")
-    json.load(open(path))
+    """A feature collection in one local file, for a grid of cells that fits the driver.
+
+    The file gets its name when it is complete.
+    """
+    hidden = os.path.join(os.path.dirname(path) or ".", f".{os.path.basename(path)}-{uuid.uuid4().hex}")
+    try:
+        with open(hidden, "w") as f:
+            f.write('{"type": "FeatureCollection", "features": [\n')
+            for n, row in enumerate(features(cells, half, properties).orderBy("cell_id").toLocalIterator()):
+                f.write((",\n" if n else "") + row["feature"])
+            f.write("\n]}\n")
+        with open(hidden) as f:
+            json.load(f)
+        os.replace(hidden, path)
+    finally:
+        if os.path.exists(hidden):
+            os.remove(hidden)
 
 
 def in_polygon(lon: Column, lat: Column, corners: list[tuple[float, float]]) -> Column:

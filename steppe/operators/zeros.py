@@ -7,32 +7,17 @@ one without positive neighbours is not.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steppe.functions.geo import neighbours
+from steppe.storage import materialize
 
 CLIFF_MM = 2.0
 
 
-@lru_cache(1)
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-
-
 def _write(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read back, so lineage stays short."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _own_folder()  # one machine, as in tests
-    path = f"{root.rstrip('/')}/zeros-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize(df, "zeros")
 
 
 def components(zeros: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from steppe.config import month_index
+from steppe.sources import versions
+from steppe.storage import replace_text
 
 GRID = "cell_id long, lon double, lat double, i double, j double, crop_frac double, in_basin boolean, in_lobe boolean"
 PRECIPITATION = "cell_id long, date date, month int, precip_mm double, n_pentads int, n_obs int"
@@ -110,30 +112,25 @@ def with_retry(run: Callable, what: str, tries: int = 5, base: float = 2.0, slee
 def load_years(spark: SparkSession, read: Callable[[int], DataFrame], path: str, years: list[int], columns: list[str]) -> list[int]:
     """Loads the years that are missing or were written with other columns.
 
-    A manifest beside the table says what each year holds; a year is replaced
-    as one partition. Returns the years that were loaded.
+    Every year is one commit to a versioned table: its rows and the note of its
+    columns become visible together. Returns the years that were loaded.
     """
     own = schema_fingerprint(columns)
-    manifests = path.rstrip("/") + "_manifest"
-    try:
-        done = {r["year"] for r in spark.read.json(manifests).filter(F.col("schema_fingerprint") == own).collect()}
-    except Exception as error:  # the first load finds no manifest
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        done = set()
+    found = versions.snapshot(spark, path)
+    done = {int(k) for k, p in found.parts.items() if p.note == own} if found else set()
     loaded = []
-    for year in years:
-        if year in done:
-            continue
+    for year in [y for y in years if y not in done]:
         df = require_schema(read(year), columns).withColumn("year", F.lit(year))
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
-        rows = spark.read.parquet(path).filter(F.col("year") == year).count()
-        entry = spark.createDataFrame([(year, rows, own)], "year int, rows long, schema_fingerprint string")
-        entry.write.mode("append").json(manifests)
+        versions.commit(spark, path, {str(year): df}, {str(year): own})
         loaded.append(year)
     return loaded
 
 
+def read_years(spark: SparkSession, path: str, schema: str, years: list[int] | None = None, version: int | None = None) -> DataFrame:
+    """The loaded years of a version, the latest if none is given."""
+    return versions.read(spark, path, f"{schema}, year int", version, None if years is None else [str(y) for y in years])
+
+
 def resolve_source(candidates: list[str], probe: Callable[[str], DataFrame], core: bool = True) -> tuple[str | None, str]:
     """The first candidate that can be read, and ok, warn or fail."""
     for name in candidates:
@@ -172,5 +169,5 @@ def provenance(paths: list[str], root: str = ".") -> dict:
 
 
 def write_json(path: str, value: dict) -> None:
-    with open(path, "w") as f:
-        json.dump(value, f, indent=2, default=str, sort_keys=True)
+    """A local file that appears with its whole content."""
+    replace_text(path, json.dumps(value, indent=2, default=str, sort_keys=True))

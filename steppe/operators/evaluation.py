@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steppe.config import Period, Target
-from steppe.functions.distributions import let, log_gamma
+from steppe.functions.distributions import let, log_gamma, norm_cdf
 from steppe.operators import metrics as M
 from steppe.operators.panel import within
+from steppe.storage import materialize
 
+#: Paired differences up to which the signed ranks have their exact distribution.
+EXACT_RANKS = 50
 BASELINES = ("climatology", "persistence", "known_accumulation", "ensemble_raw")
 
 
@@ -56,25 +59,63 @@ def sign_p(wins: Column, losses: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
 
 
-def signed_rank_p(w_plus: Column, n: Column, most: int = 50) -> Column:
-    """Two-sided exact p of Wilcoxon's signed ranks, for up to ``most`` untied differences; else null.
+def exact_signed_rank(doubled: Column, plus: Column) -> Column:
+    """Two-sided exact p of Wilcoxon's signed ranks, ties included.
 
-    The number of sign patterns with each rank sum grows by one rank a step.
+    ``doubled``: twice the ranks, which are whole numbers also where ties share
+    a mean rank; ``plus``: twice the sum of the positive ones. The number of
+    sign patterns with each sum grows by one rank a step.
     """
 
     def ways(acc, r):
         return F.transform(acc, lambda x, s: x + F.when(s >= r, F.get(acc, s - r)).otherwise(0.0))
 
     def exact(x):
-        total = (x["n"] * (x["n"] + 1) / 2).cast("int")
+        total = F.aggregate(x["ranks"], F.lit(0), lambda a, r: a + r)
         start = F.transform(F.sequence(F.lit(0), total), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
-        counts = F.aggregate(F.sequence(F.lit(1), x["n"]), start, ways)
-        low = F.least(x["w"], total - x["w"]).cast("int")
-        return F.least(F.lit(1.0), 2 * F.aggregate(F.slice(counts, F.lit(1), low + 1), F.lit(0.0), lambda a, b: a + b) / F.pow(F.lit(2.0), x["n"]))
+        counts = F.aggregate(x["ranks"], start, ways)
+        low = F.least(x["plus"], total - x["plus"])
+        tail = F.aggregate(F.slice(counts, F.lit(1), low + 1), F.lit(0.0), lambda a, b: a + b)
+        return F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), F.size(x["ranks"])))
 
-    n = n.cast("int")
-    whole = w_plus == F.floor(w_plus)
-    return F.when(whole & (n > 0) & (n <= most), let(F.struct(w_plus.alias("w"), n.alias("n")), exact))
+    return let(F.struct(doubled.alias("ranks"), plus.cast("int").alias("plus")), exact)
+
+
+def normal_signed_rank(w_plus: Column, n: Column, ties: Column) -> Column:
+    """Two-sided normal p, with the variance that ties leave; ``ties`` is the sum of t^3 - t over groups of t equal sizes."""
+    n = n.cast("double")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+    return F.when(spread > 0, 2 * norm_cdf(-F.abs(w_plus - n * (n + 1) / 4) / spread))
+
+
+def signed_rank_p(w_plus: Column, n: Column, most: int = EXACT_RANKS) -> Column:
+    """The exact p for up to ``most`` untied differences; else null."""
+    ranks = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda k: 2 * k)
+    return F.when((w_plus == F.floor(w_plus)) & (n > 0) & (n <= most), exact_signed_rank(ranks, 2 * w_plus))
+
+
+def signed_ranks(pairs: DataFrame, keys: list[str], difference: str = "d", most: int = EXACT_RANKS, digits: int = 12) -> DataFrame:
+    """keys, n_ranked, w_plus, tied and p_wilcoxon of paired differences.
+
+    Zero differences are left out, equal sizes share their mean rank. Up to
+    ``most`` differences have the exact p, with ties or without; more have the
+    normal one with the variance that ties leave. Null without any difference.
+    """
+    rows = pairs.filter(F.col(difference) != 0).select(*keys, F.round(F.abs(difference), digits).alias("size"), (F.col(difference) > 0).alias("plus"))
+    ties = F.count("*").over(Window.partitionBy(*keys, "size"))
+    rows = rows.withColumn("ties", ties).withColumn("doubled", (2 * F.rank().over(Window.partitionBy(*keys).orderBy("size")) + F.col("ties") - 1).cast("int"))
+    plus = F.coalesce(F.sum(F.when(F.col("plus"), F.col("doubled"))), F.lit(0))
+    found = rows.groupBy(*keys).agg(
+        F.count("*").alias("n_ranked"),
+        plus.alias("plus"),
+        F.bool_or(F.col("ties") > 1).alias("tied"),
+        F.sum(F.col("ties") * F.col("ties") - 1).alias("correction"),
+        F.collect_list("doubled").alias("doubled"),
+    )
+    exact = exact_signed_rank(F.array_sort("doubled"), F.col("plus"))
+    normal = normal_signed_rank(F.col("plus") / 2, F.col("n_ranked"), F.col("correction"))
+    p = F.when(F.col("n_ranked") <= most, exact).otherwise(normal)
+    return found.select(*keys, "n_ranked", (F.col("plus") / 2).alias("w_plus"), "tied", p.alias("p_wilcoxon"))
 
 
 def by_method(predictions: DataFrame, baselines: DataFrame, population: DataFrame, target: Target, period: Period) -> DataFrame:
@@ -113,29 +154,25 @@ def comparisons(by_date: DataFrame, metric: str, min_dates: int = 5) -> DataFram
     model = by_date.filter("method = 'model'").select("date", F.col(metric).alias("m"))
     pairs = by_date.filter("method <> 'model'").select("method", "date", F.col(metric).alias("b")).join(model, "date")
     pairs = pairs.filter(F.col("m").isNotNull() & F.col("b").isNotNull()).select("method", "date", (F.col("b") - F.col("m")).alias("d"))
-    size, some = F.round(F.abs("d"), 12), F.col("d") != 0
-    own = Window.partitionBy("method", some)
-    ties = F.count("*").over(Window.partitionBy("method", some, size))
-    pairs = pairs.withColumn("rank", F.when(some, F.rank().over(own.orderBy(size)) + (ties - 1) / 2)).withColumn("tied", some & (ties > 1))
     n, spread = F.count("*"), F.stddev_samp("d")
+    pairs = pairs.withColumn("before", F.lag("d").over(Window.partitionBy("method").orderBy("date")))
     found = pairs.groupBy("method").agg(
         n.alias("n_pairs"),
         F.avg("d").alias("mean_difference"),
         F.when(spread > 0, F.avg("d") / (spread / F.sqrt(n))).alias("t"),
-        F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("rank"))), F.lit(0.0)).alias("w_plus"),
         F.count_if(F.col("d") > 0).alias("wins"),
         F.count_if(F.col("d") < 0).alias("losses"),
-        F.coalesce(F.bool_or("tied"), F.lit(False)).alias("tied"),
         (F.max(F.abs("d")) < 1e-12).alias("identical"),
+        F.when((n > 3) & (spread > 0), F.corr("d", "before")).alias("lag1_r"),
     )
     usable = (F.col("n_pairs") >= min_dates) & ~F.col("identical")
-    exact = ~F.col("tied") & (F.col("wins") + F.col("losses") == F.col("n_pairs"))
-    return found.select(
+    return found.join(signed_ranks(pairs, ["method"]), "method", "left").select(
         "method", "n_pairs", "mean_difference", "wins", "losses", "identical",
         F.when(usable, F.col("t")).alias("t"),
         F.when(usable, student_p(F.col("t"), F.col("n_pairs") - 1)).alias("p_t"),
         F.when(usable, sign_p(F.col("wins"), F.col("losses"))).alias("p_sign"),
-        F.when(usable & exact, signed_rank_p(F.col("w_plus"), F.col("n_pairs"))).alias("p_wilcoxon"),
+        F.when(usable, F.col("p_wilcoxon")).alias("p_wilcoxon"),
+        F.when(usable, F.col("lag1_r")).alias("lag1_r"),
     )
 
 
@@ -147,11 +184,11 @@ def target_table(predictions: DataFrame, baselines: DataFrame, population: DataF
     baseline without forecasts keeps its row, with nulls. With ``check``, an
     actual on which the two sides disagree is an error.
     """
-    rows = by_method(predictions, baselines, population, target, period)
+    rows = materialize(by_method(predictions, baselines, population, target, period), "target-rows")  # the check, scores and ranks read it
     if check and not misaligned_dates(rows).isEmpty():
         raise ValueError(f"{target.name}: predictions and baselines disagree about their actuals")
     metrics = ["brier", "auc"] if target.kind == "classification" else ["mae", "rmse", "r2"]
-    by_date = scores_by_date(rows, target, min_rows)
+    by_date = materialize(scores_by_date(rows, target, min_rows), "target-scores")
     methods = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("model", *BASELINES)))).alias("method"))
     table = methods.join(M.summarise(by_date, metrics, ["method"]), "method", "left").withColumn("n_dates", F.coalesce("n_dates", F.lit(0)))
     everything = Window.partitionBy(F.lit(1))  # five rows

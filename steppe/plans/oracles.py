@@ -47,6 +47,8 @@ gappy AS (
 """
 FIT = "date BETWEEN DATE '1995-01-01' AND DATE '1999-12-01'"
 TEST = "date BETWEEN DATE '2001-01-01' AND DATE '2001-10-01'"
+#: Two-sided p of signed ranks by counting all 2^n sign patterns; ks are the doubled ranks.
+MASKS = "least(1.0, 2 * list_sum(list_transform(range(CAST(2 ** len(ks) AS BIGINT)), lambda mask: CASE WHEN list_sum(list_transform(ks, lambda k, j: CASE WHEN (mask >> (j - 1)) & 1 = 1 THEN k ELSE 0 END)) <= low THEN 1 ELSE 0 END)) / 2 ** len(ks))"
 W = "OVER (PARTITION BY cell_id ORDER BY date)"
 
 
@@ -285,19 +287,19 @@ long AS (SELECT 'model' AS method, date, actual, forecast FROM model UNION ALL
 {by},
 sums AS (SELECT method, COUNT(*) AS n_dates, {means} FROM by_date GROUP BY 1),
 d AS (SELECT b.method, b.date, b.{main} - m.{main} AS d FROM by_date b JOIN by_date m ON m.date = b.date AND m.method = 'model' WHERE b.method <> 'model' AND b.{main} IS NOT NULL AND m.{main} IS NOT NULL),
-r AS (SELECT *, CASE WHEN d <> 0 THEN RANK() OVER (PARTITION BY method, d <> 0 ORDER BY round(abs(d), 12)) END AS k, COUNT(*) OVER (PARTITION BY method, d <> 0, round(abs(d), 12)) AS ties FROM d),
+r AS (SELECT *, lag(d) OVER (PARTITION BY method ORDER BY date) AS before, CASE WHEN d <> 0 THEN 2 * RANK() OVER (PARTITION BY method, d <> 0 ORDER BY round(abs(d), 12)) + COUNT(*) OVER (PARTITION BY method, d <> 0, round(abs(d), 12)) - 1 END AS k FROM d),
 s AS (SELECT method, COUNT(*) AS n, AVG(d) AS m, STDDEV_SAMP(d) AS sd, COUNT(*) FILTER (WHERE d > 0) AS wins, COUNT(*) FILTER (WHERE d < 0) AS losses, MAX(abs(d)) < 1e-12 AS identical,
-  COALESCE(SUM(CASE WHEN d > 0 THEN k END), 0) AS w, BOOL_OR(d <> 0 AND ties > 1) AS tied FROM r GROUP BY 1),
-u AS (SELECT *, n >= 5 AND NOT identical AS ok, CASE WHEN sd > 0 THEN m / (sd / sqrt(n)) END AS t, CAST(least(w, n * (n + 1) // 2 - w) AS BIGINT) AS low FROM s),
-p AS (SELECT method, n, m, wins, losses, identical, CASE WHEN ok THEN t END AS t,
+  CASE WHEN COUNT(*) > 3 AND STDDEV_SAMP(d) > 0 THEN CORR(d, before) END AS lag1_r, list(k) FILTER (WHERE k IS NOT NULL) AS ks, COALESCE(SUM(CASE WHEN d > 0 THEN k END), 0) AS w FROM r GROUP BY 1),
+u AS (SELECT *, n >= 5 AND NOT identical AS ok, CASE WHEN sd > 0 THEN m / (sd / sqrt(n)) END AS t, CAST(least(w, list_sum(ks) - w) AS BIGINT) AS low FROM s),
+p AS (SELECT method, n, m, wins, losses, identical, CASE WHEN ok THEN lag1_r END AS lag1_r, CASE WHEN ok THEN t END AS t,
   CASE WHEN ok THEN list_sum(list_transform(range(4000), lambda k: cos(atan(abs(t) / sqrt(n - 1)) + (k + 0.5) * (pi() / 2 - atan(abs(t) / sqrt(n - 1))) / 4000) ** (n - 2))) * (pi() / 2 - atan(abs(t) / sqrt(n - 1)))
     / (list_sum(list_transform(range(4000), lambda k: cos((k + 0.5) * pi() / 8000) ** (n - 2))) * pi() / 2) END AS p_t,
   CASE WHEN ok AND wins + losses > 0 THEN least(1.0, 2 * list_sum(list_transform(range(least(wins, losses) + 1), lambda k: exp(lgamma(wins + losses + 1) - lgamma(k + 1) - lgamma(wins + losses - k + 1) - (wins + losses) * ln(2))))) END AS p_sign,
-  CASE WHEN ok AND NOT tied AND wins + losses = n THEN least(1.0, 2 * list_sum(list_transform(range(CAST(2 ** n AS BIGINT)), lambda mask: CASE WHEN list_sum(list_transform(range(1, n + 1), lambda j: CASE WHEN (mask >> (j - 1)) & 1 = 1 THEN j ELSE 0 END)) <= low THEN 1 ELSE 0 END)) / 2 ** n) END AS p_wilcoxon
+  CASE WHEN ok AND len(ks) > 0 THEN {MASKS} END AS p_wilcoxon
   FROM u)
 SELECT x.method, 'precip' AS target, {lead} AS lead_months, COALESCE(t.n_dates, 0) AS n_dates, {shown}, {skill_of},
   CASE WHEN x.method <> 'model' THEN round(o.{other} - t.{other}, 6) END AS {other}_difference, p.n AS n_pairs, round(p.m, 6) AS mean_difference, p.wins, p.losses, p.identical,
-  round(p.t, 6) AS t, round(p.p_t, 6) AS p_t, round(CAST(p.p_sign AS DOUBLE), 6) AS p_sign, round(CAST(p.p_wilcoxon AS DOUBLE), 6) AS p_wilcoxon
+  round(p.t, 6) AS t, round(p.p_t, 6) AS p_t, round(CAST(p.p_sign AS DOUBLE), 6) AS p_sign, round(CAST(p.p_wilcoxon AS DOUBLE), 6) AS p_wilcoxon, round(p.lag1_r, 6) AS lag1_r
 FROM (VALUES ('model'), ('climatology'), ('persistence'), ('known_accumulation'), ('ensemble_raw')) x(method)
 LEFT JOIN sums t ON t.method = x.method LEFT JOIN sums o ON o.method = 'model' LEFT JOIN p ON p.method = x.method"""
 
@@ -378,6 +380,14 @@ ORACLES = {
       WHERE actual IS NOT NULL AND forecast IS NOT NULL GROUP BY GROUPING SETS ((method), (method, cell_id), (method, s_nationkey), (method, month))""",
     "target_table_regression": target_sql(1, False),
     "target_table_classification": target_sql(3, True),
+    "signed_rank_ties": f"""WITH {BASE}, v AS (SELECT *, 40 * floor(precip / 40) AS v FROM panel),
+w AS (SELECT cell_id, CASE WHEN date >= DATE '2000-11-01' THEN v - LAG(v, 12) {W} END AS year, v - LAG(v, 1) {W} AS month FROM v),
+d AS (SELECT cell_id, 'year' AS against, year AS d FROM w UNION ALL SELECT cell_id, 'month', month FROM w),
+r AS (SELECT *, 2 * RANK() OVER (PARTITION BY cell_id, against ORDER BY abs(d)) + t - 1 AS k FROM (SELECT *, COUNT(*) OVER (PARTITION BY cell_id, against, abs(d)) AS t FROM d WHERE d <> 0)),
+s AS (SELECT cell_id, against, COUNT(*) AS n, list(k) AS ks, COALESCE(SUM(k) FILTER (WHERE d > 0), 0) AS plus, SUM(k) AS total, BOOL_OR(t > 1) AS tied, SUM(t * t - 1) AS c FROM r GROUP BY 1, 2),
+z AS (SELECT *, CAST(least(plus, total - plus) AS BIGINT) AS low, abs(plus / 2 - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - c / 48) AS z FROM s)
+SELECT cell_id, against, n AS n_ranked, plus / 2 AS w_plus, tied, round(CASE WHEN n <= 50 THEN {MASKS.replace("ks", "CASE WHEN n <= 20 THEN ks END")}
+  ELSE 1 - sqrt(2 / pi()) * z / 4000 * list_sum(list_transform(range(4000), lambda i: exp(-0.5 * ((i + 0.5) * z / 4000) ** 2))) END, 6) AS p_wilcoxon FROM z""",
     "target_alignment": "SELECT CAST(0 AS BIGINT) AS n_mismatched",
     "prediction_checks": "SELECT CAST(0 AS BIGINT) AS n_not_binary, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_missing",
     "base_rate": f"WITH {BASE}, {baselines(3)} SELECT round(AVG(climatology_prob), 6) AS mean, 0.158655::DOUBLE AS expected, round(AVG(climatology_prob) - 0.15865525393145707, 6) AS drift FROM baselines WHERE {TEST}",

@@ -700,6 +700,16 @@ def target_table_classification(spark, sf_dir):
     return _target_table(spark, sf_dir, Target("precip", 3, "classification", I.DRY))
 
 
+@query
+def signed_rank_ties(spark, sf_dir):
+    """Signed ranks of each cell's amounts, in steps of 40, against the year before and the month before: tied, and with zeros."""
+    rows = I.panel(spark, sf_dir).withColumn("v", 40 * F.floor(F.col("precip") / 40))
+    late = F.col("date") >= F.lit("2000-11-01")
+    rows = rows.withColumns({"year": F.when(late, F.col("v") - F.lag("v", 12).over(W.by_cell())), "month": F.col("v") - F.lag("v", 1).over(W.by_cell())})
+    kinds = F.array(*[F.struct(F.lit(k).alias("against"), F.col(k).cast("double").alias("d")) for k in ("year", "month")])
+    return rounded(E.signed_ranks(rows.select("cell_id", F.explode(kinds).alias("x")).select("cell_id", "x.*").filter("d IS NOT NULL"), ["cell_id", "against"]))
+
+
 @query
 def target_alignment(spark, sf_dir):
     """Dates on which predictions and baselines have different actuals: none."""

@@ -10,23 +10,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steppe.config import Target
-from steppe.operators.panel import split_label
+from steppe.operators.panel import split_label, with_dimension
 from steppe.operators.windows import by_cell, lag_features
 
 
-def training_table(panel: DataFrame, columns: list[str], target: Target, splits: dict, lags=(0, 1, 2, 3, 6)) -> DataFrame:
-    """Features, the label ``lead`` months ahead, and the split of the issue date."""
+def training_table(panel: DataFrame, columns: list[str], target: Target, splits: dict, lags=(0, 1, 2, 3, 6), static: DataFrame | None = None) -> DataFrame:
+    """Features, the label ``lead`` months ahead, and the split of the issue date.
+
+    ``static``: cell_id and features that do not change in time, one row a cell;
+    they come as ``static_<name>``. Rows of cells without them go, as all with a missing feature do.
+    """
     label = F.lead(target.name, target.lead_months).over(by_cell())
     rows = panel.withColumn("actual_raw", label)
     actual = (F.col("actual_raw") < target.threshold).cast("double") if target.kind == "classification" else F.col("actual_raw")
     rows = rows.select("cell_id", "date", "actual_raw", actual.alias("actual"))
     found = lag_features(panel, columns, lags).join(rows, ["cell_id", "date"])
     found = found.withColumn("split", split_label(F.col("date"), splits)).filter("split is not null")
+    if static is not None:
+        fixed = [F.col(c).alias(f"static_{c}") for c in static.columns if c != "cell_id"]
+        found = with_dimension(found, static.select("cell_id", *fixed))
     return found.na.drop()
 
 
 def feature_names(table: DataFrame) -> list[str]:
-    return [c for c in table.columns if "_lag" in c or c in ("month_sin", "month_cos")]
+    return [c for c in table.columns if "_lag" in c or c.startswith("static_") or c in ("month_sin", "month_cos")]
 
 
 def available_targets(targets: list[Target], columns: list[str]) -> tuple[list[Target], list[Target]]:

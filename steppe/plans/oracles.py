@@ -200,6 +200,20 @@ def digest_row(side: str, rows: str) -> str:
 
 LAGS = ", ".join(f"LAG({c}, {k}) {W} AS {c}_lag{k}" for c in ("precip", "sparse") for k in (0, 1, 2, 3, 6))
 ANNUAL = "annual AS (SELECT year, AVG(total) AS annual_mean, COUNT(*) AS n_cells FROM (SELECT cell_id, CAST(year(date) AS INTEGER) AS year, SUM(precip) AS total FROM panel GROUP BY 1, 2) GROUP BY 1)"
+def _region_edges() -> str:
+    from steppe.plans.queries import HOLE, ISLAND, OUTER
+
+    def sides(corners: list[tuple[float, float]], which: str) -> str:
+        return ", ".join(f"({a}, {b}, {c}, {d}, {which})" for (a, b), (c, d) in zip(corners, corners[1:] + corners[:1], strict=True))
+
+    x, y = "30.003::DOUBLE + n_nationkey * 0.017::DOUBLE + {}::DOUBLE", "37.002::DOUBLE + (n_nationkey % 7) * 0.02::DOUBLE + {}::DOUBLE"
+    ends = ", ".join(f"{f.format(c)} AS {c}" for f, c in ((x, "x1"), (y, "y1"), (x, "x2"), (y, "y2")))
+    return f"""sides AS (SELECT * FROM (VALUES {sides(OUTER, "FALSE")}, {sides(HOLE, "TRUE")}, {sides(ISLAND, "FALSE")}) v(x1, y1, x2, y2, hole)),
+edges AS (SELECT CAST(n_nationkey AS BIGINT) AS polygon_id, {ends} FROM nation, sides WHERE NOT hole OR n_nationkey % 2 = 0)"""
+
+
+REGION_EDGES = _region_edges()
+
 TRAINING = f"""WITH {BASE},
 features AS (SELECT cell_id, date, LAG(precip, 6) {W} AS oldest, LEAD(precip, 1) {W} AS actual,
   CASE WHEN date BETWEEN DATE '1995-01-01' AND DATE '1999-12-01' THEN 'train' WHEN date BETWEEN DATE '2000-04-01' AND DATE '2000-09-01' THEN 'validation'
@@ -529,5 +543,26 @@ SELECT cell_id, against, n AS n_ranked, plus / 2 AS w_plus, tied, round(CASE WHE
     "zero_isolated": f"""{ZEROS}, flags AS (SELECT p.date, b.component IS NOT NULL AS bad FROM panel p LEFT JOIN comps c ON c.date = p.date AND c.cell_id = p.cell_id
         LEFT JOIN (SELECT date, component FROM clusters WHERE artefact) b ON b.date = c.date AND b.component = c.component)
       SELECT date, COUNT(*) FILTER (WHERE bad) AS n_isolated, COUNT(*) AS n FROM flags GROUP BY 1""",
+    "static_features": f"""WITH {BASE}, {CELLS},
+f AS (SELECT cell_id, date, precip AS precip_lag0, LAG(precip, 3) {W} AS precip_lag3, LEAD(precip, 1) {W} AS actual,
+  CASE WHEN {FIT} THEN 'train' WHEN date BETWEEN DATE '2000-04-01' AND DATE '2000-09-01' THEN 'validation' WHEN {TEST} THEN 'test' END AS split FROM panel)
+SELECT f.*, round(c.crop_frac, 6) AS static_crop_frac, CAST(round(c.lat, 6) AS DOUBLE) AS static_lat FROM f JOIN cells c USING (cell_id) WHERE split IS NOT NULL AND precip_lag3 IS NOT NULL AND actual IS NOT NULL""",
+    "polygon_membership": f"WITH {CELLS}, {REGION_EDGES} SELECT cell_id, polygon_id FROM cells JOIN edges ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING COUNT(*) % 2 = 1",
+    "station_buffer_means": f"""WITH {CELLS}, s AS (SELECT cell_id AS point_id, lon + 0.013 AS lon, lat - 0.007 AS lat FROM cells)
+SELECT s.point_id, COUNT(c.cell_id) AS n_cells, round(AVG(c.crop_frac), 6) AS mean FROM s LEFT JOIN cells c ON {haversine("s.lon", "s.lat", "c.lon", "c.lat")} <= 8.0 GROUP BY 1""",
+    "reference_periods": f"""WITH {BASE},
+s AS (SELECT *, month(date) AS m FROM panel),
+z AS (SELECT cell_id, date, {", ".join(f"CASE WHEN n_{c} >= 3 AND sd_{c} > 0 THEN ({c} - mean_{c}) / sd_{c} END AS {c}_anom" for c in ("precip", "sparse", "price"))} FROM s JOIN (
+  SELECT cell_id, m, {", ".join(f"COUNT({c}) FILTER (WHERE date BETWEEN {p}) AS n_{c}, AVG({c}) FILTER (WHERE date BETWEEN {p}) AS mean_{c}, STDDEV_SAMP({c}) FILTER (WHERE date BETWEEN {p}) AS sd_{c}" for c, p in (("precip", "DATE '1995-01-01' AND DATE '1999-12-01'"), ("sparse", "DATE '1995-01-01' AND DATE '1999-12-01'"), ("price", "DATE '1996-01-01' AND DATE '1999-12-01'")))}
+  FROM s GROUP BY 1, 2) t USING (cell_id, m))
+SELECT cell_id, date, {", ".join(f"round({c}_anom, 6) AS {c}_anom, " + ", ".join(f"round(LAG({c}_anom, {k}) {W}, 6) AS {c}_anom_lag{k}" for k in range(1, n + 1)) for c, n in (("precip", 6), ("sparse", 2), ("price", 3)))} FROM z""",
+    "latest_return": """WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_shipdate AS DATE) AS day FROM lineitem),
+b AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, SUM(l_quantity) AS returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+SELECT r.*, CASE WHEN r.day - b.day <= 60 THEN b.day END AS matched_day, CASE WHEN r.day - b.day <= 60 THEN b.returned END AS returned FROM r ASOF LEFT JOIN b ON b.l_suppkey = r.l_suppkey AND b.day <= r.day""",
+    "dry_spells_in_transit": f"""WITH {BASE}, d AS (SELECT cell_id, date AS "from", CAST(date + INTERVAL 1 MONTH AS DATE) AS until FROM panel WHERE precip < 150.0),
+l AS (SELECT l_suppkey AS cell_id, CAST(l_shipdate AS DATE) AS day FROM lineitem)
+SELECT cell_id, "from", COUNT(*) AS n_lines, CAST(MAX(day + 45) AS DATE) AS last_end FROM l JOIN d USING (cell_id) WHERE day < until AND "from" < day + 45 GROUP BY 1, 2""",
+    "merged_sketches": f"""WITH {CELLS} SELECT nation, COUNT(*) AS n, COUNT(DISTINCT l_orderkey) AS exact_distinct, TRUE AS distinct_within, TRUE AS median_within
+FROM lineitem JOIN cells ON cell_id = l_suppkey WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1""",
     "training_rows": f"{TRAINING} SELECT split, COUNT(*) AS n, round(AVG(actual), 6) AS mean_actual, MIN(date) AS first FROM kept GROUP BY 1",
 }

@@ -17,6 +17,10 @@ from steppe.operators import metrics as M
 from steppe.operators import model as L
 from steppe.operators import panel as P
 from steppe.operators import products as R
+from steppe.operators import reference as V
+from steppe.operators import sketches as K
+from steppe.operators import spatial as G
+from steppe.operators import temporal as T
 from steppe.operators import windows as W
 from steppe.operators import zeros as Z
 from steppe.plans import inputs as I
@@ -790,6 +794,85 @@ def training_rows(spark, sf_dir):
     return rounded(rows.groupBy("split").agg(F.count("*").alias("n"), F.avg("actual").alias("mean_actual"), F.min("date").alias("first")))
 
 
+@query
+def static_features(spark, sf_dir):
+    """The training table with features of the cells that do not change in time."""
+    target = Target("precip", 1)
+    fixed = I.cells(spark, sf_dir).select("cell_id", "crop_frac", "lat")
+    return rounded(L.training_table(I.panel(spark, sf_dir), ["precip"], target, I.SPLITS, lags=(0, 3), static=fixed).drop("month_sin", "month_cos", "actual_raw"))
+
+
+# space and time
+
+
+#: Corners of one region; each nation has it at a place of its own, the even ones with the hole.
+OUTER, HOLE, ISLAND = [(0.0, 0.0), (0.4, 0.03), (0.33, 0.4), (0.2, 0.2), (0.05, 0.3)], [(0.1, 0.05), (0.2, 0.06), (0.15, 0.15)], [(0.5, 0.1), (0.6, 0.1), (0.55, 0.2)]
+
+
+def regions(spark, sf_dir) -> DataFrame:
+    """polygon_id and rings: a region of several rings for each nation."""
+    n = F.col("n_nationkey")
+
+    def ring(corners):
+        return F.array(*[F.array(30.003 + n * 0.017 + x, 37.002 + (n % 7) * 0.02 + y) for x, y in corners])
+
+    rings = F.when(n % 2 == 0, F.array(ring(OUTER), ring(HOLE), ring(ISLAND))).otherwise(F.array(ring(OUTER), ring(ISLAND)))
+    return I.table(spark, sf_dir, "nation").select(n.cast("long").alias("polygon_id"), rings.alias("rings"))
+
+
+@query
+def polygon_membership(spark, sf_dir):
+    return G.points_in_polygons(I.cells(spark, sf_dir), regions(spark, sf_dir), 0.05)
+
+
+@query
+def station_buffer_means(spark, sf_dir):
+    cells = I.cells(spark, sf_dir)
+    stations = cells.select(F.col("cell_id").alias("point_id"), (F.col("lon") + 0.013).alias("lon"), (F.col("lat") - 0.007).alias("lat"))
+    return rounded(G.buffer_mean(stations, cells, "crop_frac", 8.0))
+
+
+@query
+def reference_periods(spark, sf_dir):
+    """Three columns with reference periods and lags of their own."""
+    long, short = I.Period(I.START, I.date(1999, 12, 1)), I.Period(I.date(1996, 1, 1), I.date(1999, 12, 1))
+    periods = {"long": (long, ["precip", "sparse"]), "short": (short, ["price"])}
+    return rounded(V.standardized(I.panel(spark, sf_dir), periods, {"precip": [1, 2, 3, 4, 5, 6], "sparse": [1, 2], "price": [1, 2, 3]}))
+
+
+@query
+def latest_return(spark, sf_dir):
+    """Every line with the latest day on which its supplier had a returned line, at most 60 days before."""
+    rows = I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity", F.col("l_shipdate").cast("date").alias("day"))
+    back = rows.filter("l_returnflag = 'R'").groupBy("l_suppkey", "day").agg(F.sum("l_quantity").alias("returned"))
+    return T.asof_join(rows.drop("l_quantity", "l_returnflag"), back, ["l_suppkey"], "day", ["returned"], span=120, tolerance=60)
+
+
+@query
+def dry_spells_in_transit(spark, sf_dir):
+    """Lines whose 45 days after shipping overlap a dry month of their supplier."""
+    day = F.col("l_shipdate").cast("date")
+    lines = I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("cell_id"), day.alias("start"), F.date_add(day, 45).alias("end"))
+    dry = I.panel(spark, sf_dir).filter(F.col("precip") < I.DRY).select("cell_id", F.col("date").alias("from"), F.add_months("date", 1).alias("until"))
+    return T.overlapping(lines, dry, ["cell_id"], span=45).groupBy("cell_id", "from").agg(F.count("*").alias("n_lines"), F.max("end").alias("last_end"))
+
+
+@query
+def merged_sketches(spark, sf_dir):
+    """Distinct orders and median quantity of each nation in the fit period, from monthly states, beside the exact figures."""
+    nations = I.cells(spark, sf_dir).select("cell_id", "nation")
+    rows = I.lines(spark, sf_dir).join(nations, "cell_id")
+    found = K.merged(K.monthly(rows, ["nation"], "l_orderkey", "l_extendedprice"), ["nation"], I.FIT)
+    inside = rows.filter((F.col("date") >= F.lit(I.FIT.start)) & (F.col("date") <= F.lit(I.FIT.end)))
+    sure = inside.groupBy("nation").agg(
+        F.count_distinct("l_orderkey").alias("exact_distinct"),
+        *[F.percentile("l_extendedprice", F.lit(q)).alias(name) for q, name in ((0.5 - 2 * K.RANK_ERROR, "low"), (0.5 + 2 * K.RANK_ERROR, "high"))],
+    )
+    wrong = F.abs(F.col("n_distinct") - F.col("exact_distinct")) > K.DISTINCT_ERROR * F.col("exact_distinct") + 1
+    kept = (F.col("q50") >= F.col("low") - 100) & (F.col("q50") <= F.col("high") + 100)
+    return found.join(sure, "nation").select("nation", "n", "exact_distinct", (~wrong).alias("distinct_within"), kept.alias("median_within"))
+
+
 @query
 def gbt_scores(spark, sf_dir):
     rows, target = _table(spark, sf_dir)

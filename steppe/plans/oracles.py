@@ -543,6 +543,17 @@ SELECT cell_id, against, n AS n_ranked, plus / 2 AS w_plus, tied, round(CASE WHE
     "zero_isolated": f"""{ZEROS}, flags AS (SELECT p.date, b.component IS NOT NULL AS bad FROM panel p LEFT JOIN comps c ON c.date = p.date AND c.cell_id = p.cell_id
         LEFT JOIN (SELECT date, component FROM clusters WHERE artefact) b ON b.date = c.date AND b.component = c.component)
       SELECT date, COUNT(*) FILTER (WHERE bad) AS n_isolated, COUNT(*) AS n FROM flags GROUP BY 1""",
+    "planted_faults": f"""WITH {BASE}, {CELLS},
+p AS (SELECT *, cell_id % 3 = 0 AS third, month(date) AS m, CASE WHEN {FIT} THEN 1 WHEN date BETWEEN DATE '2000-04-01' AND DATE '2000-09-01' THEN 2 WHEN {TEST} THEN 3 END AS split FROM panel)
+SELECT 'digests' AS "check", CAST((COUNT(*) FILTER (WHERE third AND m = 2) > 0) AS BIGINT) + CAST((COUNT(price) FILTER (WHERE m = 5) > 0) AS BIGINT) AS n FROM p
+UNION ALL SELECT 'dates', COUNT(DISTINCT date) FILTER (WHERE (third AND m = 2) OR m = 5) FROM p
+UNION ALL SELECT 'pairs', COUNT(DISTINCT date) FILTER (WHERE third AND m = 2) FROM p
+UNION ALL SELECT 'n_not_binary', COUNT(*) FILTER (WHERE third) FROM p
+UNION ALL SELECT 'n_outside', COUNT(*) FILTER (WHERE price IS NOT NULL AND sparse > 100) FROM p
+UNION ALL SELECT 'n_missing', COUNT(*) - COUNT(price) FROM p
+UNION ALL SELECT 'wrong_ids', COUNT(*) FILTER (WHERE nation = 3) FROM cells
+UNION ALL SELECT 'null_rows', COUNT(*) FILTER (WHERE split IS NOT NULL AND (third OR price IS NULL)) FROM p""",
+    "short_months": """SELECT user_id AS cell_id, CAST(date_trunc('month', ts) AS DATE) AS date, COUNT(*) AS n_obs FROM events GROUP BY 1, 2 HAVING COUNT(*) < 70""",
     "static_features": f"""WITH {BASE}, {CELLS},
 f AS (SELECT cell_id, date, precip AS precip_lag0, LAG(precip, 3) {W} AS precip_lag3, LEAD(precip, 1) {W} AS actual,
   CASE WHEN {FIT} THEN 'train' WHEN date BETWEEN DATE '2000-04-01' AND DATE '2000-09-01' THEN 'validation' WHEN {TEST} THEN 'test' END AS split FROM panel)

@@ -802,6 +802,44 @@ def static_features(spark, sf_dir):
     return rounded(L.training_table(I.panel(spark, sf_dir), ["precip"], target, I.SPLITS, lags=(0, 3), static=fixed).drop("month_sin", "month_cos", "actual_raw"))
 
 
+@query
+def planted_faults(spark, sf_dir):
+    """What the checks find where faults were put into their input: check and number."""
+    rows, cells = I.panel(spark, sf_dir), I.cells(spark, sf_dir)
+    third, february, may = F.col("cell_id") % 3 == 0, F.month("date") == 2, F.month("date") == 5
+    found = {}
+    other = rows.withColumns({"sparse": F.when(third & february, F.col("sparse") + 1).otherwise(F.col("sparse")), "price": F.when(~may, F.col("price"))})
+    columns = ["precip", "sparse", "price", "n_obs"]
+    found["digests"] = Q.digest_differences(Q.digest(rows, columns), Q.digest(other, columns)).agg(F.count("*").alias("n"))
+    model = rows.select("date", F.lit("model").alias("method"), F.when(third & february, F.col("precip") + 1).otherwise(F.col("precip")).alias("actual"))
+    base = rows.filter(~may).select("date", F.lit("climatology").alias("method"), F.col("precip").alias("actual"))
+    found["dates"] = E.misaligned_dates(model.unionByName(base)).agg(F.count("*").alias("n"))
+    paired = M.alignment_mismatches(
+        rows.select("cell_id", F.col("date").alias("verification_date"), F.when(third & february, F.col("precip") + 1).otherwise(F.col("precip")).alias("actual")),
+        rows.select("cell_id", "date", F.col("precip").alias("actual")),
+    )
+    found["pairs"] = paired.agg(F.count("*").alias("n"))
+    scored = rows.select(F.when(third, 0.5).otherwise((F.col("precip") < I.DRY).cast("double")).alias("actual"), (F.col("sparse") / 100).alias("prediction"), "price")
+    checks = Q.prediction_checks(scored.withColumn("prediction", F.when(F.col("price").isNotNull(), F.col("prediction"))), "actual", "prediction")
+    for name in ("n_not_binary", "n_outside", "n_missing"):
+        found[name] = checks.select(F.col(name).alias("n"))
+    moved = cells.select(F.when(F.col("nation") == 3, F.col("cell_id") + 1).otherwise(F.col("i") * 100_000 + F.col("j")).alias("cell_id"), "i", "j")
+    found["wrong_ids"] = Q.lattice_alignment(moved).select(F.col("wrong_ids").alias("n"))
+    table = rows.select(P.split_label(F.col("date"), I.SPLITS).alias("split"), "price", F.when(~third, F.col("precip")).alias("x")).filter("split IS NOT NULL")
+    found["null_rows"] = Q.row_counts(table, 1, I.SPLITS).agg(F.sum("n_with_null").alias("n"))
+    every = [df.select(F.lit(name).alias("check"), F.col("n").cast("long").alias("n")) for name, df in found.items()]
+    out = every[0]
+    for df in every[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+@query
+def short_months(spark, sf_dir):
+    """Months of users with fewer than 70 contributing events."""
+    return P.incomplete_contributors(I.daily(spark, sf_dir), "user_id", "ts", 70)
+
+
 # space and time
 
 

@@ -12,15 +12,21 @@ Defined results: a null text weighs one byte, as an empty one does; null ids
 hash like any other value; repeated rows are placed one by one, which of them
 gets which place is left open; one record heavier than its shard's share makes
 that shard heavy; an empty table gives no rows; further columns of the input
-are ignored.
+are ignored. A stored map is read only where it is whole: a version is made once
+or not at all, and one with other slots, or never made for that many shards, is
+an error, as no record may vanish or come twice.
 """
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steppe.llm.shared import let, materialize, scratch_path
+from steppe.sources import versions
 
 N_SLOTS = 4096
 #: Parts in which one virtual slot is numbered, so that a hot slot is not one task.
@@ -110,17 +116,48 @@ def grow_map(slot_map: DataFrame, loads: DataFrame, n_shards: int) -> DataFrame:
     )
 
 
-def save_map(slot_map: DataFrame, path: str) -> None:
-    """Adds a version to the stored map; versions that are there stay as they are."""
-    slot_map.repartition(1).write.mode("append").partitionBy("version").parquet(path)
-
+def save_map(slot_map: DataFrame, path: str, n_shards: int | None = None, token: str | None = None) -> int:
+    """Adds a version to the stored map, once or not at all; versions that are there stay as they are.
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A version of the stored map, the latest if none is given."""
-    found = spark.read.schema("vslot int, shard int, version int").parquet(path).select("version", "vslot", "shard")
-    if version is None:
-        version = found.agg(F.max("version")).collect()[0][0]
-    return found.filter(F.col("version") == version)
+    A version is the number that the rows of the map say. Writing it again with
+    the same ``token`` (a retried job) adds nothing; another writer's version of
+    that number is an error. ``n_shards`` is noted beside it; without it, the
+    shards that have slots count.
+    """
+    rows = slot_map.select("vslot", "shard", "version")
+    number = [r[0] for r in rows.select("version").distinct().limit(2).collect()]
+    if len(number) != 1:
+        raise ValueError(f"a map has one version, not {number}")
+    most = _checked(rows, rows.count(), f"version {number[0]}")
+    notes = {"map": str(most + 1 if n_shards is None else n_shards)}
+    return versions.commit(slot_map.sparkSession, path, {"map": rows.coalesce(1)}, notes, number[0], token or f"map-{number[0]}").version
+
+
+def _checked(slot_map: DataFrame, n_slots: int, what: str) -> int:
+    """The last shard of a map that has every slot from 0 to ``n_slots`` once; else an error. A map's size is that of the slots, not of the data."""
+    n, slots, first, last, known, least, most = slot_map.agg(
+        F.count("*"), F.count_distinct("vslot"), F.min("vslot"), F.max("vslot"), F.count("shard"), F.min("shard"), F.max("shard")
+    ).collect()[0]
+    if not n == slots == known == n_slots or first != 0 or last != n_slots - 1 or least < 0:
+        raise ValueError(f"{what} has not each of the slots 0 to {n_slots - 1} once")
+    return most
+
+
+def n_shards_of(spark: SparkSession, path: str, version: int | None = None) -> int:
+    """The number of shards that a version of the stored map places on."""
+    found = versions.snapshot(spark, path, version)
+    if found is None:
+        raise ValueError(f"no slot map at {path}")
+    return int(found.parts["map"].note)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None, n_slots: int | None = None) -> DataFrame:
+    """A version of the stored map, the latest if none is given; an error if it is not whole, or of another number of slots."""
+    shards = n_shards_of(spark, path, version)
+    found = versions.read(spark, path, "vslot int, shard int, version int", version).select("version", "vslot", "shard")
+    if _checked(found, found.count() if n_slots is None else n_slots, f"the map at {path}") >= shards:
+        raise ValueError(f"the map at {path} places slots beyond its {shards} shards")
+    return found
 
 
 def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -133,7 +170,8 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", F.pmod("seq", F.lit(PARTS)).cast("int"))
     parts = rows.groupBy("vslot", "part").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.join(slot_map, "vslot").select("vslot", "part", "version", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    base = parts.join(slot_map, "vslot", "left").withColumn("shard", F.coalesce("shard", F.raise_error(F.lit("a record has a slot that the map lacks")).cast("int")))
+    base = base.select("vslot", "part", "version", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size", "seq"))
     return (
         rows.withColumn("rank", rank)
@@ -150,20 +188,35 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
-def assign(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
-    """Place each document by the map stored at ``path``, which is made if it is not there yet.
+def assign(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, path: str | None = None, version: int | None = None) -> DataFrame:
+    """Place each document by the map stored at ``path``, which is made for ``n_shards`` if there is none yet.
 
+    Shards are those of the map, which may have grown; a map that was never one
+    of ``n_shards``, or has other slots, is an error.
     Output: doc_id, size, text_crc32, vslot, map_version, shard, slot.
     """
     spark = docs.sparkSession
     rows = slotted(records(docs), n_slots)
     path = path or scratch_path(spark, "slot-maps")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
-        save_map(first_map(slot_loads(rows, n_slots), n_shards), path)
-    return place(rows, load_map(spark, path))
+    if versions.snapshot(spark, path) is None:
+        with contextlib.suppress(versions.VersionConflict):  # another job made the first map meanwhile: that one holds
+            save_map(first_map(slot_loads(rows, n_slots), n_shards), path, n_shards, uuid.uuid4().hex)
+    if not n_shards_of(spark, path, 0) <= n_shards <= n_shards_of(spark, path):
+        raise ValueError(f"the map at {path} is for {n_shards_of(spark, path)} shards, not for {n_shards}")
+    return place(rows, load_map(spark, path, version, n_slots))
 
 
-def add_shard(rows: DataFrame, path: str, n_shards: int, n_slots: int = N_SLOTS) -> None:
-    """Edits the stored map for one shard more, by the present loads of the slots."""
-    save_map(materialize(grow_map(load_map(rows.sparkSession, path), slot_loads(rows, n_slots), n_shards), "slot-map"), path)
+def add_shard(rows: DataFrame, path: str, n_shards: int, n_slots: int = N_SLOTS, token: str | None = None) -> None:
+    """Edits the stored map of ``n_shards`` for one shard more, by the present loads of the slots.
+
+    With a ``token`` the edit can be tried again: it is made once. Without one,
+    the second try finds a map of another number of shards, an error.
+    """
+    spark = rows.sparkSession
+    now = versions.snapshot(spark, path)
+    if token is not None and now is not None and now.token == token:
+        return
+    if n_shards_of(spark, path) != n_shards:
+        raise ValueError(f"the map at {path} has {n_shards_of(spark, path)} shards, not {n_shards}")
+    grown = grow_map(load_map(spark, path, None, n_slots), slot_loads(rows, n_slots), n_shards)
+    save_map(materialize(grown, "slot-map"), path, n_shards + 1, token or uuid.uuid4().hex)

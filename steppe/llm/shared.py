@@ -3,55 +3,23 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
-from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from steppe.storage import materialize, scratch_path, shared_dir
+
+__all__ = ["let", "map_batches", "materialize", "scratch_path", "shared_dir", "ship_package", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(1)
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session leaves it unset, as tests on one machine do, it is a
-    temporary folder of this process. What is written there is read by lazy
-    results, so it lives as long as they may be used; whoever runs the job
-    clears the folder afterwards.
-    """
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new name in the shared folder, with the scheme of its file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return files.makeQualified(path).toString()
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there.
-
-    A lost executor costs only the tasks it ran; what is read back lies on
-    shared storage.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _shipped: set[str] = set()
 
 

@@ -7,9 +7,11 @@ none; they are tested against brute force, round trips and held-out accuracy.
 from __future__ import annotations
 
 from steppe.llm.quality import ALPHA, DELTA, GRID
-from steppe.llm.urls import DAMPING, ROUNDS, RULES, THRESHOLD
+from steppe.llm.urls import DAMPING, RULES, THRESHOLD
 from steppe.llm.warc import KEPT_HEADERS, REVISIT_AFTER
 
+#: Rounds of the SQL, enough for a score to be within 1e-7 of its limit with a few seeds.
+ROUNDS = 100
 ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 ROLE = ESCAPED.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")
 
@@ -53,19 +55,21 @@ hosts AS (
   SELECT host, COUNT(*) FILTER (WHERE verdict = 'allow') AS allowed, COUNT(*) FILTER (WHERE verdict = 'block') AS blocked, COUNT(*) AS n
   FROM verdicts WHERE host <> '' GROUP BY 1),
 seeds AS (
-  SELECT CASE WHEN 2 * blocked > n THEN 'distrust' ELSE 'trust' END AS kind, host, 1.0::DOUBLE AS score FROM hosts
-  WHERE 2 * blocked > n OR allowed > blocked),
+  SELECT CASE WHEN 2 * blocked > n THEN 'distrust' ELSE 'trust' END AS kind, host, 1.0::DOUBLE AS score FROM hosts WHERE 2 * blocked > n OR allowed > blocked
+  UNION ALL SELECT 'risk', host, 1.0::DOUBLE FROM hosts WHERE 2 * blocked > n),
 links AS (
   SELECT host AS source, unnest(regexp_extract_all(COALESCE(html, ''), '(?i)href\s*=\s*["'']?(https?://[^"''\s>]+)', 1)) AS link FROM verdicts),
 ends AS (SELECT source, {host.format("link")} AS target FROM links),
 edges AS (SELECT source, target, COUNT(*) AS n FROM ends WHERE source <> '' AND target <> '' AND source <> target GROUP BY 1, 2),
 both_ways AS (SELECT 'trust' AS kind, source AS host, target, n FROM edges UNION ALL SELECT 'distrust', target, source, n FROM edges),
-ways AS (SELECT kind, host, target, n / SUM(n) OVER (PARTITION BY kind, host) AS share FROM both_ways),
+divided AS (SELECT kind, host, target, n / SUM(n) OVER (PARTITION BY kind, host) AS share FROM both_ways),
+ways AS (SELECT * FROM divided UNION ALL SELECT 'risk', target, host, share FROM divided WHERE kind = 'trust'),
 {", ".join(rounds)},
-scores AS (SELECT host, SUM(CASE WHEN kind = 'trust' THEN score ELSE 0 END) AS trust, SUM(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) AS distrust FROM s{ROUNDS} GROUP BY 1)
+scores AS (SELECT host, SUM(CASE WHEN kind = 'trust' THEN score ELSE 0 END) AS trust, SUM(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) AS distrust,
+  SUM(CASE WHEN kind = 'risk' THEN score ELSE 0 END) AS risk FROM s{ROUNDS} GROUP BY 1)
 SELECT v.page_id, v.host, v.path, v.rule,
-  COALESCE(v.verdict, CASE WHEN s.distrust >= {THRESHOLD} AND s.distrust > s.trust THEN 'block' ELSE 'allow' END) AS verdict,
-  round(COALESCE(s.trust, 0.0), 9) AS trust, round(COALESCE(s.distrust, 0.0), 9) AS distrust
+  COALESCE(v.verdict, CASE WHEN greatest(s.distrust, s.risk) >= {THRESHOLD} AND greatest(s.distrust, s.risk) > s.trust THEN 'block' ELSE 'allow' END) AS verdict,
+  round(COALESCE(s.trust, 0.0), 9) AS trust, round(COALESCE(s.distrust, 0.0), 9) AS distrust, round(COALESCE(s.risk, 0.0), 9) AS risk
 FROM verdicts v LEFT JOIN scores s ON s.host = v.host
 """
 

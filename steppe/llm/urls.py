@@ -10,8 +10,12 @@ host is blocked when its distrust or risk reaches a threshold and exceeds its tr
 
 Every seed starts with a mass of one, and scores are in units of that mass: what
 a host has from the seeds near it does not change with the number of others, as
-it would if the seeds shared one unit. Rounds go on until no host's score grows by
-more than ``TOLERANCE``; what comes later is less than six times that.
+it would if the seeds shared one unit. Rounds go on until all that can still come
+to any host is under ``TOLERANCE``. Trust and distrust are divided, so what moves
+shrinks by the damping in each round, and its sum bounds what one host can get;
+risk comes to a host by the shares of its own links, which sum to one, so there
+the largest arrival shrinks by the damping and is the bound. A host with one
+link to each of many that have little is reached like any other.
 
 Pages are reduced to hosts and edges are summed before they are shuffled, so
 a host with a third of all pages is a few partial sums, and the join that
@@ -40,8 +44,8 @@ RULES = (
     ("net/fr/", "block"),
 )
 DAMPING, THRESHOLD = 0.85, 0.05
-#: Change of a score at which rounds end, and the most rounds: the change shrinks by the damping in each.
-TOLERANCE, ROUNDS = 1e-4, 120
+#: What may still be missing from a score when rounds end.
+TOLERANCE = 1e-4
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -92,7 +96,7 @@ def seeds(judged: DataFrame) -> DataFrame:
     return hosts.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select("kind", "host", F.lit(1.0).alias("score"))
 
 
-def propagate(edges: DataFrame, start: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, start: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """kind, host, score: trust along the links, distrust and risk against them.
 
     Each round sends on what arrived in the one before: one join on (kind,
@@ -111,21 +115,21 @@ def propagate(edges: DataFrame, start: DataFrame, damping: float = DAMPING, tole
     scores = arrived
     if ways.isEmpty():
         return scores
-    for _ in range(rounds):
-        sent = arrived.join(ways, ["kind", "host"])
+    moving = ("trust", "distrust", "risk")
+    while moving:  # ends: the bound of each kind shrinks by the damping in every round
+        sent = arrived.filter(F.col("kind").isin(*moving)).join(ways, ["kind", "host"])
         sent = sent.select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         arrived = materialize(sent.groupBy("kind", "host").agg(F.sum("score").alias("score")), "url-arrived")
-        most = arrived.agg(F.max("score")).collect()[0][0]
-        if most is None:
-            break
-        scores = materialize(scores.unionByName(arrived).groupBy("kind", "host").agg(F.sum("score").alias("score")), "url-scores")
-        if most <= tolerance:
-            break
+        bound = F.when(F.col("kind") == "risk", F.max("score")).otherwise(F.sum("score")) * damping / (1 - damping)
+        left = arrived.groupBy("kind").agg(bound.alias("left")).collect()  # three rows
+        if left:
+            scores = materialize(scores.unionByName(arrived).groupBy("kind", "host").agg(F.sum("score").alias("score")), "url-scores")
+        moving = tuple(r["kind"] for r in left if r["left"] > tolerance)
     return scores
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust for each page."""
+    """page_id, host, path, rule, verdict, trust, distrust and risk for each page."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -147,4 +151,5 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping:
         F.coalesce("verdict", method).alias("verdict"),
         F.round(F.coalesce("trust", F.lit(0.0)), 9).alias("trust"),
         F.round(F.coalesce("distrust", F.lit(0.0)), 9).alias("distrust"),
+        F.round(F.coalesce("risk", F.lit(0.0)), 9).alias("risk"),
     )

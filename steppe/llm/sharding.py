@@ -124,13 +124,13 @@ def save_map(slot_map: DataFrame, path: str, n_shards: int | None = None, token:
     that number is an error. ``n_shards`` is noted beside it; without it, the
     shards that have slots count.
     """
-    rows = slot_map.select("vslot", "shard", "version")
-    number = [r[0] for r in rows.select("version").distinct().limit(2).collect()]
-    if len(number) != 1:
-        raise ValueError(f"a map has one version, not {number}")
-    most = _checked(rows, rows.count(), f"version {number[0]}")
+    rows = materialize(slot_map.select("vslot", "shard", "version").coalesce(1), "slot-map")
+    n, first, last = rows.agg(F.count("*"), F.min("version"), F.max("version")).collect()[0]
+    if not n or first != last:
+        raise ValueError(f"a map has one version, not {first} to {last}")
+    most = _checked(rows, n, f"version {first}")
     notes = {"map": str(most + 1 if n_shards is None else n_shards)}
-    return versions.commit(slot_map.sparkSession, path, {"map": rows.coalesce(1)}, notes, number[0], token or f"map-{number[0]}").version
+    return versions.commit(slot_map.sparkSession, path, {"map": rows}, notes, first, token or f"map-{first}").version
 
 
 def _checked(slot_map: DataFrame, n_slots: int, what: str) -> int:
@@ -155,7 +155,7 @@ def load_map(spark: SparkSession, path: str, version: int | None = None, n_slots
     """A version of the stored map, the latest if none is given; an error if it is not whole, or of another number of slots."""
     shards = n_shards_of(spark, path, version)
     found = versions.read(spark, path, "vslot int, shard int, version int", version).select("version", "vslot", "shard")
-    if _checked(found, found.count() if n_slots is None else n_slots, f"the map at {path}") >= shards:
+    if _checked(found, n_slots or found.count(), f"the map at {path}") >= shards:
         raise ValueError(f"the map at {path} places slots beyond its {shards} shards")
     return found
 
@@ -219,4 +219,4 @@ def add_shard(rows: DataFrame, path: str, n_shards: int, n_slots: int = N_SLOTS,
     if n_shards_of(spark, path) != n_shards:
         raise ValueError(f"the map at {path} has {n_shards_of(spark, path)} shards, not {n_shards}")
     grown = grow_map(load_map(spark, path, None, n_slots), slot_loads(rows, n_slots), n_shards)
-    save_map(materialize(grown, "slot-map"), path, n_shards + 1, token or uuid.uuid4().hex)
+    save_map(grown, path, n_shards + 1, token or uuid.uuid4().hex)

@@ -12,8 +12,10 @@ escaped too.
 
 Defined results: null texts and roles count as empty; ties of order are broken
 by role, then text; a message whose parent is missing is a root; messages on a
-cycle of parents belong to no path; an empty table gives no rows; further
-columns are ignored.
+cycle of parents belong to no path; messages of a null tree form one tree;
+a message without an id is a leaf below its parent, each one for itself; of
+several messages with one id the first counts, in order of parent (null first),
+role, text and score; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,14 +90,33 @@ def paths(messages: DataFrame) -> DataFrame:
     return found
 
 
-def format_trees(messages: DataFrame, branches: int | None = 1, assistant: str = "assistant") -> DataFrame:
+def with_clean_ids(messages: DataFrame) -> DataFrame:
+    """tree and node as structs that are never null, and each node once; parents fit them."""
+    own = F.when(F.col("node").isNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long"))
+    rows = messages.select(
+        F.struct(F.col("tree").alias("id")).alias("tree"),
+        F.struct(F.col("node").alias("id"), own.alias("own")).alias("node"),
+        F.when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("id"), F.lit(0).cast("long").alias("own"))).alias("parent"),
+        "role",
+        "text",
+        "score",
+    )
+    first = F.min(F.struct("parent", "role", "text", "score")).alias("m")
+    return materialize(rows, "chat-ids").groupBy("tree", "node").agg(first).select("tree", "node", "m.*")
+
+
+def format_trees(messages: DataFrame, branches: int | None = 1, assistant: str = "assistant", clean_ids: bool = False) -> DataFrame:
     """The best ``branches`` paths of each tree (None: all), each one formatted.
 
+    ``clean_ids``: no tree or node is null and no node is listed twice, as in
+    what ``conversation_tree`` makes; saves a shuffle of the texts.
+
     ``messages``: tree, node, parent, role, text, score. Branches are ranked by
     their mean score, then by leaf. Output: tree, leaf, branch_score,
     formatted, loss_spans (start and length in code points, texts only).
     """
-    messages = materialize(messages.select("tree", "node", "parent", "role", "text", "score"), "chat-messages")  # read three times
+    messages = messages.select("tree", "node", "parent", "role", "text", "score")
+    messages = materialize(messages if clean_ids else with_clean_ids(messages), "chat-messages")  # read three times
     found = paths(messages)
     scored = found.join(messages.select("tree", "node", "score"), ["tree", "node"])
     chosen = scored.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("branch_score"))
@@ -135,9 +156,10 @@ def format_trees(messages: DataFrame, branches: int | None = 1, assistant: str =
         )
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    tree, leaf = ("tree", "leaf") if clean_ids else (F.col("tree.id").alias("tree"), F.col("leaf.id").alias("leaf"))
     return whole.select(
-        "tree",
-        "leaf",
+        tree,
+        leaf,
         "branch_score",
         F.array_join(parts, "").alias("formatted"),
         F.aggregate("turns", start, span, lambda acc: acc["spans"]).alias("loss_spans"),

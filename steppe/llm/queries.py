@@ -27,7 +27,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(attack).alias("text"),
     )
     messages = chat.conversation_tree(given.unionByName(extra))
-    done = chat.format_trees(messages, branches=1)
+    done = chat.format_trees(messages, branches=1, clean_ids=True)
     back = done.select(
         F.col("tree.conv_id").alias("conv_id"),
         "formatted",

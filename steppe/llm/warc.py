@@ -6,7 +6,7 @@ are merged into those of the response.
 
 The as-of join has two levels, so that one URL with a third of all records is
 not one task: within spans of time of a URL, and over one row for each span.
-Only keys and times are sorted; headers are joined afterwards by record id and
+Only keys and times are sorted; headers are joined afterwards by record number and
 payloads stay where they are, referred to by digest.
 
 Defined results: ``resolved`` when at least one validator is on both sides and
@@ -14,8 +14,11 @@ all such agree (entity tags by weak comparison); ``mismatch`` when one differs;
 ``unverified`` when none is on both sides; ``orphan`` without an earlier
 response, also for null URLs. A response at the very time of the revisit is not
 earlier; of several at the latest time the greatest record id counts. Header names are compared and
-returned in lower case, null headers are none. Repeated revisits are resolved one by one; record ids of responses are unique. An empty
-table gives no rows; further columns are ignored.
+returned in lower case, null headers are none. Records are told apart by a number
+of their own, so revisits with equal or null record ids, and repeated ones, are
+resolved one by one, and so are responses. A record without a time is neither
+earlier nor later than any: such a revisit is an orphan. An empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from steppe.llm.shared import let
+from steppe.llm.shared import let, materialize
 
 #: Headers that a 304 answer must not change in a stored response.
 KEPT_HEADERS = (
@@ -100,15 +103,16 @@ def captures(pages: DataFrame, revisit_after: int = REVISIT_AFTER) -> DataFrame:
 
 
 def latest_earlier(records: DataFrame, span: int = SPAN) -> DataFrame:
-    """record_id and refers_to (null: none) of each revisit; keys and times only."""
-    rows = records.filter(F.col("key").isNotNull()).select(  # without a URL nothing came earlier, and there is no hot key of nulls
+    """number and refers (the number of the response) of each revisit that has one; keys and times only."""
+    rows = records.filter(F.col("key").isNotNull() & F.col("time").isNotNull()).select(  # no hot key of nulls
+        "number",
         "record_id",
         (F.col("kind") == "response").alias("full"),
         "key",
         F.col("time").cast("long").alias("time"),
         F.floor(F.col("time") / span).alias("bin"),
     )
-    mark = F.when(F.col("full"), F.struct("time", "record_id"))
+    mark = F.when(F.col("full"), F.struct("time", "record_id", "number"))
     rows = rows.withColumn("mark", mark)
     inside = Window.partitionBy("key", "bin").orderBy("time").rangeBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,7 +120,7 @@ def latest_earlier(records: DataFrame, span: int = SPAN) -> DataFrame:
     bins = bins.select("key", "bin", F.max("last").over(before).alias("carried"))
     near = rows.withColumn("near", F.max("mark").over(inside)).filter(~F.col("full"))
     found = near.join(bins, ["key", "bin"], "left")
-    return found.select("record_id", F.coalesce("near", "carried")["record_id"].alias("refers_to"))
+    return found.select("number", F.coalesce("near", "carried")["number"].alias("refers")).filter("refers IS NOT NULL")
 
 
 def plain_headers(headers: Column) -> Column:
@@ -145,19 +149,19 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     (merged if resolved, else the revisit's own), payload_digest.
     """
     keyed = records.select("record_id", "kind", canonical_url(F.col("url")).alias("key"), "time", plain_headers(F.col("headers")).alias("headers"), "payload_digest")
-    found = latest_earlier(keyed, span).distinct()
+    keyed = materialize(keyed.withColumn("number", F.monotonically_increasing_id()), "warc-records")
     stored = keyed.filter(F.col("kind") == "response").select(
-        F.col("record_id").alias("refers_to"), F.col("headers").alias("stored"), F.col("payload_digest").alias("stored_digest")
+        F.col("number").alias("refers"), F.col("record_id").alias("refers_to"), F.col("headers").alias("stored"), F.col("payload_digest").alias("stored_digest")
     )
-    rows = keyed.filter(F.col("kind") == "revisit").drop("payload_digest")
-    rows = rows.join(found, "record_id", "left").join(stored, "refers_to", "left")
+    found = latest_earlier(keyed, span).join(stored, "refers")
+    rows = keyed.filter(F.col("kind") == "revisit").drop("payload_digest").join(found, "number", "left")
     pairs = {
         "etag": (weak_tag(F.col("headers")["etag"]), weak_tag(F.col("stored")["etag"])),
         "last-modified": (F.col("headers")["last-modified"], F.col("stored")["last-modified"]),
     }
     same = F.array(*[a == b for a, b in pairs.values()])
     status = (
-        F.when(F.col("refers_to").isNull(), "orphan")
+        F.when(F.col("refers").isNull(), "orphan")
         .when(F.exists(same, lambda x: ~x), "mismatch")
         .when(F.exists(F.array_compact(same), lambda x: x), "resolved")
         .otherwise("unverified")

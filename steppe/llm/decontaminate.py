@@ -8,15 +8,16 @@ one, the rarest, is necessary. Windows with a shingle that no document has are
 out at once.
 
 Steps: (1) one pass over the texts finds where any benchmark shingle stands;
-these places, narrow rows, are written. (2) Their counts, over all documents,
+these places are written, with the words around them. (2) Their counts, over all documents,
 give the order of rarity and each window's prefix. (3) Places of prefix shingles
 make candidates (text, start, window); the positional bound (the start may not
 lie before the text) and the length bound (the window may not end behind it)
-drop some. (4) Candidates are verified word by word in their texts.
+drop some. (4) Candidates are verified word by word.
 
-The shingles of the benchmark are broadcast if there are at most ``BROADCAST``;
-beyond that the places are found by a merge join. Texts are shuffled only where
-they have candidates, and equal texts once.
+The shingles of the benchmark are broadcast if there are at most ``BROADCAST``,
+and no text is shuffled. Beyond that a merge join finds the places, which then
+have no words around them; the texts of candidates are read again for the last
+step, equal ones once.
 
 Defined results: null texts have no words; rows without an item id make hits
 but are not listed; equal ids of several items count once; repeated documents
@@ -74,11 +75,12 @@ def shingles(found: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return found.select("window_id", "n", F.posexplode(tokens).alias("at", "token"))
 
 
-def places(docs: DataFrame, tokens: DataFrame, shingle: int = SHINGLE, broadcast: int = BROADCAST) -> DataFrame:
+def places(docs: DataFrame, tokens: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast: int = BROADCAST) -> DataFrame:
     """Where benchmark shingles stand in the documents, and one row for every document.
 
-    doc_id, key, n_words, pos, token. The row of a document itself is at ``pos``
-    -1, without a token.
+    doc_id, key, n_words, pos, token, first and near: the words that any window
+    with this shingle could have here, from word ``first`` on. The row of a
+    document itself is at ``pos`` -1, without a token.
     """
     sizes = sorted(r[0] for r in tokens.select(F.least("n", F.lit(shingle)).alias("size")).distinct().collect())  # five at most
     known = materialize(tokens.select(F.col("token").alias("known")).distinct(), "bench-tokens")
@@ -94,12 +96,15 @@ def places(docs: DataFrame, tokens: DataFrame, shingle: int = SHINGLE, broadcast
             found = F.concat(found, F.transform(starts, lambda i: entry(i, token(i))))  # noqa: B023
         return found
 
-    found = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), entries(w).alias("entries")))
+    found = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), w.alias("words"), entries(w).alias("entries")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), found.alias("f"))
-    rows = rows.select("doc_id", "key", F.col("f.n_words").alias("n_words"), F.inline("f.entries"))
+    rows = rows.select("doc_id", "key", F.col("f.n_words").alias("n_words"), "f.words", F.inline("f.entries"))
+    first = F.greatest(F.col("pos") - (window - shingle), F.lit(0))
     if known.count() <= broadcast:
         rows = rows.join(F.broadcast(known), F.col("token") == F.col("known"), "left").filter(F.col("known").isNotNull() | (F.col("pos") < 0))
-        return materialize(rows.drop("known"), "bench-places")
+        near = F.when(F.col("pos") >= 0, F.slice("words", first + 1, F.col("pos") - first + window))
+        return materialize(rows.select("doc_id", "key", "n_words", "pos", "token", first.alias("first"), near.alias("near")), "bench-places")
+    rows = rows.select("doc_id", "key", "n_words", "pos", "token", first.alias("first"), F.lit(None).cast("array<string>").alias("near"))
     hits = rows.join(known.hint("merge"), F.col("token") == F.col("known")).drop("known")  # rows of documents have no token to join by
     return materialize(hits.unionByName(rows.filter("pos < 0")), "bench-places")
 
@@ -114,14 +119,20 @@ def prefixes(tokens: DataFrame, hits: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, hits: DataFrame, found: DataFrame, rarest: DataFrame) -> DataFrame:
     """key, start, n and window_id of every window that a text holds, verified by its words."""
-    near = hits.join(rarest, "token").select("key", "n_words", (F.col("pos") - F.col("at")).alias("start"), "n", "window_id")
-    near = near.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
-    near = materialize(near.drop("n_words").distinct(), "bench-candidates")
-    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(near.select("key").distinct(), "key", "left_semi")
+    rows = hits.join(rarest, "token").withColumn("start", F.col("pos") - F.col("at"))
+    rows = rows.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
+    rows = rows.join(found.select("window_id", "words"), "window_id")
+    own = F.slice("near", F.col("start") - F.col("first") + 1, F.col("n"))
+    rows = rows.filter(F.col("near").isNull() | (own == F.col("words")))
+    rows = materialize(rows.groupBy("key", "start", "n", "window_id").agg(F.bool_or(F.col("near").isNull()).alias("open")), "bench-candidates")
+    done, rest = rows.filter("NOT open"), rows.filter("open")
+    if rest.isEmpty():
+        return done.drop("open")
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(rest.select("key").distinct(), "key", "left_semi")
     texts = texts.groupBy("key").agg(F.first("text").alias("text")).select("key", words_of(F.col("text")).alias("own"))
-    rows = near.join(found.select("window_id", "words"), "window_id")
-    same = F.slice("own", F.col("start") + 1, F.col("n")) == F.col("words")
-    return rows.join(texts, "key").filter(same).select("key", "start", "n", "window_id")
+    rest = rest.join(found.select("window_id", "words"), "window_id").join(texts, "key")
+    rest = rest.filter(F.slice("own", F.col("start") + 1, F.col("n")) == F.col("words"))
+    return done.unionByName(rest.select(*done.columns)).drop("open")
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -142,7 +153,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     """
     found, members = windows(items, window)
     tokens = materialize(shingles(found, shingle), "bench-shingles")
-    rows = places(docs, tokens, shingle, broadcast)
+    rows = places(docs, tokens, window, shingle, broadcast)
     hits = rows.filter("pos >= 0").drop("doc_id")
     held = materialize(occurrences(docs, hits, found, prefixes(tokens, hits)), "bench-occurrences")
     listed = held.select("key", "window_id").distinct().join(members.filter("item_id IS NOT NULL"), "window_id")

@@ -17,6 +17,7 @@ from steppe.config import Period, Target
 from steppe.functions.distributions import let, log_gamma, norm_cdf
 from steppe.operators import metrics as M
 from steppe.operators.panel import within
+from steppe.operators.windows import correlation
 from steppe.storage import materialize
 
 #: Paired differences up to which the signed ranks have their exact distribution.
@@ -163,7 +164,7 @@ def comparisons(by_date: DataFrame, metric: str, min_dates: int = 5) -> DataFram
         F.count_if(F.col("d") > 0).alias("wins"),
         F.count_if(F.col("d") < 0).alias("losses"),
         (F.max(F.abs("d")) < 1e-12).alias("identical"),
-        F.when((n > 3) & (spread > 0), F.corr("d", "before")).alias("lag1_r"),
+        F.when((n > 3) & (spread > 0), correlation("d", "before")).alias("lag1_r"),
     )
     usable = (F.col("n_pairs") >= min_dates) & ~F.col("identical")
     return found.join(signed_ranks(pairs, ["method"]), "method", "left").select(

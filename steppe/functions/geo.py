@@ -82,11 +82,11 @@ def ring(lon: Column, lat: Column, half: float) -> Column:
     return F.array(*[F.array(lon + a, lat + b) for a, b in corners])
 
 
-def features(cells: DataFrame, half: float, properties: list[str]) -> DataFrame:
-    """One GeoJSON feature, as text, for each cell."""
+def features(cells: DataFrame, half: float, properties: list[str], keys: tuple[str, ...] = ("cell_id",)) -> DataFrame:
+    """One GeoJSON feature, as text, for each cell, beside its keys."""
     geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring(F.col("lon"), F.col("lat"), half)).alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))
-    return cells.select("cell_id", F.to_json(feature).alias("feature"))
+    return cells.select(*keys, F.to_json(feature).alias("feature"))
 
 
 def write_geojson(cells: DataFrame, path: str, half: float, properties: list[str]) -> None:

@@ -422,6 +422,24 @@ SELECT cell_id, against, n AS n_ranked, plus / 2 AS w_plus, tied, round(CASE WHE
     "forecaster_permutation": f"""{TABLE}, m AS (SELECT COUNT(*) AS n_train, AVG(actual) AS mean FROM kept WHERE split = 'train')
       SELECT trial, n_train, COUNT(*) AS n, round(AVG((actual - mean) ** 2), 4) AS mse_mean, CASE WHEN trial <> 'real' THEN TRUE END AS without_skill
       FROM kept, m, (VALUES ('real'), ('shuffled-42')) v(trial) WHERE split = 'test' GROUP BY 1, 2""",
+    "product_views": f"""WITH {BASE}, r AS (
+      SELECT 'precip' AS layer, 'observation' AS kind, CAST(cell_id AS BIGINT) AS cell_id, date, CAST(precip AS DOUBLE) AS v, 0.05::DOUBLE AS resolution_degrees, 0.05::DOUBLE AS source_degrees FROM panel
+      UNION ALL SELECT 'sparse', 'forecast', CAST(cell_id AS BIGINT), date, CAST(sparse AS DOUBLE), 0.05, 0.1 FROM panel
+      UNION ALL SELECT 'price', 'observation', NULL, date, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 5.0, 3.0
+        FROM (SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_extendedprice FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '2001-11-01') GROUP BY l_suppkey, date)
+      SELECT layer, kind, cell_id, date, resolution_degrees, source_degrees, round(AVG(v), 6) AS value, COUNT(*) AS n_cells FROM r WHERE v IS NOT NULL GROUP BY ALL""",
+    "skill_geojson": f"""{SCORED}, e AS (SELECT cell_id, date, method, (actual - forecast) ** 2 AS error FROM long WHERE actual IS NOT NULL AND forecast IS NOT NULL),
+      s AS (SELECT a.cell_id, COUNT(*) AS n_dates, sqrt(AVG(a.error)) AS rmse, sqrt(AVG(b.error)) AS base FROM e a JOIN e b ON a.cell_id = b.cell_id AND a.date = b.date AND a.method = 'persistence' AND b.method = 'climatology' GROUP BY 1),
+      k AS (SELECT *, CASE WHEN n_dates >= 5 AND base <> 0 THEN 1 - rmse / base END AS skill FROM s)
+      SELECT s_suppkey AS cell_id, CASE WHEN k.cell_id IS NOT NULL THEN 'persistence' END AS method, n_dates, round(skill, 6) AS skill, COALESCE(skill > 0, FALSE) AS has_skill, 'skill' AS layer, 0.05::DOUBLE AS resolution_degrees, 0.1::DOUBLE AS source_degrees
+      FROM supplier LEFT JOIN k ON k.cell_id = s_suppkey""",
+    "source_coverage": """WITH r AS (
+      SELECT 'lines' AS source, 'lineitem' AS resolved, CAST(l_shipdate AS DATE) AS day, '' AS missing, TRUE AS core FROM lineitem UNION ALL
+      SELECT 'orders', 'orders', CAST(o_orderdate AS DATE), 'o_band', FALSE FROM orders UNION ALL SELECT 'events', 'events', CAST(ts AS DATE), '', TRUE FROM events),
+      a AS (SELECT source, resolved, MIN(day) AS first, MAX(day) AS last, COUNT(*) FILTER (WHERE day BETWEEN DATE '1995-01-01' AND DATE '2001-10-01') AS n_in_window, missing, core FROM r GROUP BY ALL),
+      b AS (SELECT *, (2001 * 12 + 10) - (year(last) * 12 + month(last)) > 3 AS short FROM a)
+      SELECT source, resolved, first, last, n_in_window, missing, short, CASE WHEN missing <> '' OR n_in_window = 0 THEN CASE WHEN core THEN 'fail' ELSE 'warn' END WHEN short THEN 'warn' ELSE 'ok' END AS status FROM b
+      UNION ALL SELECT 'gauges', NULL, NULL, NULL, 0, '', NULL, 'fail'""",
     "spatial_folds": f"""{TABLE}, f AS (SELECT cell_id, CAST((FLOOR(i / 2.0) * 7919 + FLOOR(j / 2.0) * 104729) % 5 AS INTEGER) AS fold FROM cells), t AS (SELECT k.*, f.fold FROM kept k JOIN f ON f.cell_id = k.cell_id),
       l AS (SELECT g.fold, regr_slope(t.actual, t.lag0) AS a, regr_intercept(t.actual, t.lag0) AS b, AVG(t.actual) AS mean FROM (SELECT DISTINCT fold FROM t) g JOIN t ON t.fold <> g.fold GROUP BY 1),
       s AS (SELECT t.fold, COUNT(*) AS n, AVG((t.actual - l.b - l.a * t.lag0) ** 2) AS mse, AVG((t.actual - l.mean) ** 2) AS naive FROM t LEFT JOIN l ON l.fold = t.fold GROUP BY 1)

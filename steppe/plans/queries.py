@@ -24,6 +24,7 @@ from steppe.operators import temporal as T
 from steppe.operators import windows as W
 from steppe.operators import zeros as Z
 from steppe.plans import inputs as I
+from steppe.sources import readers as N
 
 QUERIES = {}
 
@@ -1022,6 +1023,35 @@ def effective_cells(spark, sf_dir):
     return R.effective_cells(I.panel(spark, sf_dir).select("cell_id", "date").join(cells, "cell_id"), "native")
 
 
+@query
+def product_views(spark, sf_dir):
+    """A map of an observation, one of a forecast, and a source too coarse for any map."""
+    layers = [R.Layer("precip", "observation", 0.05), R.Layer("sparse", "forecast", 0.1), R.Layer("price", "observation", 3.0)]
+    return rounded(R.product_views(I.panel(spark, sf_dir), layers, 0.05, 5.0))
+
+
+@query
+def skill_geojson(spark, sf_dir):
+    """The skill map of persistence against climatology, read back from its features."""
+    cells = I.cells(spark, sf_dir)
+    made = R.skill_features(cells, R.skill_map(long_forecasts(spark, sf_dir), "climatology"), 0.05, 0.1)
+    kinds = {"method": "string", "n_dates": "long", "skill": "double", "has_skill": "boolean", "layer": "string", "resolution_degrees": "double", "source_degrees": "double"}
+    return rounded(made.select("cell_id", *[F.get_json_object("feature", f"$.properties.{c}").cast(t).alias(c) for c, t in kinds.items()]))
+
+
+@query
+def source_coverage(spark, sf_dir):
+    """Range and columns of three sources, one of them under its second name, one without a column it should have, one not there."""
+    sources = [
+        N.Source("lines", ("no_such_table", "lineitem"), "l_shipdate", ("l_quantity",)),
+        N.Source("orders", ("orders",), "o_orderdate", ("o_totalprice", "o_band"), core=False),
+        N.Source("events", ("events",), "ts", ("value",)),
+        N.Source("gauges", ("no_such_table",), "day"),
+    ]
+    found = N.probe_sources(sources, lambda name: I.table(spark, sf_dir, name), I.START, I.END)
+    return found.withColumn("missing", F.array_join("missing", ","))
+
+
 def flagship(spark, sf_dir) -> DataFrame:
     """Skill of persistence against climatology over the test dates, all cells."""
     return skill_scores(spark, sf_dir)

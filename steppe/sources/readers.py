@@ -9,6 +9,7 @@ import ssl
 import subprocess
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import date
 
 import pandas as pd
@@ -131,6 +132,17 @@ def read_years(spark: SparkSession, path: str, schema: str, years: list[int] | N
     return versions.read(spark, path, f"{schema}, year int", version, None if years is None else [str(y) for y in years])
 
 
+@dataclass(frozen=True)
+class Source:
+    """A source to probe: places to try in order, its day column, the columns it must have."""
+
+    name: str
+    candidates: tuple[str, ...]
+    day: str
+    columns: tuple[str, ...] = ()
+    core: bool = True
+
+
 def resolve_source(candidates: list[str], probe: Callable[[str], DataFrame], core: bool = True) -> tuple[str | None, str]:
     """The first candidate that can be read, and ok, warn or fail."""
     for name in candidates:
@@ -154,6 +166,33 @@ def coverage_shortfall(last: date, end: date, tolerance: int = 3) -> bool:
     return month_index(end) - month_index(last) > tolerance
 
 
+def probe_sources(sources: list[Source], probe: Callable[[str], DataFrame], start: date, end: date, tolerance: int = 3) -> DataFrame:
+    """source, resolved, first, last, n_in_window, missing, short and status: one row for each source.
+
+    The first candidate that can be read stands for its source; one aggregation
+    gives its range and what lies in the window. A source that can't be read, lacks
+    a column, or has no row in the window fails where it is core and warns
+    elsewhere; one that ends more than ``tolerance`` months early warns.
+    """
+    spark, rows = SparkSession.active(), []
+    for source in sources:
+        name, status = resolve_source(list(source.candidates), probe, source.core)
+        bad = "fail" if source.core else "warn"
+        if name is None:
+            rows.append((source.name, None, None, None, 0, [], None, status))
+            continue
+        df = probe(name)
+        missing = sorted(set(source.columns) - set(df.columns))
+        if source.day not in df.columns:
+            rows.append((source.name, name, None, None, 0, sorted({*missing, source.day}), None, bad))
+            continue
+        found = coverage(df.select(F.col(source.day).cast("date").alias("day")), "day", start, end).first()
+        short = None if found["last"] is None else coverage_shortfall(found["last"], end, tolerance)
+        status = bad if missing or not found["n_in_window"] else "warn" if short else "ok"
+        rows.append((source.name, name, found["first"], found["last"], found["n_in_window"], missing, short, status))
+    return spark.createDataFrame(rows, "source string, resolved string, first date, last date, n_in_window long, missing array<string>, short boolean, status string")
+
+
 def provenance(paths: list[str], root: str = ".") -> dict:
     """Commit, unsaved changes and a digest of the files that made a table."""
 

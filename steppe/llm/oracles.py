@@ -6,7 +6,7 @@ none; they are tested against brute force, round trips and held-out accuracy.
 
 from __future__ import annotations
 
-from steppe.llm.quality import ALPHA, DELTA, GRID
+from steppe.llm.quality import ALPHA, DELTA, GRID, steps
 from steppe.llm.urls import DAMPING, RULES, THRESHOLD
 from steppe.llm.warc import KEPT_HEADERS, REVISIT_AFTER
 
@@ -75,9 +75,8 @@ FROM verdicts v LEFT JOIN scores s ON s.host = v.host
 
 
 def _op6() -> str:
-    tests = [(r, c) for r, cuts in GRID.items() for c in cuts]
-    grid = ", ".join(f"('{r}', {float(c)!r}::DOUBLE)" for r, c in tests)
-    p = ALPHA / len(GRID)
+    plan = ", ".join(f"({i}, '{r}', {c!r}::DOUBLE)" for i, r, c in steps())
+    p = ALPHA
     cdf = (
         f"list_sum(list_transform(range(CAST(k + 1 AS BIGINT)), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) "
         f"+ i * ln({p!r}::DOUBLE) + (n_good - i) * ln({1 - p!r}::DOUBLE))))"
@@ -102,15 +101,18 @@ ratios AS (
     n_symbols / greatest(word_chars, 1) AS ratio_symbols, n_dup_lines / greatest(n_lines, 1) AS ratio_dup_lines,
     n_repeat_words / greatest(n_words, 1) AS ratio_repeats, n_capitals / greatest(word_chars, 1) AS ratio_capitals FROM stats),
 marks AS (SELECT doc_id, MAX(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1),
-seen AS (SELECT r.*, m.quality FROM ratios r JOIN marks m USING (doc_id) WHERE NOT base_failed),
-sizes AS (SELECT stratum, COUNT(*) FILTER (WHERE quality = 1) AS n_good FROM seen GROUP BY 1),
-candidates AS (SELECT * FROM (VALUES {grid}) g(rule, cutoff)),
+seen AS (SELECT r.*, m.quality = 1 AS good, row_number() OVER () AS seen_row FROM ratios r JOIN marks m USING (doc_id) WHERE NOT base_failed),
+plan AS (SELECT * FROM (VALUES {plan}) g(step, rule, cutoff)),
+tried AS (
+  SELECT seen_row, stratum, good, step, rule, cutoff,
+    CASE rule WHEN 'symbols' THEN ratio_symbols WHEN 'dup_lines' THEN ratio_dup_lines WHEN 'repeats' THEN ratio_repeats ELSE ratio_capitals END > cutoff AS over FROM seen CROSS JOIN plan),
+gone AS (SELECT *, bool_or(over) OVER (PARTITION BY seen_row ORDER BY step) AS by_now FROM tried),
 counts AS (
-  SELECT z.stratum, z.n_good, c.rule, c.cutoff, COUNT(*) FILTER (WHERE over AND quality = 1) AS k, COUNT(*) FILTER (WHERE over AND quality <> 1) AS bad FROM sizes z CROSS JOIN candidates c
-  JOIN LATERAL (SELECT s.quality, CASE c.rule WHEN 'symbols' THEN ratio_symbols WHEN 'dup_lines' THEN ratio_dup_lines WHEN 'repeats' THEN ratio_repeats ELSE ratio_capitals END > c.cutoff AS over
-    FROM seen s WHERE s.stratum = z.stratum) x ON TRUE GROUP BY 1, 2, 3, 4),
-sure AS (SELECT * FROM (SELECT *, COUNT(*) OVER () AS n_tests FROM counts) WHERE bad > 0 AND least(1.0, {cdf}) * n_tests <= {DELTA}),
-best AS (SELECT stratum, rule, arg_max(cutoff, (bad, cutoff)) AS cutoff FROM sure GROUP BY 1, 2),
+  SELECT stratum, step, rule, cutoff, COUNT(*) FILTER (WHERE good) AS n_good, COUNT(*) FILTER (WHERE good AND by_now) AS k,
+    COUNT(*) FILTER (WHERE over AND NOT good) - COUNT(*) FILTER (WHERE over AND good) AS gain FROM gone GROUP BY 1, 2, 3, 4),
+sure AS (SELECT *, least(1.0, {cdf}) * (SELECT COUNT(DISTINCT stratum) FROM counts) <= {DELTA} AS passed FROM counts),
+certified AS (SELECT *, bool_and(passed) OVER (PARTITION BY stratum ORDER BY step) AS holds FROM sure),
+best AS (SELECT stratum, rule, arg_max(cutoff, (gain, cutoff)) AS cutoff FROM certified WHERE holds AND gain > 0 GROUP BY 1, 2),
 cuts AS (SELECT stratum, {cuts} FROM best GROUP BY 1),
 judged AS (SELECT r.*, array_to_string(list_filter([CASE WHEN base_failed THEN 'base' END, {fired}], lambda x: x IS NOT NULL), ',') AS reasons FROM ratios r LEFT JOIN cuts USING (stratum))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, reasons = '' AS kept, reasons FROM judged

@@ -1,12 +1,17 @@
 """Quality rules with risk-controlled thresholds (DataFrame functions only).
 
-Each rule rejects a document when one of its ratios exceeds a cut-off. The
-cut-off of a rule and stratum is chosen from a fixed grid with labelled
-holdouts: a candidate counts only when the exact binomial bound shows that it
-rejects at most ``alpha`` (shared among the rules) of the good documents, at
-level ``delta`` divided by the number of candidates in all strata. Among those
-the one that rejects most bad documents is taken, at a tie the loosest.
-A stratum with too few labels for any certificate has no active rule.
+Each rule rejects a document when one of its ratios exceeds a cut-off. Cut-offs
+come from a fixed grid and labelled holdouts, by a fixed sequence of tests: each
+step tightens one rule to its next cut-off, all rules in turn, from the loosest
+on. A step is certified when the exact binomial bound shows, at level ``delta``
+divided by the number of strata, that all rules together, as tight as they are
+by then, reject at most ``alpha`` of the good documents; the first step that is
+not ends the stratum's sequence, so no further correction is due. What rejects
+fewer documents than a certified step is covered by its bound. So each rule
+takes, among its certified cut-offs, the one that rejects most bad documents
+beyond the good ones it rejects, at a tie the loosest, and stays idle where none
+rejects more bad than good. A stratum needs ``log(delta / strata) / log(1 - alpha)``
+good labels (about 110) for any certificate.
 
 Defined results: a null text counts as empty; labels without quality are
 ignored, and of several for one document the best counts; null strata form a
@@ -26,7 +31,7 @@ from steppe.llm.shared import let, materialize
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
-#: Cut-offs tried for each rule; the rule's ratio is in RATIOS.
+#: Cut-offs tried for each rule, tightest first.
 GRID = {
     "symbols": (0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.3),
     "dup_lines": (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8),
@@ -36,6 +41,12 @@ GRID = {
 ALPHA, DELTA = 0.04, 0.05
 
 
+def steps() -> list[tuple[int, str, float]]:
+    """The fixed sequence: number from 1, rule and the cut-off it is tightened to."""
+    levels = [(level, rule, float(c)) for rule, cuts in GRID.items() for level, c in enumerate(sorted(cuts, reverse=True))]
+    return [(i, rule, c) for i, (_, rule, c) in enumerate(sorted(levels, key=lambda x: x[0]), 1)]
+
+
 def _repeat_words(words: Column) -> Column:
     """Words in 3-word windows that occur twice or more.
 
@@ -143,25 +154,34 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def calibrate(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Cut-offs by stratum and rule: one row for each stratum that has labels.
+    """Cut-offs by stratum and rule: one row for each stratum with a certified and useful one.
 
-    One aggregation over the labelled documents counts, for all candidates at
-    once, how many good and bad documents each would reject.
+    One aggregation counts the labelled documents by the first step that rejects
+    them, by any rule and by each rule; running sums of these few rows are the
+    numbers of the tests.
     """
-    marks = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-    seen = stats.filter(~F.col("_failed")).join(marks, "doc_id")
-    good = F.col("_quality") == 1
-    tests = [(r, c) for r, cuts in GRID.items() for c in cuts]
-    sums = [F.sum(F.when((_ratio(r) > c) & want, 1).otherwise(0)).alias(f"{side}{i}") for i, (r, c) in enumerate(tests) for side, want in (("g", good), ("b", ~good))]
-    wide = seen.groupBy("_stratum").agg(F.sum(good.cast("long")).alias("n_good"), *sums)
-    wide = materialize(wide, "quality-counts")
-    cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"g{i}").alias("false_rejected"), F.col(f"b{i}").alias("bad_rejected")) for i, (r, c) in enumerate(tests)])
-    table = wide.select("_stratum", "n_good", F.explode(cells).alias("t")).select("_stratum", "n_good", "t.*")
-    n_tests = F.count("*").over(Window.partitionBy(F.lit(1)))  # strata times candidates: a small table
-    p_value = binomial_cdf(F.col("false_rejected"), F.col("n_good"), alpha / len(GRID))
-    sure = table.withColumn("p_value", p_value).withColumn("n_tests", n_tests)
-    sure = sure.filter((F.col("p_value") * F.col("n_tests") <= delta) & (F.col("bad_rejected") > 0))
-    best = sure.groupBy("_stratum", "rule").agg(F.max(F.struct("bad_rejected", "cutoff")).alias("best"))
+    marks = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") == 1).alias("_good"))
+    seen = stats.filter(~F.col("_failed")).select("doc_id", "_stratum", *[_ratio(r).alias(r) for r in GRID]).join(marks, "doc_id")
+    plan = steps()
+    firsts = [F.coalesce(*[F.when(F.col(r) > c, F.lit(i)) for i, rule, c in plan if rule == r]).alias(r) for r in GRID]
+    seen = seen.select("_stratum", "_good", *firsts)
+    kinds = {"all": F.lit(0), "any": F.least(*GRID)} | {r: F.col(r) for r in GRID}
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), step.alias("step")) for kind, step in kinds.items()])
+    counts = seen.select("_stratum", "_good", F.inline(kinds)).filter("step IS NOT NULL").groupBy("_stratum", "kind", "step")
+    counts = materialize(counts.agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad")), "quality-counts")
+    strata = counts.filter("kind = 'all'").select("_stratum", F.col("good").alias("n_good"))
+    level = delta / max(1, strata.count())
+    listed = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(r).alias("rule"), F.lit(c).alias("cutoff")) for i, r, c in plan])
+    table = strata.select("*", F.inline(listed))
+    table = table.join(counts.filter("kind = 'any'").select("_stratum", "step", F.col("good").alias("k")), ["_stratum", "step"], "left")
+    own = counts.select("_stratum", F.col("kind").alias("rule"), "step", (F.col("bad") - F.col("good")).alias("gain"))
+    table = table.join(own, ["_stratum", "rule", "step"], "left")
+    so_far = Window.partitionBy("_stratum").orderBy("step")
+    table = table.withColumn("k", F.coalesce(F.sum("k").over(so_far), F.lit(0)))
+    table = table.withColumn("gain", F.sum("gain").over(Window.partitionBy("_stratum", "rule").orderBy("step")))
+    table = table.withColumn("holds", F.bool_and(binomial_cdf(F.col("k"), F.col("n_good"), alpha) <= level).over(so_far))
+    sure = table.filter(F.col("holds") & (F.col("gain") > 0))
+    best = sure.groupBy("_stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("best"))
     pivoted = best.groupBy("_stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("best.cutoff"))).alias(f"_cut_{r}") for r in GRID])
     return materialize(pivoted, "quality-cutoffs")
 

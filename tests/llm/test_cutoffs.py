@@ -76,3 +76,41 @@ def test_few_good_documents_go_on_fresh_labels(spark, tables):
         kept = [got[k][0] for k, _, lang in docs if lang == stratum and good[k]]
         bad = [got[k][0] for k, _, lang in docs if lang == stratum and not good[k]]
         assert 1 - sum(kept) / len(kept) <= quality.ALPHA and sum(bad) / len(bad) < 0.85
+
+
+def plain_cutoffs(rows: list[dict]) -> dict:
+    """Cut-offs by (stratum, rule), from the definition."""
+    from math import comb
+
+    strata, out = {r["_stratum"] for r in rows}, {}
+    for stratum in strata:
+        good, bad = ([r for r in rows if r["_stratum"] == stratum and r["good"] is g] for g in (True, False))
+        now, choices = {}, {}
+        for _, rule, cutoff in quality.steps():
+            now[rule] = cutoff
+            k = sum(any(r[x] > c for x, c in now.items()) for r in good)
+            n, p = len(good), quality.ALPHA
+            if sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > quality.DELTA / len(strata):
+                break
+            gain = sum(r[rule] > cutoff for r in bad) - sum(r[rule] > cutoff for r in good)
+            choices.setdefault(rule, []).append((gain, cutoff))
+        out |= {(stratum, rule): max(found)[1] for rule, found in choices.items() if max(found)[0] > 0}
+    return out
+
+
+@pytest.mark.parametrize("n", [400, 1200])
+def test_cutoffs_equal_a_plain_sequence_of_tests(spark, n):
+    docs, labels = corpus(3, 0, n)
+    stats = quality.signals(spark.createDataFrame(docs, "doc_id long, text string, lang string")).filter("not _failed")
+    good = dict(labels)
+    rows = [r.asDict() | {"good": bool(good[r["doc_id"]])} for r in stats.select("doc_id", "_stratum", *[quality._ratio(r).alias(r) for r in quality.GRID]).collect()]
+    found = quality.calibrate(stats, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    got = {(r["_stratum"], rule): r[f"_cut_{rule}"] for r in found for rule in quality.GRID if r[f"_cut_{rule}"] is not None}
+    assert got == plain_cutoffs(rows) and got
+
+
+def test_the_sequence_tightens_every_rule_in_turn():
+    plan = quality.steps()
+    assert [i for i, _, _ in plan] == list(range(1, len(plan) + 1)) and len(plan) == sum(map(len, quality.GRID.values()))
+    for rule, cuts in quality.GRID.items():
+        assert [c for _, r, c in plan if r == rule] == sorted(cuts, reverse=True)

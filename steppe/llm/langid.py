@@ -10,9 +10,10 @@ trigrams that were learned in it. A trigram that a language never showed weighs
 the same in all of them, so text of no learned language favours none and scores
 low, however the training texts are sized.
 
-The model is fitted in Spark on a bounded sample: about ``TRAIN_DOCS``
-documents of each language, chosen by a hash of id and language, whole texts
-and no others. What comes to the driver are the trigram counts of that sample.
+The model is fitted in Spark on all documents that it is given, and the cut-off
+of ``keep_known`` comes from all of them, too: each is scored by a model of the
+other folds. A caller may bound the number of documents by language instead.
+What comes to the driver are the trigram counts, so as much as the model itself.
 Prediction is a map over all documents without a shuffle.
 
 Words are runs of letters; numerals such as ``½`` and ``Ⅷ`` are none.
@@ -30,6 +31,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +39,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from steppe.llm.shared import map_batches
+from steppe.llm.shared import map_batches, materialize
 
-#: Bound of the training sample: documents of each language, on average.
-TRAIN_DOCS = 2000
+#: Documents of each language to learn from; all where it is None.
+TRAIN_DOCS = None
 #: Log probability lost by each switch of language, and the least of one word.
 SWITCH, FLOOR = 12.0, -6.0
 #: Instead of that, for a language whose script the word is not in.
 BARRED = -1000.0
 #: Share of a language's letters that makes a script one of its own.
 SCRIPT_SHARE = 0.02
-#: The cut-off of ``keep_known``: a share of the learning documents is set aside,
+#: The cut-off of ``keep_known``: each of ``ASIDE`` folds is set aside in turn,
 #: all but ``LOST`` of those labelled right have some score, and less than
 #: ``MARGIN`` times that is no known language. Fewer than ``ENOUGH`` tell nothing.
 ASIDE, LOST, MARGIN, ENOUGH = 5, 0.001, 0.8, 100
@@ -166,57 +168,69 @@ def build(counts: list[tuple[str, str, int]]) -> Model | None:
     return Model(langs, codes, logs, (table > 0).astype(np.float32), own)
 
 
-def _sample(docs: DataFrame, bound: int) -> DataFrame | None:
-    """doc_id, lang, text and aside of about ``bound`` documents of each language."""
+def _sample(docs: DataFrame, bound: int | None) -> DataFrame:
+    """doc_id, lang, text, fold and aside (the first fold) of all documents, or of about ``bound`` of each language."""
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    fold = F.pmod(F.xxhash64("doc_id", "lang", F.lit(1)), F.lit(ASIDE)).cast("int")
+    parts = rows.withColumn("fold", fold).withColumn("aside", F.col("fold") == 0)
+    sizes = {} if bound is None else {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return None
+        return parts
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, bound / n))])
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    aside = F.pmod(F.xxhash64("doc_id", "lang", F.lit(1)), F.lit(ASIDE)) == 0
-    return rows.filter(draw < share[F.col("lang")]).withColumn("aside", aside)
+    return parts.filter(draw < share[F.col("lang")])
 
 
-def _counts(sample: DataFrame) -> list[tuple[str, str, bool, int]]:
-    """Trigrams of each language, of the documents aside and of the others; bounded by the sample."""
+def _counts(rows: DataFrame) -> list[tuple[str, str, int, int]]:
+    """(language, trigram, fold, count); what is counted first are distinct words."""
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    counted = sample.select("lang", "aside", words.alias("word")).groupBy("lang", "aside", "word").count()
+    counted = rows.select("lang", "fold", words.alias("word")).groupBy("lang", "fold", "word").count()
     padded = F.concat(F.lit(_START), "word", F.lit(_END))
     grams = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(padded, i, F.lit(3)))
-    grams = counted.select("lang", "aside", "count", F.explode(grams).alias("trigram"))
-    table = grams.groupBy("lang", "trigram", "aside").agg(F.sum("count").alias("n"))
-    return [(r["lang"], r["trigram"], r["aside"], r["n"]) for r in table.collect()]
-
+    grams = counted.select("lang", "fold", "count", F.explode(grams).alias("trigram"))
+    table = grams.groupBy("lang", "trigram", "fold").agg(F.sum("count").alias("n"))
+    return [(r["lang"], r["trigram"], r["fold"], r["n"]) for r in table.toLocalIterator()]
 
-def fit(docs: DataFrame, bound: int = TRAIN_DOCS) -> Model | None:
-    """Fit on a sample of about ``bound`` documents of each language of ``docs``."""
-    sample = _sample(docs, bound)
-    return None if sample is None else build([(lang, t, n) for lang, t, _, n in _counts(sample)])
 
+def fit(docs: DataFrame, bound: int | None = TRAIN_DOCS) -> Model | None:
+    """Fit on all documents of ``docs``, or on about ``bound`` of each language."""
+    rows = _sample(docs, bound).withColumn("fold", F.lit(0))
+    return build([(lang, t, n) for lang, t, _, n in _counts(rows)])
 
-def fit_with_cut(docs: DataFrame, least: float, bound: int = TRAIN_DOCS) -> tuple[Model | None, float]:
-    """The model of ``fit``, and the least score of a known language.
 
-    The score comes from documents that a second model did not learn from; it
-    is ``least`` where they are too few, and never below it.
-    """
-    sample = _sample(docs, bound)
-    if sample is None:
-        return None, least
-    counts = _counts(sample)
-    trial = build([(lang, t, n) for lang, t, aside, n in counts if not aside])
-    tested = sample.filter("aside").select("lang", "text")
+def _right_scores(model: Model | None):
+    """Scores of the texts whose language the model finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _labelled(trial, SWITCH)
+        of = _labelled(model, SWITCH)
         for batch in batches:
             scores = [score for lang, (found, score) in zip(batch.column(0).to_pylist(), of(batch.column(1)), strict=True) if lang == found]
             yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64())], names=["score"])
 
-    scores = [r["score"] for r in map_batches(tested, run, "score double").collect()]
-    cut = MARGIN * float(np.quantile(scores, LOST, method="lower")) if len(scores) >= ENOUGH else least
-    return build([(lang, t, n) for lang, t, _, n in counts]), max(least, cut)
+    return run
+
+
+def fit_with_cut(docs: DataFrame, least: float, bound: int | None = TRAIN_DOCS) -> tuple[Model | None, float]:
+    """The model of ``fit``, and the least score of a known language.
+
+    Each document is scored by a model of the folds that it is not in. The
+    cut-off is ``least`` where too few are labelled right, and never below it.
+    """
+    rows = _sample(docs, bound)
+    counts = _counts(rows)
+    model = build([(lang, t, n) for lang, t, _, n in counts])
+    if model is None:
+        return None, least
+    parts = []
+    for k in range(ASIDE):
+        trial = build([(lang, t, n) for lang, t, fold, n in counts if fold != k])
+        parts.append(map_batches(rows.filter(F.col("fold") == k).select("lang", "text"), _right_scores(trial), "score double"))
+    scores = materialize(reduce(DataFrame.union, parts), "language-scores")
+    n = scores.count()
+    if n < ENOUGH:
+        return model, least
+    lowest = scores.orderBy("score").limit(int(LOST * (n - 1)) + 1).agg(F.max("score")).first()[0]
+    return model, max(least, MARGIN * lowest)
 
 
 def switching_path(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -356,7 +370,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def keep_known(docs: DataFrame, least: float, bound: int = TRAIN_DOCS) -> DataFrame:
+def keep_known(docs: DataFrame, least: float, bound: int | None = TRAIN_DOCS) -> DataFrame:
     """Documents whose language is known with at least the score learned, or the given one if higher."""
     model, cut = fit_with_cut(docs.filter(~held_out(F.col("doc_id"))), least, bound)
 

@@ -1,13 +1,18 @@
 """Distribution functions as Column expressions.
 
-Spark has no log-gamma, incomplete gamma or normal quantile. Each is built from
-built-in functions, so that it stays in the JVM.
+Spark has no log-gamma, incomplete gamma or normal quantile. Those of closed form
+are built from built-in functions, so that they stay in the JVM. The incomplete
+gamma function and its quantile are series and steps of a length that the values
+decide; a higher-order function evaluates those term by term without generated
+code, so whole columns go through ``gamma_p_batch`` and ``gamma_ppf``, in Arrow
+batches. ``gamma_p`` is the form that may stand inside a lambda.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -141,26 +146,106 @@ def norm_ppf(p: Column) -> Column:
     return F.when((p > 0) & (p < 1), let(p.cast("double"), inner))
 
 
-def gamma_ppf(p: Column, a: Column, scale: Column, rounds: int = 12) -> Column:
-    """Gamma quantile by Newton steps in logarithms from Wilson and Hilferty's start."""
-
-    def solve(v):
-        p, a = v["p"], v["a"]
+def _kernels():
+    """Both functions on arrays, nested so that they travel to the executors by value."""
+    import math
+
+    import numpy as np
+
+    lanczos, large, (top, bottom) = LANCZOS, LARGE_SHAPE, CENTRE
+
+    def log_gamma_of(x):
+        z = x - 1.0
+        total = lanczos[0] + sum(c / (z + i) for i, c in enumerate(lanczos[1:], 1))
+        t = z + 7.5
+        return 0.5 * math.log(2 * math.pi) + (z + 0.5) * np.log(t) - t + np.log(total)
+
+    def head(a, x):
+        """ln of x^a exp(-x) / Gamma(a + 1), without the cancellation of large terms."""
+        d = (x - a) / a
+        w = 1 / (a * a)
+        rest = (1 / 12 - w * (1 / 360 - w * (1 / 1260 - w * (1 / 1680 - w / 1188)))) / a
+        stirling = -a * (d - np.log1p(d)) - 0.5 * np.log(2 * math.pi * a) - rest
+        return np.where(a >= 10, stirling, a * np.log(x) - x - log_gamma_of(a + 1))
+
+    def series(a, x):
+        """P(a, x): terms until what follows can't be seen."""
+        out = np.ones(len(a))
+        at, k = np.arange(len(a)), 0
+        term, sums, one, other = np.ones(len(a)), np.ones(len(a)), a, x
+        while len(at):
+            for _ in range(16):
+                k += 1
+                term = term * (other / (one + k))
+                sums = sums + term
+            going = (term > 1e-18 * sums) | (one + k < other)
+            out[at[~going]] = sums[~going]
+            at, term, sums, one, other = at[going], term[going], sums[going], one[going], other[going]
+        return np.minimum(1.0, np.exp(head(a, x) + np.log(out)))
+
+    def cube_root_normal(a, x):
+        z = 3 * np.sqrt(a) * (np.cbrt(x / a) - 1 + 1 / (9 * a))
+        return np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+
+    def gamma_p_of(a, x):
+        out = np.where((a > 0) & (x <= 0), 0.0, np.nan)
+        todo = np.flatnonzero((a > 0) & (x > 0))
+        a, x = a[todo], x[todo]
+        value = np.ones(len(todo))
+        surely = (x > a) & (x - a - a * np.log(x / a) > 45)
+        for rows, f in ((np.flatnonzero(~surely & (a <= large)), series), (np.flatnonzero(~surely & (a > large)), cube_root_normal)):
+            value[rows] = f(a[rows], x[rows])
+        out[todo] = value
+        return out
+
+    def normal_quantile(p):
+        q = p - 0.5
+        r = 0.180625 - q * q
+        tail = np.sqrt(-2 * np.log(np.minimum(p, 1 - p)))
+        outer = tail - (2.515517 + tail * (0.802853 + tail * 0.010328)) / (1 + tail * (1.432788 + tail * (0.189269 + tail * 0.001308)))
+        return np.where(np.abs(q) <= 0.425, q * np.polyval(top[::-1], r) / np.polyval(bottom[::-1], r), np.sign(q) * outer)  # only a start
+
+    def gamma_ppf_of(p, a, rounds):
+        out = np.where(p <= 0, 0.0, np.nan)
+        todo = np.flatnonzero((p > 0) & (p < 1) & (a > 0))
+        p, a = p[todo], a[todo]
         c = 1 / (9 * a)
-        cube = F.pow(F.greatest(1 - c + norm_ppf(p) * F.sqrt(c), F.lit(0.0)), F.lit(3.0)) * a
-        small = F.exp((F.log(p) + log_gamma(a + 1.0)) / a)
-        start = F.log(F.when((cube > 0.05 * a) & (a > 0.5), cube).otherwise(F.greatest(small, F.lit(1e-300))))
+        cube = np.maximum(1 - c + normal_quantile(p) * np.sqrt(c), 0.0) ** 3 * a
+        small = np.exp((np.log(p) + log_gamma_of(a + 1.0)) / a)
+        y = np.log(np.where((cube > 0.05 * a) & (a > 0.5), cube, np.maximum(small, 1e-300)))
+        at = np.arange(len(p))
+        for _ in range(rounds):
+            x = np.exp(y[at])
+            slope = a[at] * np.exp(head(a[at], x))
+            step = np.clip((p[at] - gamma_p_of(a[at], x)) / np.maximum(slope, 1e-300), -2.0, 2.0)
+            y[at] += step
+            at = at[np.abs(step) > 1e-10]  # the next step would be about its square
+            if not len(at):
+                break
+        out[todo] = np.exp(y)
+        return out
+
+    return gamma_p_of, gamma_ppf_of
+
 
-        def step(y, _):
-            x = F.exp(y)
-            slope = F.exp(a * y - x - log_gamma(a))
-            return y + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (p - gamma_p(a, x)) / F.greatest(slope, F.lit(1e-300))))
+def gamma_p_batch(a: Column, x: Column) -> Column:
+    """``gamma_p`` of whole columns, in Arrow batches."""
+    gamma_p_of, _ = _kernels()
+
+    def run(a: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series(gamma_p_of(a.to_numpy("float64"), x.to_numpy("float64")))
+
+    return F.pandas_udf(run, "double")(a.cast("double"), x.cast("double"))
+
+
+def gamma_ppf(p: Column, a: Column, scale: Column, rounds: int = 12) -> Column:
+    """Gamma quantile by Newton steps in logarithms from Wilson and Hilferty's start, in Arrow batches."""
+    _, gamma_ppf_of = _kernels()
 
-        return F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
+    def run(p: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series(gamma_ppf_of(p.to_numpy("float64"), a.to_numpy("float64"), rounds))
 
-    value = F.struct(p.cast("double").alias("p"), a.cast("double").alias("a"))
-    inside = (p > 0) & (p < 1) & (a > 0)
-    return F.when(inside, let(value, solve) * scale).when(p <= 0, 0.0)
+    return F.when(p <= 0, 0.0).otherwise(F.pandas_udf(run, "double")(p.cast("double"), a.cast("double")) * scale)
 
 
 def digamma(x: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steppe.config import Period
-from steppe.functions.distributions import digamma, gamma_p, gamma_ppf, let, log_gamma, norm_ppf, trigamma
+from steppe.functions.distributions import digamma, gamma_p_batch, gamma_ppf, let, log_gamma, norm_ppf, trigamma
 from steppe.operators.panel import KEYS, require_unique
 from steppe.operators.windows import rolling_sum
 
@@ -63,7 +63,7 @@ def gamma_fit(amounts: DataFrame, fit: Period, min_samples: int = 5, estimator:
 def spi(amounts: DataFrame, params: DataFrame, name: str, limit: float = 4.0) -> DataFrame:
     """The index of each amount; null without a fit, clipped at ``limit``."""
     rows = amounts.withColumn("month", F.month("date")).join(params, ["cell_id", "month"], "left")
-    h = F.col("q") + (1 - F.col("q")) * gamma_p(F.col("shape"), F.col("amount") / F.col("scale"))
+    h = F.col("q") + (1 - F.col("q")) * gamma_p_batch(F.col("shape"), F.col("amount") / F.col("scale"))
     edge = 1e-9
     inside = F.greatest(F.lit(edge), F.least(F.lit(1 - edge), F.col("_h")))
     clipped = F.greatest(F.lit(-limit), F.least(F.lit(limit), norm_ppf(inside)))  # these skip nulls

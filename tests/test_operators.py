@@ -633,3 +633,33 @@ def test_streams_sum_windows_and_close_sessions(spark, tmp_path):
     assert got == {(1, 3.0, 2), (2, 4.0, 1)}
     stream.run_available(stream.sessions(source, "user_id", "ts", "6 hours"), str(tmp_path / "c2"), str(tmp_path / "o2"))
     assert {(r["user_id"], r["n_obs"]) for r in spark.read.parquet(str(tmp_path / "o2")).collect()} == {(1, 2), (2, 1)}
+
+
+def test_gamma_batches_are_exact_at_large_shapes(spark):
+    """Against sums of 1,359 and more terms with 60 digits: upper tails, and an index at the edge of its last digit."""
+    shape, scale, amount = 5393.374206550967, 0.09600668897979735, 543.8
+    cases = [(shape, 5664.188670379327, 0.000140547077118734631), (23749.164289, 25357.701907, 0.0), (None, 1.0, None), (2.0, None, None), (0.0, 1.0, None), (2.0, -1.0, 1.0)]
+    frame = spark.createDataFrame([(a, x) for a, x, _ in cases], "a double, x double")
+    for r, (_, _, above) in zip(frame.select(D.gamma_p_batch(F.col("a"), F.col("x")).alias("p")).collect(), cases, strict=True):
+        if above is None:
+            assert r["p"] is None
+        else:
+            assert 1 - r["p"] == pytest.approx(above, abs=1e-13 if above else 1e-9)
+    amounts = spark.createDataFrame([(1, date(1999, 6, 1), amount)], "cell_id long, date date, amount double")
+    params = spark.createDataFrame([(1, 6, 0.0, shape, scale)], "cell_id long, month int, q double, shape double, scale double")
+    assert round(X.spi(amounts, params, "z").first()["z"], 6) == 3.632128
+
+
+def test_sensitivity_has_no_term_by_term_lambdas(spark):
+    rows = [(i, 1, 0.05 * (i % 3), 10 ** (i / 40 - 1), 2.0) for i in range(200)]
+    params = spark.createDataFrame(rows, "cell_id long, month int, q double, shape double, scale double")
+    out = X.sensitivity(params)
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    found = {r["cell_id"]: r["mm_per_unit"] for r in out.collect()}
+    steps = [(i, q, a, D.gamma_ppf(F.lit((0.5 - q) / (1 - q)), F.lit(a), F.lit(2.0))) for i, _, q, a, _ in rows[:3]]
+    for i, q, a, high in steps:
+        low = D.gamma_ppf(F.lit((X.PHI_MINUS_ONE - q) / (1 - q)), F.lit(a), F.lit(2.0))
+        assert spark.range(1).select(high - low).first()[0] == pytest.approx(found[i], rel=1e-12)
+    back = params.join(out, "cell_id").withColumn("p", (0.5 - F.col("q")) / (1 - F.col("q"))).withColumn("x", D.gamma_ppf(F.col("p"), F.col("shape"), F.lit(1.0)))
+    for r in back.select("p", D.gamma_p(F.col("shape"), F.col("x")).alias("b")).collect():
+        assert r["b"] == pytest.approx(r["p"], abs=1e-10)

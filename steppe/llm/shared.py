@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that go to Python at once; a row may have more by itself.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 
 
@@ -40,9 +44,21 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have about ``BATCH_BYTES`` at most, or less if it says so.
+
+    Texts are long, so Spark's default number of rows makes one batch of a whole
+    partition, which the JVM holds outside its heap and each Python worker again.
+    """
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if now > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with a function of this package."""
+    """``mapInArrow`` with a function of this package, in batches of bounded size."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
